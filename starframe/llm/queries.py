@@ -26,5 +26,25 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_substring_dedup)}
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.near_dedup import near_dups
+
+    return near_dups(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm import language_id as L
+
+    docs = _read(spark, sf_dir, "documents")
+    out = L.identify(docs, L.fit(docs.where(~L.held_out())))
+    return out.select("doc_id", L.held_out().alias("held_out"), "lang_pred", "score", "margin", "accepted")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op3_minhash_dedup, op4_substring_dedup, op8_language_id, op9_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
