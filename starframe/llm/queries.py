@@ -38,6 +38,24 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_first")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled URLs: a page's URL carries the number of the document it was made from; one of low quality or toxic is bad."""
+    from starframe.llm import url_filter as U
+
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _read(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    labelled = pages.withColumn("doc_id", F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})', 1) AS BIGINT)")).join(labels, "doc_id")
+    out = U.judge(pages, U.UrlFilter.fit(labelled.select("url", "bad")))
+    return out.select("page_id", "host", "path", "rule", "verdict", "bad_score")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.quality_rules import judge
+
+    out = judge(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "kept_share")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starframe.llm import language_id as L
 
@@ -52,5 +70,11 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op8_language_id, op9_best_fit_packing)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.license_scan import scan
+
+    return scan(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op8_language_id, op9_best_fit_packing, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
