@@ -13,7 +13,8 @@ A core that occurs once: nothing here repeats.  A core whose occurrences all hav
 entry is judged once, for all its copies).  Only cores with several outers, at the edges of repeated passages, and stretches
 without triggers are resolved string by string.  Keys travel between batches as in :mod:`starframe.llm._exchange`.
 
-Decisions rest on 128 bits (core and outer, or two fingerprints of the string).
+Ranges answer with the states of the keys in the order in which a batch sent them, so no key travels back.  Decisions rest on 128
+bits (core and outer) or 96 (two fingerprints of a string).
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ from starframe.llm import _rolling as R
 
 _U = np.uint64
 _NO = np.zeros(0, _U)
-#: Bytes of a trigger, and one in how many places is one.
-TRIGGER, EVERY = 12, 40
+#: Bytes of a trigger, one in how many places is one, and into how many parts a phrase can be cut.
+TRIGGER, EVERY, PARTS = 12, 36, 3
 _SENT = "range int, batch int, keys binary, other binary, flags binary"
-_TOLD = "batch int, kind int, keys binary, flags binary"
+_TOLD = "batch int, kind int, range int, states binary"
+#: What is known of a key: it occurs once, it repeats, or it repeats with several outers.
+ONCE, TWICE, MIXED = 0, 1, 2
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 class _Parse:
-    """The phrases of some texts laid end to end, in parts of at most half a window."""
+    """The phrases of some texts laid end to end, in up to PARTS parts by the distance from the closing trigger."""
 
     def __init__(self, texts: list[bytes], length: int):
         t = R.Texts(texts)
@@ -54,15 +57,15 @@ class _Parse:
             prev[1:] = np.where(text[1:] == text[:-1], at[:-1] + 1, begin[1:])
         last = length - TRIGGER  # farthest that a string can start before the trigger it holds
         low, high = np.maximum(0, at - (end - length)), np.minimum(at - prev, last)
-        half = last // 2 + 1
+        width = last // PARTS + 1
         found = []
-        for k in (0, 1):
-            lo, hi = np.maximum(low, k * half), np.minimum(high, (k + 1) * half - 1)
+        for k in range(PARTS):
+            lo, hi = np.maximum(low, k * width), np.minimum(high, (k + 1) * width - 1)
             ok = lo <= hi
             a, lo, hi = at[ok], lo[ok], hi[ok]
-            core = R.slices(self.s[0], a - k * half, a - (k + 1) * half + 1 + length)
+            core = R.slices(self.s[0], a - k * width, a - (k + 1) * width + 1 + length)
             outer = R.slices(self.s[1], a - hi, a - lo + length, 1)
-            outer = R.mix(outer + ((lo - k * half) * half + hi - k * half).astype(_U))
+            outer = R.mix(outer + ((lo - k * width) * width + hi - k * width).astype(_U))
             found.append((core + _U(k), outer, a - hi, a - lo))
         self.core, self.outer, self.left, self.right = (np.concatenate(c) for c in zip(*found, strict=True))
         # Starts of strings without a trigger: between triggers that are far apart, and after the last one.
@@ -74,140 +77,128 @@ class _Parse:
         self.free = np.concatenate([np.zeros(0, np.int64), *(np.arange(p, e + 1) for p, e in gaps if e >= p)])
 
     def strings(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(R.slices(self.s[f], starts, starts + self.length, f) for f in (0, 1))
+        return R.slices(self.s[0], starts, starts + self.length), R.slices(self.s[1], starts, starts + self.length, 1) >> _U(32)
 
-    def unsure(self, cores: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What is known of each part (0 nothing repeats, 1 all, 2 mixed), and the starts to look at one by one."""
-        state = np.zeros(len(self.core), np.int8)
-        if len(cores):
-            at = np.minimum(np.searchsorted(cores, self.core), len(cores) - 1)
-            hit = cores[at] == self.core
-            state[hit] = 1 + mixed[at[hit]]
-        two = state == 2
-        starts = [np.arange(a, b + 1) for a, b in zip(self.left[two].tolist(), self.right[two].tolist(), strict=True)]
-        return state, np.concatenate([self.free, *starts])
+    def unsure(self, states: np.ndarray) -> np.ndarray:
+        """The starts to look at one by one, given what is known of each part."""
+        two = states == MIXED
+        return np.concatenate([self.free, *(np.arange(a, b + 1) for a, b in zip(self.left[two].tolist(), self.right[two].tolist(), strict=True))])
 
 
 def _rows(table: pa.Table) -> list[tuple[int, bytes]]:
     return [(k, t or b"") for k, t in enumerate(table["text"].cast(pa.large_binary()).to_pylist())]
 
 
-def _merge(keys: np.ndarray, other: np.ndarray, flags: np.ndarray, strict: bool):
-    """Equal keys become one: flag 0 once, 1 several times with one other value, 2 with several (for strings: ``strict``,
-    values that differ are different strings, so each pair stays)."""
+def _merge(keys: np.ndarray, other: np.ndarray, strings: bool):
+    """Sorts keys and makes equal ones one, with what is known of it in this batch.  Parts are equal if their cores are; strings
+    that differ in the second fingerprint are different strings."""
     order = np.lexsort((other, keys))
-    keys, other, flags = keys[order], other[order], flags[order]
-    if not len(keys):
-        return keys, other, flags
+    keys, other = keys[order], other[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    if strict:
+    if strings:
         new[1:] |= other[1:] != other[:-1]
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(keys)))
-    worst = np.maximum.reduceat(flags, at)
-    differ = other[at] != other[at + size - 1]
-    return keys[at], other[at], np.where(differ, 2, np.maximum(worst, size > 1)).astype(np.uint8)
+    states = (size > 1).astype(np.uint8)
+    states[other[at] != other[at + size - 1]] = MIXED
+    return keys[at], other[at], states
 
 
-def _table(batch: int, bits: int, keys, other, flags) -> pa.Table:
-    out = [(r, batch, X.pack(keys[a:b]), other[a:b].tobytes(), flags[a:b].tobytes()) for r, a, b in X.ranges(keys, bits)]
+def _parse(table: pa.Table, length: int) -> list[tuple[list, _Parse]]:
+    rows = [(k, t or b"") for k, t in enumerate(table["text"].cast(pa.large_binary()).to_pylist())]
+    return [(part, _Parse([t for _, t in part], length)) for part in R.chunks(rows)]
+
+
+def _all(arrays: list[np.ndarray], kind=_U) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+def _send(batch: int, bits: int, keys: np.ndarray, other: np.ndarray, states: np.ndarray, width: int) -> pa.Table:
+    """One row for each range; ``width``: bytes of the second value."""
+    other = other.astype(f"<u{width}")
+    out = [(r, batch, X.pack(keys[a:b]), other[a:b].tobytes(), states[a:b].tobytes()) for r, a, b in X.ranges(keys, bits)]
     cols = zip(*out, strict=True) if out else [[]] * 5
     return pa.table([pa.array(list(c), t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["range", "batch", "keys", "other", "flags"])
 
 
 def _send_parts(length: int, bits: int):
     def send(table: pa.Table) -> pa.Table:
-        got = [(_NO, _NO, np.zeros(0, np.uint8))]
-        for part in R.chunks(_rows(table)):
-            p = _Parse([r[-1] for r in part], length)
-            got.append(_merge(p.core, p.outer, np.zeros(len(p.core), np.uint8), False))
-        return _table(table["batch"][0].as_py(), bits, *_merge(*(np.concatenate(c) for c in zip(*got, strict=True)), False))
+        parsed = _parse(table, length)
+        return _send(table["batch"][0].as_py(), bits, *_merge(_all([p.core for _, p in parsed]), _all([p.outer for _, p in parsed]), False), 8)
 
     return send
 
 
-def _decide(kind: int):
-    """For a range: tells each batch which of its keys occur more than once (kind 1: strings; 0: parts, with 1 for mixed)."""
+def _decide(strings: bool):
+    """For a range: tells each batch what is known of each of the keys it sent, in their order."""
+    width = 4 if strings else 8
 
     def decide(table: pa.Table) -> pa.Table:
-        keys = [X.unpack(b) for b in table["keys"].to_pylist()]
-        other = np.concatenate([np.frombuffer(b, _U) for b in table["other"].to_pylist()])
+        sent = [X.unpack(b) for b in table["keys"].to_pylist()]
+        keys = np.concatenate(sent)
+        other = np.concatenate([np.frombuffer(b, f"<u{width}") for b in table["other"].to_pylist()])
         flags = np.concatenate([np.frombuffer(b, np.uint8) for b in table["flags"].to_pylist()])
-        source = np.repeat(table["batch"].to_numpy(), [len(k) for k in keys])
-        keys = np.concatenate(keys)
         order = np.lexsort((other, keys))
-        keys, other, flags, source = keys[order], other[order], flags[order], source[order]
+        keys, other, flags = keys[order], other[order], flags[order]
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
-        if kind:
+        if strings:
             new[1:] |= other[1:] != other[:-1]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(keys)))
         worst = np.maximum.reduceat(flags, at)
-        mixed = (worst == 2) | (other[at] != other[at + size - 1])
-        twice = np.repeat((size > 1) | (worst > 0), size)
-        mixed = np.repeat(mixed, size)[twice]
-        keys, other, source = keys[twice], other[twice], source[twice]
-        order = np.lexsort((keys, source))
-        keys, other, source, mixed = keys[order], other[order], source[order], mixed[order]
-        edges = np.flatnonzero(np.diff(source)) + 1
-        cuts = list(zip(np.append(0, edges), np.append(edges, len(keys)), strict=True)) if len(keys) else []
-        told = other if kind else np.packbits(mixed)
-        return pa.table(
-            [
-                pa.array([int(source[a]) for a, _ in cuts], pa.int32()),
-                pa.array([kind] * len(cuts), pa.int32()),
-                pa.array([X.pack(keys[a:b]) for a, b in cuts], pa.binary()),
-                pa.array([told[a:b].tobytes() if kind else np.packbits(mixed[a:b]).tobytes() for a, b in cuts], pa.binary()),
-            ],
-            names=["batch", "kind", "keys", "flags"],
-        )
+        state = np.maximum(worst, size > 1).astype(np.uint8)
+        state[other[at] != other[at + size - 1]] = MIXED
+        states = np.empty(len(keys), np.uint8)
+        states[order] = np.repeat(state, size)
+        ends = np.cumsum([len(k) for k in sent])
+        told = [states[e - len(k) : e].tobytes() for k, e in zip(sent, ends.tolist(), strict=True)]
+        return pa.table([table["batch"].cast(pa.int32()), pa.array([int(strings)] * len(told), pa.int32()), table["range"].cast(pa.int32()), pa.array(told, pa.binary())], names=["batch", "kind", "range", "states"])
 
     return decide
 
 
-def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cores that repeat and whether they are mixed; strings that repeat (two fingerprints each)."""
-    cores, mixed, keys, other = [_NO], [np.zeros(0, np.int8)], [_NO], [_NO]
-    for kind, k, f in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), table["flags"].to_pylist(), strict=True):
-        k = X.unpack(k)
-        if kind:
-            keys.append(k)
-            other.append(np.frombuffer(f, _U))
-        else:
-            cores.append(k)
-            mixed.append(np.unpackbits(np.frombuffer(f, np.uint8), count=len(k)).astype(np.int8))
-    cores, mixed, keys, other = (np.concatenate(x) for x in (cores, mixed, keys, other))
-    order = np.argsort(cores)
-    return cores[order], mixed[order], keys, other
+def _told(table: pa.Table, kind: int) -> np.ndarray:
+    """What is known of the batch's sorted keys: rows come by range, ranges in the order of the keys."""
+    rows = sorted((r, s) for k, r, s in zip(table["kind"].to_pylist(), table["range"].to_pylist(), table["states"].to_pylist(), strict=True) if k == kind)
+    return _all([np.frombuffer(s, np.uint8) for _, s in rows], np.uint8)
+
+
+def _known_parts(parsed, told: pa.Table) -> list[np.ndarray]:
+    """The states of the parts of each chunk."""
+    states, cores = _told(told, 0), np.unique(_all([p.core for _, p in parsed]))
+    return [states[np.searchsorted(cores, p.core)] for _, p in parsed]
 
 
 def _send_strings(length: int, bits: int):
     def send(docs: pa.Table, told: pa.Table) -> pa.Table:
-        cores, mixed, _, _ = _told(told)
-        got = [(_NO, _NO, np.zeros(0, np.uint8))]
-        for part in R.chunks(_rows(docs)):
-            p = _Parse([r[-1] for r in part], length)
-            keys, other = p.strings(p.unsure(cores, mixed)[1])
-            got.append(_merge(keys, other, np.zeros(len(keys), np.uint8), True))
-        return _table(docs["batch"][0].as_py(), bits, *_merge(*(np.concatenate(c) for c in zip(*got, strict=True)), True))
+        parsed = _parse(docs, length)
+        found = [p.strings(p.unsure(s)) for (_, p), s in zip(parsed, _known_parts(parsed, told), strict=True)]
+        return _send(docs["batch"][0].as_py(), bits, *_merge(_all([k for k, _ in found]), _all([o for _, o in found]), True), 4)
 
     return send
 
 
 def _cut(length: int):
     def cut(docs: pa.Table, told: pa.Table) -> pa.Table:
-        cores, mixed, keys, other = _told(told)
-        both = np.sort(R.mix(keys) ^ other)  # one value of both fingerprints
-        out = []
-        for part in R.chunks(_rows(docs)):
-            p = _Parse([r[-1] for r in part], length)
-            state, starts = p.unsure(cores, mixed)
-            k, o = p.strings(starts)
-            again = starts[X.member(both, R.mix(k) ^ o)]
+        parsed = _parse(docs, length)
+        known = _known_parts(parsed, told)
+        starts = [p.unsure(s) for (_, p), s in zip(parsed, known, strict=True)]
+        found = [p.strings(s) for (_, p), s in zip(parsed, starts, strict=True)]
+        # The batch's strings in the order in which it sent them, and which of them repeat.
+        keys, other = _all([k for k, _ in found]), _all([o for _, o in found])
+        order = np.lexsort((other, keys))
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[order][1:] != keys[order][:-1]) | (other[order][1:] != other[order][:-1])
+        twice = np.empty(len(keys), bool)
+        twice[order] = (_told(told, 1) != ONCE)[np.cumsum(new) - 1] if len(keys) else False
+        out, done = [], 0
+        for (part, p), state, at in zip(parsed, known, starts, strict=True):
+            again = at[twice[done : done + len(at)]]
+            done += len(at)
+            whole = state == TWICE
             step = np.zeros(len(p.texts.data) + 1, np.int32)
-            whole = state == 1
             np.add.at(step, np.concatenate([p.left[whole], again]), 1)
             np.add.at(step, np.concatenate([p.right[whole], again]) + length, -1)
             gone = np.cumsum(step)[:-1] > 0
@@ -239,9 +230,9 @@ def suffix_dedup(docs: DataFrame, length: int = 200, batch_bytes: int = X.BATCH_
     # The same dealt rows are used three times below; Spark reuses their exchange.
     dealt = docs.withColumn("batch", X.by_hash(X.batches_for(total, batch_bytes), "doc_id", "text"))
     parts = dealt.groupBy("batch").applyInArrow(_send_parts(length, X.range_bits(total / EVERY * 1.1)), _SENT)
-    told = parts.groupBy("range").applyInArrow(_decide(0), _TOLD)
+    told = parts.groupBy("range").applyInArrow(_decide(False), _TOLD)
     strings = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(_send_strings(length, X.range_bits(total / 8)), _SENT)
-    again = strings.groupBy("range").applyInArrow(_decide(1), _TOLD)
+    again = strings.groupBy("range").applyInArrow(_decide(True), _TOLD)
     return dealt.groupBy("batch").cogroup(told.unionByName(again).groupBy("batch")).applyInArrow(
         _cut(length), "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary"
     )
