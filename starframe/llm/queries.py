@@ -56,6 +56,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_lines", "kept_share")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from starframe.llm import language_id as L
 
@@ -76,5 +83,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op8_language_id, op9_best_fit_packing, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_language_id, op9_best_fit_packing, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
