@@ -90,10 +90,3 @@ def ranges(keys: np.ndarray, bits: int):
     for a, b in zip(np.append(0, edges), np.append(edges, len(keys)), strict=True):
         yield int(top[a]), int(a), int(b)
 
-
-def member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which of x are among the sorted keys."""
-    if not len(sorted_keys):
-        return np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, x), len(sorted_keys) - 1)
-    return sorted_keys[at] == x

@@ -51,27 +51,23 @@ def _send(size: int, bits: int):
 
 
 def _first(table: pa.Table) -> pa.Table:
-    """To each batch, those of its keys that an earlier batch has."""
-    batches, parts = table["batch"].to_numpy(), [X.unpack(b) for b in table["keys"].to_pylist()]
-    keys = np.concatenate(parts)
-    source = np.repeat(batches, [len(p) for p in parts])
+    """Tells each batch which of the keys it sent, in their order, an earlier batch has (bits)."""
+    sent = [X.unpack(b) for b in table["keys"].to_pylist()]
+    keys = np.concatenate(sent)
+    source = np.repeat(table["batch"].to_numpy(), [len(k) for k in sent])
     order = np.lexsort((source, keys))
-    keys, source = keys[order], source[order]
     later = np.zeros(len(keys), bool)
-    later[1:] = (keys[1:] == keys[:-1]) & (source[1:] > source[:-1])
-    # Equal keys are in the order of their batches: all but the first are later ones.
-    keys, source = keys[later], source[later]
-    order = np.lexsort((keys, source))
-    keys, source = keys[order], source[order]
-    edges = np.flatnonzero(np.diff(source)) + 1
-    cuts = list(zip(np.append(0, edges), np.append(edges, len(keys)), strict=True)) if len(keys) else []
-    return pa.table([pa.array([int(source[a]) for a, _ in cuts], pa.int32()), pa.array([X.pack(keys[a:b]) for a, b in cuts], pa.binary())], names=["batch", "keys"])
+    # Equal keys come in the order of their batches, each batch once.
+    later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+    ends = np.cumsum([len(k) for k in sent])
+    told = [np.packbits(later[e - len(k) : e]).tobytes() for k, e in zip(sent, ends.tolist(), strict=True)]
+    return pa.table([table["batch"].cast(pa.int32()), table["range"].cast(pa.int32()), pa.array([len(k) for k in sent], pa.int32()), pa.array(told, pa.binary())], names=["batch", "range", "n", "later"])
 
 
 def _cut(size: int):
     def cut(docs: pa.Table, seen: pa.Table) -> pa.Table:
-        known = np.concatenate([np.zeros(0, np.uint64), *(X.unpack(b) for b in seen["keys"].to_pylist())])
-        known.sort()
+        told = sorted(zip(seen["range"].to_pylist(), seen["n"].to_pylist(), seen["later"].to_pylist(), strict=True))
+        later = np.concatenate([np.zeros(0, np.uint8), *(np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, n, b in told)]).astype(bool)
         rows = _read(docs)
         # The smallest id of each key in this batch: rows are in the order of ids, so the first one to come.
         parts, number, base = [], [np.zeros(0, np.int64)], 0
@@ -85,7 +81,9 @@ def _cut(size: int):
         uniq, first = np.unique(all_keys, return_index=True)
         ids = np.array([r[0] for r in rows], np.int64)
         least = ids[number[first]] if len(first) else ids[:0]
-        hit = X.member(known, all_keys) | (least[np.searchsorted(uniq, all_keys)] < ids[number] if len(uniq) else np.zeros(0, bool))
+        # ``later`` follows the distinct keys in their order, as they were sent.
+        at = np.searchsorted(uniq, all_keys)
+        hit = later[at] | (least[at] < ids[number]) if len(uniq) else np.zeros(0, bool)
         out: list[tuple] = [()] * len(rows)
         done = 0
         for p, words, at, keys in parts:
@@ -125,7 +123,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, batch_bytes: int = X.BATC
     dealt = X.by_order(docs, X.batches_for(total, batch_bytes))
     bits = X.range_bits(total / 6)
     sent = dealt.groupBy("batch").applyInArrow(_send(window, bits), "range int, batch int, keys binary")
-    seen = sent.groupBy("range").applyInArrow(_first, "batch int, keys binary")
+    seen = sent.groupBy("range").applyInArrow(_first, "batch int, range int, n int, later binary")
     return dealt.groupBy("batch").cogroup(seen.groupBy("batch")).applyInArrow(
         _cut(window), "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept_text string"
     )
