@@ -71,7 +71,9 @@ class Index:
             rows, at = np.unique(term[own], return_inverse=True)
             table = np.zeros((len(rows) + 1, BLOCK), np.float32)
             table[at, item[own] % BLOCK] = impact[own]
-            self.blocks.append((rows, table))
+            at = np.full(len(self.terms) + 1, len(rows), np.int32)
+            at[rows] = np.arange(len(rows))
+            self.blocks.append((at, table))
 
     def lookup(self, sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Positions in the sorted values, or their number where they lack it."""
@@ -103,14 +105,17 @@ class Index:
             at = t[a[0] : z[-1]]
             bound = np.add.reduceat(self.bounds[at], a - a[0], axis=0)
             for k in np.flatnonzero((bound >= threshold).any(0)).tolist():
-                rows, table = self.blocks[k]
-                for p in np.flatnonzero(bound[:, k] >= threshold).tolist():
-                    score = table[self.lookup(rows, at[a[p] - a[0] : z[p] - a[0]])].sum(0)
-                    for j in np.flatnonzero(score >= threshold).tolist():
-                        number = passage[a[p]]
-                        owner = int(np.searchsorted(base, number, side="right")) - 1
-                        first = int(words.first[owner] + (number - base[owner]) * step)
-                        yield owner, first, min(first + 2 * step, int(words.first[owner + 1])), k * BLOCK + j, float(score[j])
+                row, table = self.blocks[k]
+                use = np.flatnonzero(bound[:, k] >= threshold)
+                size = (z - a)[use]
+                begin = np.cumsum(size) - size
+                mine = np.arange(size.sum()) + np.repeat(a[use] - a[0] - begin, size)
+                score = np.add.reduceat(table[row[at[mine]]], begin, axis=0)
+                for p, j in zip(*(x.tolist() for x in np.nonzero(score >= threshold)), strict=True):
+                    number = passage[a[use[p]]]
+                    owner = int(np.searchsorted(base, number, side="right")) - 1
+                    first = int(words.first[owner] + (number - base[owner]) * step)
+                    yield owner, first, min(first + 2 * step, int(words.first[owner + 1])), k * BLOCK + j, float(score[p, j])
 
     def overlaps(self, hashes: np.ndarray, item: int, grams: dict) -> list[float | None]:
         """Shares of the item's shingles (whole, question, answer) that the passage has."""
