@@ -6,11 +6,11 @@ coordinates of a signature keeps its dart of least rank.  Two weighted sets agre
 their weighted Jaccard similarity.  Only ranks up to about (k ln k + 2k) / (total weight) are thrown at, so a signature takes time
 linear in the elements plus k log k.
 
-Equal texts are one node.  Nodes that agree in a band meet in a bucket.  No bucket emits all its pairs: its members are compared
-with one of them, the *centre*, by exact similarity; those not close to it form a bucket of their own in the next round.  Jaccard
-distance is a metric, so a member that fails at distance x from the centre can be close only to members at distances x - 0.2 to
-x + 0.2 from it: where these are not joined already, those pairs are compared too.  So every link between members of a bucket
-is found or is implied by others, without a cap and without the square of a group's size.
+Equal texts are one node.  Nodes that agree in a band meet in a bucket; chains of buckets make clusters, within which every pair
+is decided by exact similarity, so no link between members of a bucket is lost.  Pairs are never rows: the members of small
+clusters come in bundles of some hundred texts, those of a larger cluster in pairs of its blocks, and a bundle counts common
+shingles through an inverted index and returns a spanning forest of its links.  So a task holds a bounded number of texts however
+large a cluster is.
 """
 
 from __future__ import annotations
@@ -123,91 +123,103 @@ def _sign(k: int, rows: int, size: int, weighted: bool):
     return sign
 
 
-def _compare(size: int, weighted: bool):
-    """Adds ``distance``, one minus the exact Jaccard similarity, to rows with two texts; drops the texts."""
-
-    def bag(text: bytes):
-        return np.unique(shingles([text or b""], size)[0], return_counts=True)
-
-    def compare(tables):
-        for table in tables:
-            known: dict[bytes, tuple] = {}
-            out = []
-            for ka, a, kb, b in zip(*(table.column(c).cast(pa.large_binary()).to_pylist() for c in ("centre", "centre_text", "node", "node_text")), strict=True):
-                for key, text in ((ka, a), (kb, b)):
-                    if key not in known:
-                        known[key] = bag(text)
-                (x, nx), (y, ny) = known[ka], known[kb]
-                both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-                if weighted:
-                    common, total = np.minimum(nx[ix], ny[iy]).sum(), nx.sum() + ny.sum()
-                else:
-                    common, total = len(both), len(x) + len(y)
-                out.append(1 - common / max(1, total - common))
-            keep = [c for c in table.schema.names if not c.endswith("_text")]
-            yield pa.RecordBatch.from_arrays([*(table.column(c) for c in keep), pa.array(out, pa.float64())], names=[*keep, "distance"])
-
-    return compare
-
-
-def _measured(pairs: DataFrame, texts: DataFrame, size: int, weighted: bool) -> DataFrame:
-    """(centre, node, distance) for distinct pairs; texts: (node, text) of all documents."""
-    need = pairs.select(F.col("centre").alias("node")).unionByName(pairs.select("node")).distinct()
-    own = texts.join(need, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    rows = pairs.join(own.withColumnRenamed("text", "node_text"), "node").join(own.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre")
-    return rows.select("centre", "node", "centre_text", "node_text").mapInArrow(_compare(size, weighted), "centre binary, node binary, distance double")
-
-
-def near_dups(docs: DataFrame, similarity: float = 0.8, size: int = 5, k: int = 64, rows: int = 4, weighted: bool = False) -> DataFrame:
+def _sets(texts: list[bytes], size: int, weighted: bool):
+    """Distinct elements of each text and their owners; weighted: the n-th occurrence of a shingle is an element of its own."""
+    e, o = shingles(texts, size)
+    order = np.lexsort((e, o))
+    e, o = e[order], o[order]
+    new = np.ones(len(e), bool)
+    new[1:] = (e[1:] != e[:-1]) | (o[1:] != o[:-1])
+    if not weighted:
+        return e[new], o[new]
+    at = np.flatnonzero(new)
+    return _salt(e, np.arange(len(e)) - np.repeat(at, np.diff(np.append(at, len(e))))), o
+
+
+def _link(size: int, weighted: bool, similarity: float):
+    """The links of a bundle of texts, as a spanning forest: (a, b) with b the least node of a tree."""
+
+    def link(table: pa.Table) -> pa.Table:
+        nodes, first = np.unique(np.array(table["node"].to_pylist(), dtype=object), return_index=True)
+        texts = table["text"].cast(pa.large_binary())
+        texts = [texts[int(k)].as_py() or b"" for k in first]
+        found = [_sets([t for _, t in part], size, weighted) for part in R.chunks(list(enumerate(texts)))]
+        base = np.cumsum([0, *(len(part) for part in R.chunks(list(enumerate(texts))))])
+        e, o = np.concatenate([x for x, _ in found]), np.concatenate([x + b for (_, x), b in zip(found, base, strict=False)])
+        count = np.bincount(o, minlength=len(nodes))
+        # An inverted index of the elements that several texts share.
+        _, code, often = np.unique(e, return_inverse=True, return_counts=True)
+        keep = often[code] > 1
+        code, o = code[keep], o[keep]
+        by_text = np.argsort(o, kind="stable")
+        own, ends = code[by_text], np.cumsum(np.bincount(o, minlength=len(nodes)))
+        by_code = np.argsort(code, kind="stable")
+        owners, stop = o[by_code], np.cumsum(np.bincount(code, minlength=len(often)))
+        start = stop - np.bincount(code, minlength=len(often))
+        parent = list(range(len(nodes)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x in range(len(nodes)):
+            mine = own[ends[x - 1] if x else 0 : ends[x]]
+            if not len(mine):
+                continue
+            n = stop[mine] - start[mine]
+            at = np.arange(n.sum()) + np.repeat(start[mine] - (np.cumsum(n) - n), n)
+            common = np.bincount(owners[at], minlength=len(nodes))
+            near = common >= (similarity - 1e-12) * (count[x] + count - common)
+            near &= common > 0
+            for y in np.flatnonzero(near[:x]).tolist():
+                p, q = find(x), find(y)
+                parent[max(p, q)] = min(p, q)
+        pairs = [(k, find(k)) for k in range(len(nodes))]
+        pairs = [(nodes[k], nodes[p]) for k, p in pairs if k != p]
+        return pa.table([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], names=["a", "b"])
+
+    return link
+
+
+#: Texts in a bundle, and bytes of text; below this many rows a table that was counted is broadcast.
+BUNDLE, BUNDLE_BYTES, BROADCAST_ROWS = 400, 8 << 20, 500_000
+
+
+def near_dups(docs: DataFrame, similarity: float = 0.8, size: int = 5, k: int = 168, rows: int = 6, weighted: bool = False) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, node (the text's digest), class_id, class_size, is_first.
 
     Documents belong to one class if a chain of links joins them: a link is an equal text, or Jaccard similarity of word shingles
     (``size`` words ``[^\\x20\\x09-\\x0D]+``) of ``similarity`` at least.  With ``weighted`` shingles count as often as they occur,
     in signatures and in the comparison.  class_id is the least doc_id of the class, class_size its number of rows; is_first marks
     the rows of the class that hold the least doc_id's first text (by digest).  Texts that are null or without words make a class
-    each by doc_id.  With k = 64 and 4 rows a band, a pair at similarity 0.8 shares a bucket with probability 0.9998.
+    each by doc_id.  With k = 168 and 6 rows a band, a pair at similarity 0.8 shares a bucket with probability 0.9998.
     Repeated rows are in the class of their text; other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.withColumn("node", F.unhex(F.md5("text")))
-    signed = cut(keyed.mapInArrow(_sign(k, rows, size, weighted), "doc_id long, node binary, bands array<long>"))
-    nodes = signed.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
-    key = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
-    crowd = key.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
-    members = cut(key.join(crowd, "bucket").where("node <> centre"))
-    texts, found, near = keyed.select("node", "text"), [], 1 - similarity + 1e-12
-    crossing = None
-    while True:
-        measured = cut(_measured(members.select("centre", "node").distinct(), texts, size, weighted))
-        found.append(measured.where(F.col("distance") <= near).select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        judged = members.join(measured, ["centre", "node"])
-        failed = judged.where(F.col("distance") > near)
-        # Pairs across: one that failed here and one that is close to the centre, if the triangle allows them to be close.
-        left = failed.where(F.col("distance") <= 2 * near).select("bucket", F.col("node").alias("centre"), F.col("distance").alias("d"))
-        right = judged.where(F.col("distance") <= near).select("bucket", "node", "distance")
-        pairs = left.join(right, "bucket").where(F.col("distance") >= F.col("d") - near).select("centre", "node").distinct()
-        crossing = pairs if crossing is None else crossing.unionByName(pairs)
-        again = failed.select("bucket", "node")
-        crowd = again.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").select("bucket", "centre")
-        members = cut(again.join(crowd, "bucket").where("node <> centre"))
-        if members.isEmpty():
-            break
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    root = cut(components(edges))
-    # Of the pairs across, those that chains of links join already need no comparison.
-    side = root.select(F.col("node").alias("x"), "root")
-    loose = cut(
-        crossing.distinct()
-        .join(side.select(F.col("x").alias("centre"), F.col("root").alias("ra")), "centre", "left")
-        .join(side.select(F.col("x").alias("node"), F.col("root").alias("rb")), "node", "left")
-        .where(F.coalesce("ra", "centre") != F.coalesce("rb", "node"))
-        .select("centre", "node")
-    )
-    if not loose.isEmpty():
-        late = _measured(loose, texts, size, weighted).where(F.col("distance") <= near).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        root = components(edges.unionByName(late))
+    keyed = docs.withColumns({"node": F.unhex(F.md5("text")), "id": F.xxhash64("text"), "size": F.octet_length("text")})
+    signed = cut(keyed.mapInArrow(_sign(k, rows, size, weighted), "doc_id long, node binary, id long, size int, bands array<long>"))
+    # Clusters: chains of buckets, on short ids (two texts of one id would only share a cluster).
+    nodes = signed.where("bands is not null").groupBy("id").agg(F.first("bands").alias("bands"))
+    key = nodes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
+    least = key.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("bucket", "least")
+    clusters = components(key.join(least, "bucket").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")).distinct())
+    # One row of each text of a cluster, and where it is compared.
+    chosen = signed.where("bands is not null").groupBy("id", "node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size")).join(clusters.select(F.col("node").alias("id"), F.col("root").alias("cluster")), "id")
+    chosen = cut(chosen)
+    n, total = chosen.agg(F.count("*"), F.sum("size")).first()
+    sizes = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BUNDLE), F.ceil(F.sum("size") / BUNDLE_BYTES)).alias("blocks"))
+    bundles = max(1, math.ceil(n / BUNDLE), math.ceil((total or 0) / BUNDLE_BYTES))
+    placed = chosen.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")))
+    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")))
+    # A cluster of one block shares a bundle with others; the pairs of blocks of a larger one are bundles of their own.
+    bundle = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("cluster"), F.lit(bundles)))).otherwise(F.transform(pair, lambda p: F.xxhash64("cluster", p["i"], p["j"])))
+    placed = placed.select("id", "node", "doc_id", bundle.alias("bundles"))
+    placed = F.broadcast(placed) if n < BROADCAST_ROWS else placed
+    same = (keyed["id"] == placed["id"]) & (keyed["node"] == placed["node"]) & keyed["doc_id"].eqNullSafe(placed["doc_id"])
+    texts = keyed.join(placed, same).select(keyed["node"], keyed["text"], F.explode("bundles").alias("bundle"))
+    root = components(texts.groupBy("bundle").applyInArrow(_link(size, weighted, similarity), "a binary, b binary"))
     own = signed.join(root, "node", "left").withColumn("class", F.when(F.col("bands").isNotNull(), F.coalesce("root", "node")))
     by = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
     out = own.where("class is not null").join(by, "class").select("doc_id", "node", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("node") == F.col("f.node"))).alias("is_first"))
