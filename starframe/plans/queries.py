@@ -1,10 +1,327 @@
-"""The registered queries of the archive operators, and the DuckDB SQL that gives the same rows."""
+"""The registered queries of the archive operators, and the DuckDB SQL that gives the same rows.
+
+All run over whole tables.  Light curves are ``events`` (seconds of ts, value), images are ``embeddings`` (row vec_id of 64 pixels),
+positions on the sky are derived from the keys of ``orders``, and header cards are written from ``part`` and ``supplier``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from starframe.functions import scalar as S
+from starframe.operators import headers, images, points, sampling, stats, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def light_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seconds = F.expr("unix_micros(to_utc_timestamp(CAST(ts AS TIMESTAMP), 'UTC')) / 1e6")
+    return read(spark, sf_dir, "events").select("event_type", "event_id", seconds.alias("x"), F.col("value").alias("y"))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field around RA 0, with placeholders: right ascension and declination from the keys."""
+    k = F.col("o_orderkey")
+    ra = F.pmod(F.lit(340) + F.pmod(k * 37, F.lit(4000)) / 100.0, F.lit(360.0))
+    dec = F.when(F.pmod(k, F.lit(97)) == 0, -999.0).otherwise(F.pmod(k * 53, F.lit(3000)) / 100.0 - 15)
+    return read(spark, sf_dir, "orders").select("o_orderstatus", ra.alias("ra"), dec.alias("dec"))
+
+
+POSITIONS = """p AS (SELECT o_orderstatus, (340 + ((o_orderkey * 37) % 4000) / 100.0::DOUBLE) - CASE WHEN 340 + ((o_orderkey * 37) % 4000) / 100.0::DOUBLE >= 360 THEN 360 ELSE 0 END AS ra,
+  CASE WHEN o_orderkey % 97 = 0 THEN -999.0 ELSE ((o_orderkey * 53) % 3000) / 100.0::DOUBLE - 15 END AS dec FROM orders)"""
+CURVES = "e AS (SELECT event_type, event_id, epoch_us(ts) / 1e6 AS x, value AS y FROM events)"
+#: nearest rank of p among n
+NEAREST = "CAST(floor({p} * (n - 1) + 0.5) AS BIGINT)"
+
+
+def _rank_sql(source: str, group: str, value: str, ranks: dict[str, str]) -> str:
+    picks = ", ".join(f"max(CASE WHEN i = {k} THEN v END) AS {name}" for name, k in ranks.items())
+    return f"SELECT {group} AS g, any_value(n) AS n, min(v) AS vmin, max(v) AS vmax, {picks} FROM (SELECT {group}, {value} AS v, row_number() OVER (PARTITION BY {group} ORDER BY {value}) - 1 AS i, count(*) OVER (PARTITION BY {group}) AS n FROM {source}) GROUP BY 1"
+
+
+@query(f"WITH {CURVES} SELECT event_type, count(*) AS n, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM e GROUP BY 1")
+def axis_ranges_events(spark, sf_dir):
+    return points.axis_ranges(light_curves(spark, sf_dir), "x", "y", ["event_type"]).drop("w_min", "w_max")
+
+
+@query(f"""WITH {CURVES}, r AS (SELECT event_type, min(x) AS a, max(x) - min(x) AS span, least(300, count(*)) AS k FROM e GROUP BY 1)
+SELECT event_type, c, min(y::FLOAT)::DOUBLE AS lo, max(y::FLOAT)::DOUBLE AS hi, count(*) AS n FROM
+(SELECT e.event_type, greatest(0, least(k - 1, CAST(trunc((x - a) * (k / span)) AS INT)))::INT AS c, y FROM e JOIN r USING (event_type)) GROUP BY 1, 2""")
+def envelope_events(spark, sf_dir):
+    out = points.envelope(light_curves(spark, sf_dir), "x", "y", 300, ["event_type"])
+    return out.select("event_type", "c", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "n")
+
+
+_RANGE = f"""SELECT g, n, CASE WHEN p1 - p0 < 0.2 * (vmax - vmin) THEN p0 ELSE vmin END AS lo, CASE WHEN p1 - p0 < 0.2 * (vmax - vmin) THEN p1 ELSE vmax END AS hi FROM s"""
+_PADDED = "SELECT g, n, lo - pad AS y_min, hi + pad AS y_max FROM (SELECT *, CASE WHEN (hi - lo) * 0.05 > 0 THEN (hi - lo) * 0.05 WHEN abs(hi) > 0 THEN abs(hi) * 0.1 ELSE 1.0 END AS pad FROM q)"
+_TAILS = {"p0": NEAREST.format(p="0.001"), "p1": NEAREST.format(p="0.999")}
+
+
+@query(f"""WITH {CURVES}, s AS ({_rank_sql("e", "event_type", "y", _TAILS)}), q AS ({_RANGE}), y AS ({_PADDED}),
+r AS (SELECT event_type, min(x) AS a, max(x) - min(x) AS span, least(200, count(*)) AS k FROM e GROUP BY 1),
+t AS (SELECT event_type, a, span, k, y_min, y_max, greatest(16, least(1024, floor(k * 3 / 4)))::INT AS m FROM r JOIN y ON event_type = g),
+d AS (SELECT event_type, greatest(0, least(k - 1, CAST(trunc((x - a) * (k / span)) AS INT)))::INT AS c, (y - y_min) * (m / (y_max - y_min)) AS r, m FROM e JOIN t USING (event_type))
+SELECT event_type, c, CAST(trunc(r) AS INT) AS r, count(*) AS n, least(count(*), 255)::INT AS dots FROM d WHERE r >= 0 AND r < m GROUP BY 1, 2, 3""")
+def density_events(spark, sf_dir):
+    return points.density_grid(light_curves(spark, sf_dir), "x", "y", 200, ["event_type"])
+
+
+@query("""SELECT label, c, min(v)::DOUBLE AS lo, max(v)::DOUBLE AS hi, count(*) AS n FROM (SELECT label, CAST(floor(((i + 1) * 20 - 1) / 64) AS INT) AS c, v::FLOAT AS v FROM
+(SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)) WHERE isfinite(v) GROUP BY 1, 2""")
+def envelope_arrays(spark, sf_dir):
+    out = images.envelope_row(read(spark, sf_dir, "embeddings"), 20, ["label"], "embedding")
+    return out.select("label", "c", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "n")
+
+
+@query(f"""WITH {POSITIONS}, v AS (SELECT *, CASE WHEN ra > 180 THEN ra - 360 ELSE ra END AS w FROM p WHERE ra BETWEEN -360 AND 360 AND dec BETWEEN -90 AND 90),
+r AS (SELECT o_orderstatus, count(*) AS n, min(ra) AS x0, max(ra) AS x1, min(dec) AS y_min, max(dec) AS y_max, min(w) AS w_min, max(w) AS w_max FROM v GROUP BY 1)
+SELECT o_orderstatus, n, w_max - w_min < x1 - x0 - 1 AS wrap, CASE WHEN w_max - w_min < x1 - x0 - 1 THEN w_min ELSE x0 END AS x_min, CASE WHEN w_max - w_min < x1 - x0 - 1 THEN w_max ELSE x1 END AS x_max, y_min, y_max, w_min, w_max FROM r""")
+def sky_filter_wrap(spark, sf_dir):
+    return points.sky_wrap(points.axis_ranges(positions(spark, sf_dir), "ra", "dec", ["o_orderstatus"], sky=True))
+
+
+@query(f"""WITH {POSITIONS}, v AS (SELECT CASE WHEN ra > 180 THEN ra - 360 ELSE ra END AS x, dec AS y FROM p WHERE ra BETWEEN -360 AND 360 AND dec BETWEEN -90 AND 90),
+s AS ({_rank_sql("(SELECT 0 AS g, * FROM v)", "g", "y", _TAILS)}), q AS ({_RANGE}), y AS ({_PADDED}),
+r AS (SELECT min(x) AS a, max(x) - min(x) AS span, least(64, count(*)) AS k FROM v), t AS (SELECT a, span, k, y_min, y_max, greatest(16, least(1024, floor(k * 3 / 4)))::INT AS m FROM r, y),
+d AS (SELECT greatest(0, least(k - 1, CAST(trunc((x - a) * (k / span)) AS INT)))::INT AS c, (y.y - y_min) * (m / (y_max - y_min)) AS r, m FROM v AS y, t),
+g AS (SELECT c, CAST(trunc(r) AS INT) AS r, count(*) AS n, least(count(*), 255)::INT AS dots FROM d WHERE r >= 0 AND r < m GROUP BY 1, 2), z AS (SELECT max(dots) AS peak, count(*) AS used FROM g)
+SELECT c, r, n, dots, round(CASE WHEN used * 8 > 64 * 48 AND peak > 1 THEN 60 + 195 * ln(dots) / ln(peak) ELSE 255.0 END, 6) AS shade FROM g, z""")
+def sky_density(spark, sf_dir):
+    grid = points.density_grid(positions(spark, sf_dir), "ra", "dec", 64, sky=True)
+    return points.density_shades(grid, 64 * 48).withColumn("shade", F.round("shade", 6))
+
+
+@query(f"WITH s AS ({_rank_sql('lineitem', 'l_returnflag', 'l_extendedprice', _TAILS)}), q AS ({_RANGE}) SELECT g AS l_returnflag, n, y_min, y_max FROM ({_PADDED})")
+def plot_range_lineitem(spark, sf_dir):
+    return stats.plot_range(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+
+
+_MEDIAN = f"m AS ({_rank_sql('lineitem', 'l_returnflag', 'l_extendedprice', {'med': 'n // 2'})})"
+_OFF = "o AS (SELECT l_returnflag, abs(l_extendedprice - med) AS off FROM lineitem JOIN m ON l_returnflag = g)"
+_MAD = f"a AS ({_rank_sql('o', 'l_returnflag', 'off', {'mad': 'n // 2'})})"
+
+
+@query(f"WITH {_MEDIAN}, {_OFF}, {_MAD} SELECT m.g AS l_returnflag, m.n, m.vmin, m.vmax, med, mad FROM m JOIN a USING (g)")
+def kth_median_mad(spark, sf_dir):
+    return stats._mad(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+
+
+_AUTO = f"""WITH {_MEDIAN}, {_OFF}, {_MAD}, t AS (SELECT m.g, m.n, m.vmin, m.vmax, med, mad, greatest(m.vmin, med - 2.8 * (1.4826 * mad)) AS lo FROM m JOIN a USING (g)), u AS (SELECT *, (med - lo) / (vmax - lo) AS x0 FROM t),
+st AS (SELECT g AS l_returnflag, n, vmin, vmax, med AS median, 1.4826 * mad AS sigma, lo AS black, vmax AS white, lo AS c0, 1 / (vmax - lo) AS inv, CASE WHEN x0 < 0.25 THEN greatest(3 * x0 / (2 * x0 + 1), 1e-12) ELSE 0.5 END AS m FROM u)"""
+
+
+@query(f"{_AUTO} SELECT l_returnflag, n, vmin, vmax, median, sigma, round(black, 6) AS black, white, round(c0, 6) AS c0, round(inv, 12) AS inv, round(m, 9) AS m FROM st")
+def auto_stretch_price(spark, sf_dir):
+    out = stats.auto_stretch(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return out.withColumns({"black": F.round("black", 6), "c0": F.round("c0", 6), "inv": F.round("inv", 12), "m": F.round("m", 9)})
+
+
+@query(f"""WITH s AS ({_rank_sql("lineitem", "l_returnflag", "l_extendedprice", {"med": NEAREST.format(p="0.5"), "p0": NEAREST.format(p="0.005"), "p1": NEAREST.format(p="0.995")})})
+SELECT g AS l_returnflag, n, vmin, vmax, med AS median, 0.0::DOUBLE AS sigma, p0 AS black, p1 AS white, p0 AS c0, 1 / (p1 - p0) AS inv, 0.5::DOUBLE AS m FROM s""")
+def linear_stretch_price(spark, sf_dir):
+    return stats.linear_stretch(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+
+
+@query(f"""WITH s AS ({_rank_sql("lineitem", "l_returnflag", "l_extendedprice", {"med": NEAREST.format(p="0.5")})})
+SELECT g AS l_returnflag, n, vmin, vmax, med AS median, 0.0::DOUBLE AS sigma, vmin AS black, vmax AS white, vmin AS c0, 1 / (vmax - vmin) AS inv, 0.5::DOUBLE AS m FROM s""")
+def minmax_stretch_price(spark, sf_dir):
+    return stats.minmax_stretch(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"])
+
+
+_LEVELS = f"""{_AUTO}, x AS (SELECT l.l_returnflag, CAST(floor(255 * ((m - 1) * t / ((2 * m - 1) * t - m)) + 0.5) AS INT) AS level FROM
+(SELECT l_returnflag, m, greatest(least((l_extendedprice - c0) * inv, 1.0), 0.0) AS t FROM lineitem JOIN st USING (l_returnflag)) AS l)"""
+
+
+def levels(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("value"))
+    return images.stretched(items, stats.auto_stretch(items, "value", ["l_returnflag"]), ["l_returnflag"])
+
+
+@query(f"{_LEVELS} SELECT l_returnflag, level, count(*) AS n FROM x GROUP BY 1, 2")
+def stretch8_histogram(spark, sf_dir):
+    return levels(spark, sf_dir).groupBy("l_returnflag", "level").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_LEVELS}, h AS (SELECT l_returnflag, level, count(*) AS k FROM x GROUP BY 1, 2), r AS (SELECT *, sum(k) OVER (PARTITION BY l_returnflag ORDER BY level) AS run, sum(k) OVER (PARTITION BY l_returnflag) AS n FROM h)
+SELECT l_returnflag, 0.0::DOUBLE AS transparent, min(level) AS median_level, any_value(n)::BIGINT AS opaque FROM r WHERE run * 2 >= n GROUP BY 1""")
+def render_stats_price(spark, sf_dir):
+    return stats.render_stats(levels(spark, sf_dir), "level", ["l_returnflag"])
+
+
+_PIXELS = "x AS (SELECT vec_id AS y, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS x, label FROM embeddings)"
+
+
+def pixel_rows(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.col("embedding").alias("values"), "label")
+
+
+def _height(spark, sf_dir) -> int:
+    return read(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+
+
+_H = "(SELECT max(vec_id) + 1 FROM embeddings)"
+
+
+@query(f"WITH {_PIXELS} SELECT (y // 3)::INT AS oy, (x // 3)::INT AS ox, round(avg(v), 9) AS value, count(*) AS n FROM x WHERE y < {_H} // 3 * 3 AND x < 63 GROUP BY 1, 2")
+def bin2d_embeddings_full(spark, sf_dir):
+    return images.bin2d(pixel_rows(spark, sf_dir), 3, 21, _height(spark, sf_dir) // 3).withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {_PIXELS} SELECT (y // 10)::INT AS oy, (x // 10)::INT AS ox, round(avg(v), 9) AS value, count(*) AS n FROM x WHERE y < {_H} // 10 * 10 AND x < 60 AND y % 10 IN (1, 3, 6, 8) AND x % 10 IN (1, 3, 6, 8) GROUP BY 1, 2")
+def bin2d_embeddings_sampled(spark, sf_dir):
+    return images.bin2d(pixel_rows(spark, sf_dir), 10, 6, _height(spark, sf_dir) // 10, 4).withColumn("value", F.round("value", 9))
+
+
+@query("SELECT floor(l_suppkey / 5)::BIGINT AS oy, floor(l_quantity / 5)::BIGINT AS ox, round(avg(l_extendedprice), 6) AS value, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def bin2d_points_lineitem(spark, sf_dir):
+    return images.bin2d_points(read(spark, sf_dir, "lineitem"), "l_quantity", "l_suppkey", "l_extendedprice", 5).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {_PIXELS} SELECT (y // 4)::INT AS oy, (x // 4)::INT AS ox, substr('RGGB', ((y % 2) * 2 + x % 2 + 1)::INT, 1) AS channel, round(avg(v), 9) AS value, count(*) AS n FROM x
+WHERE y < {_H} // 2 // 2 * 4 GROUP BY 1, 2, 3""")
+def bayer_bin_embeddings(spark, sf_dir):
+    return images.bin_bayer(pixel_rows(spark, sf_dir), "RGGB", 64, _height(spark, sf_dir), 2).withColumn("value", F.round("value", 9))
+
+
+@query(f"""WITH {_PIXELS}, b AS (SELECT label, (y // 50)::INT AS oy, (x // 8)::INT AS ox, round(avg(v), 9) AS value FROM x WHERE label < 3 AND y < {_H} // 50 * 50 GROUP BY 1, 2, 3)
+SELECT oy, ox, max(CASE WHEN label = 0 THEN value END) AS red, max(CASE WHEN label = 1 THEN value END) AS green, max(CASE WHEN label = 2 THEN value END) AS blue, count(*) = 3 AS opaque FROM b GROUP BY 1, 2""")
+def rgb_pivot(spark, sf_dir):
+    planes = pixel_rows(spark, sf_dir).where("label < 3").withColumnRenamed("label", "channel")
+    wide = planes.select("channel", "y", F.posexplode("values").alias("x", "v")).where(F.col("y") < _height(spark, sf_dir) // 50 * 50)
+    cells = images.bin2d_points(wide, "x", "y", "v", 8, 50, ["channel"])
+    return images.rgb(cells.select("channel", F.col("oy").cast("int").alias("oy"), F.col("ox").cast("int").alias("ox"), F.round("value", 9).alias("value")))
+
+
+@query("SELECT vec_id AS y, round(list_sum(list_transform(embedding[11:30], lambda x: x::DOUBLE)), 6) AS total, 20 AS width FROM embeddings WHERE vec_id >= 100 AND vec_id < 350")
+def crop_region(spark, sf_dir):
+    x, y, w, h = images.crop_plan(10, 100, 20, 250, 64, 10**9)
+    part = images.crop(pixel_rows(spark, sf_dir), x, y, w, h)
+    return part.select("y", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")), 6).alias("total"), F.size("values").alias("width"))
+
+
+@query("SELECT vec_id AS y, label AS plane, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label = 5")
+def plane_slice(spark, sf_dir):
+    out = images.select_plane(pixel_rows(spark, sf_dir).withColumnRenamed("label", "plane"), planes=10)
+    return out.select("y", "plane", F.round(F.col("values")[0].cast("double"), 6).alias("first"))
+
+
+@query(f"""WITH {CURVES}, r AS (SELECT event_type, min(x) AS a, max(x) - min(x) AS span, least(1000, count(*)) AS k FROM e GROUP BY 1),
+c AS (SELECT DISTINCT event_type, greatest(0, least(k - 1, CAST(trunc((x - a) * (k / span)) AS INT)))::INT AS c FROM e JOIN r USING (event_type)),
+b AS (SELECT *, CASE WHEN c - lag(c) OVER (PARTITION BY event_type ORDER BY c) > 3 THEN 1 ELSE 0 END AS broken FROM c)
+SELECT event_type, c, (sum(broken) OVER (PARTITION BY event_type ORDER BY c))::INT AS segment FROM b""")
+def line_segments_events(spark, sf_dir):
+    cols = points.envelope(light_curves(spark, sf_dir), "x", "y", 1000, ["event_type"])
+    return points.line_segments(cols, 100, ["event_type"]).select("event_type", "c", "segment")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_orderkey % 7 = 0")
+def stride_sample_lineitem(spark, sf_dir):
+    return sampling.stride_sample(read(spark, sf_dir, "lineitem"), 7, "l_orderkey").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+_EACH = """w AS (SELECT l_returnflag AS g, l_orderkey // 100 AS w, l_extendedprice AS x, l_quantity AS y FROM lineitem), k AS (SELECT g, w, max(x) - min(x) AS dx, max(y) - min(y) AS dy FROM w GROUP BY 1, 2 HAVING count(*) > 1), a AS (SELECT g, max(x) - min(x) AS sx, max(y) - min(y) AS sy FROM w GROUP BY 1)"""
+
+
+@query(f"""WITH {_EACH}, mx AS ({_rank_sql("k", "g", "dx", {"m": NEAREST.format(p="0.5")})}), my AS ({_rank_sql("k", "g", "dy", {"m": NEAREST.format(p="0.5")})})
+SELECT a.g AS l_returnflag, mx.m / sx AS spread_x, my.m / sy AS spread_y, mx.m / sx < 0.25 OR my.m / sy < 0.25 AS sorted FROM a JOIN mx ON a.g = mx.g JOIN my ON a.g = my.g""")
+def block_sample_spread(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").withColumn("w", F.floor(F.col("l_orderkey") / 100))
+    return sampling.window_spread(items, "l_extendedprice", "l_quantity", "w", ["l_returnflag"])
+
+
+@query("SELECT l_returnflag, count(*) AS total, count(*) FILTER (l_quantity <> 13) AS valid, bool_or(l_quantity = 13) AS has_missing, false AS empty FROM lineitem GROUP BY 1")
+def data_quality_lineitem(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem").withColumn("v", F.when(F.col("l_quantity") != 13, F.col("l_quantity")).otherwise(F.lit(float("nan"))))
+    return stats.data_quality(items, "v", ["l_returnflag"])
+
+
+def part_cards(spark, sf_dir):
+    """Four cards for each part: a name, a price with a comment, a long string that is continued, and a comment card."""
+    part = read(spark, sf_dir, "part")
+    card = lambda text: F.rpad(text, 80, " ")
+    cards = F.array(
+        card(F.concat(F.lit("OBJECT  = '"), F.rpad(F.replace("p_name", F.lit("'"), F.lit("''")), 20, " "), F.lit("' / name"))),
+        card(F.concat(F.lit("PRICE   = "), F.lpad(F.col("p_retailprice").cast("decimal(20,2)").cast("string"), 20, " "), F.lit(" / [unit] price"))),
+        card(F.concat(F.lit("LONGSTR = '"), F.col("p_brand"), F.lit("&' / first"))),
+        card(F.concat(F.lit("CONTINUE  '"), F.col("p_type"), F.lit("' / second"))),
+        card(F.concat(F.lit("COMMENT   size "), F.col("p_size").cast("string"))),
+        card(F.lit("END")),
+    )
+    return part.select(F.col("p_partkey").alias("path"), F.lit(0).alias("hdu"), F.array_join(cards, "").alias("header"))
+
+
+def parsed_cards(spark, sf_dir):
+    return headers.parse_cards(headers.split_cards(part_cards(spark, sf_dir)))
+
+
+@query("""SELECT p_partkey AS path, 0 AS seq, 'v' AS kind, 'OBJECT' AS key, rtrim(left(rpad(p_name, 20, ' '), 20)) AS value, true AS is_string, 'name' AS comment FROM part
+UNION ALL SELECT p_partkey, 1, 'v', 'PRICE', p_retailprice::DECIMAL(20,2)::VARCHAR, false, '[unit] price' FROM part
+UNION ALL SELECT p_partkey, 2, 'v', 'LONGSTR', p_brand || '&', true, 'first' FROM part
+UNION ALL SELECT p_partkey, 3, 'c', 'CONTINUE', p_type, true, 'second' FROM part
+UNION ALL SELECT p_partkey, 4, 'c', 'COMMENT', '  size ' || p_size, false, '' FROM part
+UNION ALL SELECT p_partkey, 5, 'e', 'END', '', false, '' FROM part""")
+def cards_parse(spark, sf_dir):
+    return parsed_cards(spark, sf_dir).select("path", "seq", "kind", "key", "value", "is_string", "comment")
+
+
+@query("SELECT p_partkey AS path, 2 AS seq, p_brand || p_type AS value, 'first second' AS comment FROM part")
+def cards_continue(spark, sf_dir):
+    return headers.join_continued(parsed_cards(spark, sf_dir)).where("key = 'LONGSTR'").select("path", "seq", "value", "comment")
+
+
+@query("SELECT p_partkey AS path, p_retailprice::DECIMAL(20,2)::DOUBLE AS value, trunc(p_retailprice)::BIGINT AS whole FROM part")
+def keyword_lookup(spark, sf_dir):
+    cards = parsed_cards(spark, sf_dir)
+    price = headers.keyword(cards, "PRICE", "double").select("path", "value")
+    return price.join(headers.keyword(cards, "PRICE", "int").select("path", F.col("value").alias("whole")), "path")
+
+
+@query("""SELECT p_partkey AS path, 'OBJECT' AS key FROM part WHERE left(rpad(p_name, 20, ' '), 20) ILIKE '%an%' UNION ALL SELECT p_partkey, 'LONGSTR' FROM part WHERE p_brand || '&' ILIKE '%an%'
+UNION ALL SELECT p_partkey, 'CONTINUE' FROM part WHERE p_type ILIKE '%an%'""")
+def header_search(spark, sf_dir):
+    return headers.search(parsed_cards(spark, sf_dir), "an").select("path", "key")
+
+
+def table_headers(spark, sf_dir):
+    """A binary table's header for each supplier: five columns whose forms and names follow from its key."""
+    k = F.col("s_suppkey")
+    pick = lambda options, by: F.element_at(F.array(*(F.lit(x) for x in options)), (F.pmod(F.floor(by), F.lit(len(options))) + 1).cast("int"))
+    names = [pick(["TIME", "wavelength", "RA", "LOGLAM"], k), pick(["FLUX", "DEC", "MAG"], k / 4), F.lit("ID"), F.lit("NAME"), F.lit("BITS")]
+    forms = [pick(["D", "E", "3E", "J"], k / 2), pick(["E", "D", "3E"], k / 3), F.lit("K"), pick(["8A", "12A"], k), pick(["11X", "PE(7)", "0PJ", "2M"], k / 5)]
+    cards = [F.struct(F.lit(2 * i).alias("seq"), F.lit(f"T{w}{i + 1}").alias("key"), v.alias("value")) for i in range(5) for w, v in (("TYPE", names[i]), ("FORM", forms[i]))]
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), F.lit(1).alias("hdu"), F.inline(F.array(*cards))).withColumn("kind", F.lit("v"))
+
+
+_TABLES = """o AS (SELECT s_suppkey AS path, ['TIME','wavelength','RA','LOGLAM'][(s_suppkey % 4 + 1)::INT] AS n1, ['FLUX','DEC','MAG'][(s_suppkey // 4 % 3 + 1)::INT] AS n2,
+ ['D','E','3E','J'][(s_suppkey // 2 % 4 + 1)::INT] AS f1, ['E','D','3E'][(s_suppkey // 3 % 3 + 1)::INT] AS f2, [8, 12][(s_suppkey % 2 + 1)::INT] AS w4, [2, 8, 0, 32][(s_suppkey // 5 % 4 + 1)::INT] AS w5 FROM supplier),
+ w AS (SELECT *, CASE f1 WHEN 'D' THEN 8 WHEN '3E' THEN 12 ELSE 4 END AS w1, CASE f2 WHEN 'D' THEN 8 WHEN '3E' THEN 12 ELSE 4 END AS w2 FROM o)"""
+
+
+@query(f"""WITH {_TABLES}, c AS (SELECT path, unnest([1, 2, 3, 4, 5]) AS n, unnest([0, w1, w1 + w2, w1 + w2 + 8, w1 + w2 + 8 + w4]) AS byte_offset, unnest([w1, w2, 8, w4, w5]) AS width, unnest([n1, n2, 'ID', 'NAME', 'BITS']) AS name FROM w)
+SELECT path, n::INT AS n, name, byte_offset::BIGINT AS byte_offset, width::BIGINT AS width FROM c""")
+def column_offsets(spark, sf_dir):
+    return tables.describe_columns(table_headers(spark, sf_dir)).select("path", "n", "name", "byte_offset", "width")
+
+
+@query(f"""WITH {_TABLES} SELECT path, n1 AS x, n2 AS y, CASE WHEN n1 = 'TIME' THEN 'light' WHEN n1 = 'RA' THEN 'sky' ELSE 'spectrum' END AS kind, n1 = 'LOGLAM' AS xlog, n2 = 'MAG' AS y_flip, CASE WHEN n1 = 'LOGLAM' THEN 'WAVELENGTH' ELSE n1 END AS x_label
+FROM w WHERE (f1 = '3E') = (f2 = '3E') AND ((n1 = 'TIME' AND n2 IN ('FLUX', 'MAG')) OR (n1 IN ('wavelength', 'LOGLAM') AND n2 = 'FLUX') OR (n1 = 'RA' AND n2 = 'DEC'))""")
+def pick_axes(spark, sf_dir):
+    return tables.pick_axes(tables.describe_columns(table_headers(spark, sf_dir))).select("path", "x", "y", "kind", "xlog", "y_flip", "x_label")
