@@ -325,3 +325,45 @@ def column_offsets(spark, sf_dir):
 FROM w WHERE (f1 = '3E') = (f2 = '3E') AND ((n1 = 'TIME' AND n2 IN ('FLUX', 'MAG')) OR (n1 IN ('wavelength', 'LOGLAM') AND n2 = 'FLUX') OR (n1 = 'RA' AND n2 = 'DEC'))""")
 def pick_axes(spark, sf_dir):
     return tables.pick_axes(tables.describe_columns(table_headers(spark, sf_dir))).select("path", "x", "y", "kind", "xlog", "y_flip", "x_label")
+
+
+def order_files(spark, sf_dir):
+    """``orders`` as FITS files in a column, 16 of them (more with more rows)."""
+    from starframe import sinks
+
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", F.pmod("o_custkey", F.lit(100)).cast("int").alias("cust"), F.floor(F.col("o_orderkey") / 4000).alias("file"))
+    return sinks.fits_tables(orders, {"o_orderkey": "K", "o_totalprice": "D", "o_orderstatus": "1A", "cust": "J"}, "file", {"TSCAL4": 0.5, "TZERO4": 10.0, "TNULL4": 13})
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN o_custkey % 100 = 13 THEN NULL ELSE (o_custkey % 100) * 0.5::DOUBLE + 10 END AS cust FROM orders")
+def fits_table_roundtrip(spark, sf_dir):
+    from starframe.sources import files
+
+    rows = files.table_rows(order_files(spark, sf_dir), "o_orderkey bigint, o_totalprice double, o_orderstatus string, cust int")
+    return tables.scaled_columns(rows, [{"name": "cust", "type": "J", "scale": 0.5, "zero": 10.0, "null": 13}]).drop("path", "_row")
+
+
+@query("""SELECT (o_orderkey // 4000)::VARCHAR AS path, 1 AS hdu, count(*)::BIGINT AS n_rows, 4 AS tfields, 'BINTABLE' AS xtension, false AS truncated FROM orders GROUP BY o_orderkey // 4000""")
+def fits_hdu_list(spark, sf_dir):
+    from starframe.sources import files
+
+    units = files.scan_hdus(files.from_content(order_files(spark, sf_dir)))
+    return units.where("hdu = 1").select("path", "hdu", "n_rows", F.col("tfields").cast("int").alias("tfields"), "xtension", "truncated")
+
+
+@query("""SELECT f.path, c.n, c.name, c.byte_offset FROM (SELECT DISTINCT (o_orderkey // 4000)::VARCHAR AS path FROM orders) AS f,
+(VALUES (1, 'o_orderkey', 0::BIGINT), (2, 'o_totalprice', 8), (3, 'o_orderstatus', 16), (4, 'cust', 17)) AS c(n, name, byte_offset)""")
+def fits_columns(spark, sf_dir):
+    from starframe.sources import files
+
+    units = files.scan_hdus(files.from_content(order_files(spark, sf_dir))).where("hdu = 1")
+    return tables.describe_columns(files.scan_cards(units)).select("path", "n", "name", "byte_offset")
+
+
+@query("SELECT label::VARCHAR AS path, oy::INT AS oy, ox::INT AS ox, round(avg(v), 9) AS value, count(*) AS n FROM (SELECT label, (row_number() OVER (PARTITION BY label, x ORDER BY y) - 1) // 4 AS oy, x // 4 AS ox, v FROM (SELECT vec_id AS y, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings)) WHERE oy < 5 GROUP BY 1, 2, 3")
+def fits_image_roundtrip_bin(spark, sf_dir):
+    from starframe import sinks
+    from starframe.sources import files
+
+    made = sinks.fits_images(read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values")), "label")
+    return images.bin2d(files.image_rows(made), 4, 16, 5, by=["path"]).withColumn("value", F.round("value", 9))
