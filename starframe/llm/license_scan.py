@@ -38,6 +38,10 @@ def _seeded(values, seed: int):
     return F.array_min(F.transform(values, lambda x: F.xxhash64(x, F.lit(seed))))
 
 
+def _windows(starts, group: int, width: int):
+    return F.transform(starts, lambda i: F.struct(F.lit(group).alias("g"), F.slice("sh", i + 1, width).alias("win")))
+
+
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, size: int = 5, bands: int = 24, rows: int = 1, most_shingles: int = 200_000) -> DataFrame:
     """Licences found in ``docs`` (doc_id, text): doc_id, license, containment, n_windows; one row for each document and licence.
 
@@ -65,21 +69,22 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     text = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "sh")
     # A text that shares no shingle with any template has none of them: exact, and it spares nearly all texts the windows.
     text = text.where(F.arrays_overlap("sh", every))
-    out = None
-    for own in groups.values():
+    # The windows of all groups in one pass over the text.
+    windows, kinds = [], []
+    for g, own in groups.items():
         width = max(len(r["t"]) for r in own)
         step = max(1, width // 4)
         last = F.greatest(F.size("sh") - width, F.lit(0))
         starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-        windows = text.select("doc_id", F.explode(F.transform(starts, lambda i: F.slice("sh", i + 1, width))).alias("win"))
-        kinds = spark.createDataFrame([(r["license"], r["t"]) for r in own], "license string, t array<bigint>")
-        band = lambda c: [F.xxhash64(*(_seeded(F.col(c), b * rows + k) for k in range(rows)), F.lit(b)) for b in range(bands)]
-        signed = N.fixed(windows, bands=F.array(*band("win")))
-        index = kinds.withColumn("bands", F.array(*band("t"))).select("license", "t", F.explode("bands").alias("band"))
-        met = F.array(*(F.lit(x) for x in sorted({r["band"] for r in index.select("band").collect()})))
-        hits = signed.where(F.arrays_overlap("bands", met)).select("doc_id", "win", F.explode(F.array_intersect("bands", met)).alias("band"))
-        # The index is reference data of a checked size.
-        pairs = hits.join(F.broadcast(index), "band").select("doc_id", "license", (F.size(F.array_intersect("t", "win")) / F.size("t")).alias("containment"), F.xxhash64("win").alias("w"))
-        found = pairs.where(F.col("containment") >= containment)
-        out = found if out is None else out.unionByName(found)
+        windows.append(_windows(starts, g, width))
+        kinds += [(g, r["license"], r["t"]) for r in own]
+    win = text.select("doc_id", F.inline(F.concat(*windows)))
+    kinds = spark.createDataFrame(kinds, "g int, license string, t array<bigint>")
+    band = lambda c: [F.xxhash64(*(_seeded(F.col(c), b * rows + k) for k in range(rows)), F.lit(b), F.col("g")) for b in range(bands)]
+    index = kinds.withColumn("bands", F.array(*band("t"))).select("license", "t", F.explode("bands").alias("band"))
+    met = F.array(*(F.lit(x) for x in sorted({r["band"] for r in index.select("band").collect()})))
+    hits = N.fixed(win, bands=F.array(*band("win"))).where(F.arrays_overlap("bands", met)).select("doc_id", "win", F.explode(F.array_intersect("bands", met)).alias("band"))
+    # The index is reference data of a checked size.
+    pairs = hits.join(F.broadcast(index), "band").select("doc_id", "license", (F.size(F.array_intersect("t", "win")) / F.size("t")).alias("containment"), F.xxhash64("win").alias("w"))
+    out = pairs.where(F.col("containment") >= containment)
     return out.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("w").alias("n_windows"))
