@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 _ATTRS = ["id", "geometry", "sampleFormat", "colorSpace", "pixelStorage", "byteOrder", "orientation", "location", "compression", "subblocks"]
 _SCHEMA = (
-    "Image array<struct<" + ", ".join(f"_{a}: string" for a in _ATTRS) + ", Data: struct<_VALUE: string, _encoding: string, _compression: string>, _VALUE: string, "
-    "FITSKeyword: array<struct<_name: string, _value: string, _comment: string>>, Property: array<struct<_id: string, _type: string, _value: string, _VALUE: string>>, "
+    "Image array<struct<" + ", ".join(f"_{a}: string" for a in _ATTRS) + ", Data: struct<content_: string, _encoding: string, _compression: string>, content_: string, "
+    "FITSKeyword: array<struct<_name: string, _value: string, _comment: string>>, Property: array<struct<_id: string, _type: string, _value: string, content_: string>>, "
     "ColorFilterArray: struct<_pattern: string, _width: string, _height: string>>>"
 )
 MOST_HEADER = 16 << 20
@@ -24,7 +24,7 @@ def headers_of(files: DataFrame) -> DataFrame:
     c = F.col("content")
     byte = lambda k: F.conv(F.hex(F.substring(c, k, 1)), 16, 10).cast("bigint")
     size = byte(9) + byte(10) * 256 + byte(11) * 65536 + byte(12) * 16777216
-    xml = F.decode(F.substring(c, F.lit(17), F.least(size, F.lit(MOST_HEADER)).cast("int")), "UTF-8")
+    xml = F.make_valid_utf8(F.substring(c, F.lit(17), F.least(size, F.lit(MOST_HEADER)).cast("int")).cast("string"))
     own = files.where("format = 'xisf'").select("path", "content", xml.alias("xml"), size.alias("_n"), F.octet_length(c).alias("_length"))
     bad = F.when(F.col("_n") > MOST_HEADER, "the header is too long").when(F.col("_n") + 16 > F.col("_length"), "the header is cut short").when(F.upper("xml").contains("<!DOCTYPE"), "the header has a document type").when(~F.col("xml").contains("<xisf"), "the header is not valid")
     return own.withColumn("error", bad)
@@ -34,7 +34,7 @@ def _parsed(files: DataFrame) -> DataFrame:
     own = headers_of(files)
     # Attributes are matched without their namespace.
     doc = F.regexp_replace(F.regexp_replace("xml", "^\\s*<\\?xml[^>]*\\?>", ""), " xmlns(:[a-z]+)?=\"[^\"]*\"| xsi:[a-zA-Z]+=\"[^\"]*\"", "")
-    parsed = F.when(F.col("error").isNull(), F.from_xml(doc, _SCHEMA, {"mode": "PERMISSIVE"}))
+    parsed = F.when(F.col("error").isNull(), F.from_xml(doc, _SCHEMA, {"mode": "PERMISSIVE", "valueTag": "content_"}))
     return own.select("path", "content", "error", parsed.alias("doc"))
 
 
@@ -55,7 +55,7 @@ def images(files: DataFrame) -> DataFrame:
         F.coalesce("i._pixelStorage", F.lit("Planar")).alias("storage"), F.coalesce("i._byteOrder", F.lit("little")).alias("byte_order"), F.coalesce("i._colorSpace", F.lit("Gray")).alias("color_space"),
         place[0].alias("place"), F.try_element_at(place, F.lit(2)).try_cast("bigint").alias("data_off"), F.try_element_at(place, F.lit(3)).try_cast("bigint").alias("data_len"),
         name.alias("codec"), codec[0].endswith("+sh").alias("shuffled"), F.try_element_at(codec, F.lit(2)).try_cast("bigint").alias("raw_size"), F.try_element_at(codec, F.lit(3)).try_cast("int").alias("shuffle_size"),
-        F.coalesce("i._subblocks", F.lit("")).alias("subblocks"), F.coalesce("i.Data._VALUE", "i._VALUE").alias("text"), F.coalesce("i.Data._encoding", F.when(place[0] == "inline", F.try_element_at(place, F.lit(2)))).alias("encoding"), "content", "error",
+        F.coalesce("i._subblocks", F.lit("")).alias("subblocks"), F.coalesce("i.Data.content_", "i.content_").alias("text"), F.coalesce("i.Data._encoding", F.when(place[0] == "inline", F.try_element_at(place, F.lit(2)))).alias("encoding"), "content", "error",
     )
     out = out.withColumn("error", _reason())
     return out.withColumn("supported", F.col("error").isNull())
@@ -79,7 +79,7 @@ def properties(files: DataFrame) -> DataFrame:
     rows = _parsed(files).where("error is null").select("path", F.posexplode("doc.Image").alias("hdu", "i"))
     card = lambda k, v, c: F.struct(k.alias("key"), F.substring(F.coalesce(v, F.lit("")), 1, 1 << 20).alias("value"), F.coalesce(c, F.lit("")).alias("comment"))
     words = F.transform(F.coalesce("i.FITSKeyword", F.array()), lambda x: card(x["_name"], F.trim(F.regexp_replace(x["_value"], "^'|'$", "")), x["_comment"]))
-    props = F.transform(F.coalesce("i.Property", F.array()), lambda x: card(x["_id"], F.coalesce(x["_value"], x["_VALUE"]), x["_type"]))
+    props = F.transform(F.coalesce("i.Property", F.array()), lambda x: card(x["_id"], F.coalesce(x["_value"], x["content_"]), x["_type"]))
     cfa = F.when(F.col("i.ColorFilterArray._pattern").isNotNull(), F.array(card(F.lit("BAYERPAT"), F.col("i.ColorFilterArray._pattern"), F.lit("")))).otherwise(F.array())
     attrs = F.array(*(card(F.lit(a), F.col(f"i._{a}"), F.lit("")) for a in _ATTRS))
     attrs = F.filter(attrs, lambda x: x["value"] != "")
