@@ -84,4 +84,34 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_language_id, op9_best_fit_packing, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"x AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)"
+
+
+def _sql_quality() -> str:
+    from starframe.llm.quality_rules import BOILERPLATE, SYMBOLS
+
+    blank = r"NOT regexp_matches({}, '[^\x20\x09-\x0D]')".format
+    bad = f"""((length(l) - length(translate(l, '{SYMBOLS}', ''))) * 10 > length(l) OR (length(l) - length(translate(l, '!?', ''))) * 8 > length(l)
+ OR len(string_split_regex(l, ' [|»›•·] ')) > 4 OR (length(l) <= 200 AND regexp_matches(l, '{BOILERPLATE}')))"""
+    return rf"""WITH {_WORDS},
+w AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS s FROM x, unnest(range(1, n - 3)) AS t(i) WHERE n >= 5),
+g AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS again FROM g, unnest(range(0, 5)) AS t(k) GROUP BY 1),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents),
+f AS (SELECT doc_id, count(*) FILTER (NOT ({blank('l')})) - count(DISTINCT l) FILTER (NOT ({blank('l')})) AS dup, count(*) FILTER (NOT ({blank('l')}) AND {bad}) AS gone,
+ coalesce(sum(length(l)) FILTER (NOT ({blank('l')})), 0) AS total, coalesce(sum(length(l)) FILTER (NOT ({blank('l')}) AND NOT {bad}), 0) AS rest FROM l GROUP BY 1),
+m AS (SELECT x.doc_id, n::BIGINT AS n_words, length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+ coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words, n < 10 OR 100 * coalesce(again, 0) > 20 * n AS base_failed, coalesce(gone, 0)::BIGINT AS n_removed_lines,
+ CASE WHEN coalesce(total, 0) > 0 THEN rest::DOUBLE / total ELSE 1.0 END AS kept_share FROM x LEFT JOIN r USING (doc_id) LEFT JOIN f USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept_share >= 0.5 AS kept, n_removed_lines, kept_share FROM m"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": rf"""WITH {_WORDS}, w AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS s FROM x, unnest(range(1, n - 11)) AS t(i) WHERE n >= 13),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1), h AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE m < w.doc_id), g AS (SELECT DISTINCT doc_id, i + k AS p FROM h, unnest(range(0, 13)) AS t(k)),
+d AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM x),
+k AS (SELECT d.doc_id, count(g.p) AS n_removed, string_agg(word, ' ' ORDER BY d.p) FILTER (g.p IS NULL) AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.p = g.p GROUP BY 1),
+s AS (SELECT a.doc_id, count(*) AS n_spans FROM g AS a LEFT JOIN g AS b ON a.doc_id = b.doc_id AND a.p = b.p + 1 WHERE b.p IS NULL GROUP BY 1)
+SELECT x.doc_id, n::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0)::BIGINT AS n_spans FROM x LEFT JOIN k USING (doc_id) LEFT JOIN s USING (doc_id)""",
+    "op6_quality_rules": _sql_quality(),
+}
