@@ -10,6 +10,8 @@ from starframe.functions.shared import cut
 from starframe.operators import _groups as G
 
 BUCKETS = 4096
+#: Groups of so many values at most are sorted, each in a task; larger ones are counted.
+SORTED = 1 << 20
 
 
 def nearest_rank(p: float):
@@ -25,7 +27,7 @@ def middle(n: Column) -> Column:
 def order_stats(df: DataFrame, value: str, ranks: dict, by: list[str] = ()) -> DataFrame:
     """Per group: n, vmin, vmax and the values at some ranks (name: function of n), over finite values.
 
-    Exact, without sorting a group: counts in equal buckets between the least and greatest value locate each rank, twice; then the
+    Exact.  Where all groups are small (their sizes are counted first) values are ranked by a window.  Else no group is sorted: counts in equal buckets between the least and greatest value locate each rank, twice; then the
     distinct values of the one bucket left are counted.  So a group of any size costs a few map-side aggregates, and no task
     gets more rows than buckets or the distinct values of one small bucket.
     """
@@ -34,7 +36,13 @@ def order_stats(df: DataFrame, value: str, ranks: dict, by: list[str] = ()) -> D
     # What is kept between the passes has a row or a few for each group.
     whole = cut(base.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax")))
     names = list(ranks)
-    wanted = F.array(*(F.struct(F.lit(k).alias("_rank"), F.greatest(F.lit(0).cast("bigint"), F.least(ranks[k](F.col("n")), F.col("n") - 1)).alias("_k")) for k in names))
+    ranked = {k: F.greatest(F.lit(0).cast("bigint"), F.least(r(F.col("n")), F.col("n") - 1)) for k, r in ranks.items()}
+    if (whole.agg(F.max("n")).first()[0] or 0) <= SORTED:
+        at = F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1
+        rows = base.withColumns({"_at": at, "n": F.count("*").over(Window.partitionBy(*by))})
+        found = rows.groupBy(*by).agg(F.max("n").alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax"), *(F.max(F.when(F.col("_at") == k, F.col("_v"))).alias(name) for name, k in ranked.items()))
+        return cut(G.tidy(found))
+    wanted = F.array(*(F.struct(F.lit(k).alias("_rank"), ranked[k].alias("_k")) for k in names))
     bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("_v") / (F.col("_hi") - F.col("_lo")) - F.col("_lo") / (F.col("_hi") - F.col("_lo"))) * BUCKETS))).otherwise(0)
     # First pass: every rank of a group looks at the same buckets.
     first = G.attach(base, whole.select(*by, F.col("vmin").alias("_lo"), F.col("vmax").alias("_hi")), by)

@@ -18,8 +18,10 @@ def numbers(spark):
     return spark.createDataFrame(rows, "g string, v double"), rows
 
 
-def test_order_statistics_are_exact(numbers):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_order_statistics_are_exact(numbers, monkeypatch, most):
     df, rows = numbers
+    monkeypatch.setattr(stats, "SORTED", most)
     got = {r.g: r for r in stats.order_stats(df, "v", {"low": lambda n: F.lit(0), "mid": stats.middle, "p": stats.nearest_rank(0.3)}, ["g"]).collect()}
     for g in (None, "a", "b", "c"):
         v = sorted(x for k, x in rows if k == g and x is not None and np.isfinite(x))
