@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -290,6 +291,47 @@ def test_op7_crowded_bucket_gives_the_same_groups(spark, monkeypatch):
     assert used
 
 
+def all_similar(spark, df, similarity=0.9):
+    """Linked pairs of plain lines by edit similarity alone."""
+    norm = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower().translate(str.maketrans("123456789", "0" * 9))))
+    lines = sorted({p for r in df.collect() for x in (r.text or "").split("\n") if (p := norm(x))}, key=len)
+    near = []
+    for n, a in enumerate(lines):
+        bag = Counter(a)
+        for b in lines[n + 1 :]:
+            most = (1 - similarity) * len(b) + 1e-9
+            if len(b) - len(a) > most:
+                break
+            if (Counter(b) - bag).total() <= most:
+                near.append((a, b, most))
+    con = duckdb.connect()
+    return [(a, b) for a, b, most in near if con.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0] <= most]
+
+
+def test_op7_candidates_cover_all_similar_lines(spark, docs):
+    from starframe.llm import line_dedup as L
+
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(2, 10)))
+    rows = [(r.doc_id, r.text) for r in docs]
+    for n, size in enumerate([1, 2, 3, 4, 5, 7, 10, 15, 20, 30, 50, 100] * 4):
+        w = [word() for _ in range(size)]
+        x = list(w)
+        for k in rng.choice(size, max(1, size // 20), replace=False):
+            x[k] = x[k][:-1] + "z" if size < 10 else word()
+        rows.append((10_000 + n, " ".join(w) + "\n" + " ".join(x)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = all_similar(spark, df)
+    key = {r.plain: (r.k1, r.k2) for r in L._words(df).collect()}
+    held = defaultdict(set)
+    for r in L.buckets(df).collect():
+        held[r.k1, r.k2].add(r.bucket)
+    missed = [(a, b) for a, b in near if a != b and not held[key[a]] & held[key[b]]]
+    assert len(near) > 60 and len(missed) <= 0.01 * len(near), missed
+    group = {(r.k1, r.k2): r.root for r in L.groups(df, L.hashed_lines(df)).collect()}
+    assert sum(group.get(key[a], 0) != group.get(key[b], 1) for a, b in near) <= len(missed)
+
+
 def test_op8(spark, sf, docs):
     got = {r.doc_id: r for r in Q.op8_language_id(spark, sf).collect()}
     assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in docs)
