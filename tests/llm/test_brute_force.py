@@ -332,6 +332,30 @@ def test_op7_candidates_cover_all_similar_lines(spark, docs):
     assert sum(group.get(key[a], 0) != group.get(key[b], 1) for a, b in near) <= len(missed)
 
 
+def test_op7_crowds_change_no_group(spark, monkeypatch):
+    from starframe.llm import line_dedup as L
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in range(60):
+        w = [f"base{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)]
+        for k in rng.integers(0, 30, rng.integers(0, 3)):
+            w[k] = f"wort{chr(97 + n % 26)}{chr(97 + n // 26)}"
+        rows.append((n, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = all_similar(spark, df)
+    union = Union({x for p in near for x in p} | {r[1] for r in rows})
+    for a, b in near:
+        union.join(a, b)
+    want = len({union.find(r[1]) for r in rows})
+    used, crowded = [], L._crowded
+    monkeypatch.setattr(L, "_crowded", lambda *a: used.append(1) or crowded(*a))
+    for most in (1000, 5):
+        monkeypatch.setattr(L, "CROWD", most)
+        assert sum(r.n_removed_lines == 0 for r in L.dedup_lines(df).collect()) == want
+    assert used
+
+
 def test_op8(spark, sf, docs):
     got = {r.doc_id: r for r in Q.op8_language_id(spark, sf).collect()}
     assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in docs)
