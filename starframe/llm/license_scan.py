@@ -3,7 +3,8 @@
 Templates are grouped by size; each group has windows as long as its largest template (in shingles), a quarter of that apart, so
 wherever a copy stands some window holds it up to an eighth at either end.  A window and the template are compared by ``bands``
 MinHash values of ``rows`` rows each: at a Jaccard similarity s they meet with probability 1 - (1 - s**rows)**bands; with 24 bands of
-one row that is 0.9987 at s = 0.25 and over 0.999999 at s = 0.5.  Whatever meets is verified exactly.  Column expressions only.
+one row that is 0.9987 at s = 0.25 and over 0.999999 at s = 0.5.  A hit only gives the place: the template's shingles are counted over
+the window and as much text again on either side, so no place of a copy loses any of it.  Column expressions only.
 """
 
 from __future__ import annotations
@@ -39,14 +40,14 @@ def _seeded(values, seed: int):
 
 
 def _windows(starts, group: int, width: int):
-    return F.transform(starts, lambda i: F.struct(F.lit(group).alias("g"), F.slice("sh", i + 1, width).alias("win")))
+    return F.transform(starts, lambda i: F.struct(F.lit(group).alias("g"), F.slice("sh", F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width)) + 2 * width).alias("wide"), F.least(i, F.lit(width)).alias("lead"), F.lit(width).alias("width")))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, size: int = 5, bands: int = 24, rows: int = 1, most_shingles: int = 200_000) -> DataFrame:
     """Licences found in ``docs`` (doc_id, text): doc_id, license, containment, n_windows; one row for each document and licence.
 
     ``templates`` (license, text) is reference data, not corpus: its shingles reach the driver, ``most_shingles`` at most (an error
-    beyond).  A licence is found if a window holds ``containment`` of its shingles (``size`` words, lower case, letters and digits;
+    beyond).  A licence is found if a window and a width on either side hold ``containment`` of its shingles (``size`` words, lower case, letters and digits;
     a shorter notice is one shingle of all its words, found only in windows of so many words: texts that are just the notice).
     Texts that are null or without words have no licence; rows that share a doc_id are one document; other columns are ignored;
     with no documents or templates the result is empty.
@@ -54,7 +55,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     spark = docs.sparkSession
     templates = notices(spark) if templates is None else templates
     hashed = lambda df: N.fixed(N.fixed(df, _w=N.hashes(N.folded_words("text"))), sh=N.shingles("_w", size))
-    known = hashed(templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text"))).select("license", F.array_distinct("sh").alias("t")).where("size(t) > 0")
+    known = hashed(templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text"))).select("license", F.array_distinct("sh").alias("t"), F.size("sh").alias("n")).where("size(t) > 0")
     lists = known.limit(most_shingles).collect()
     if sum(len(r["t"]) for r in lists) > most_shingles:
         raise ValueError(f"templates have more than {most_shingles} shingles")
@@ -64,7 +65,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     # Sizes within a factor of two share their windows.
     groups: dict[int, list] = {}
     for r in lists:
-        groups.setdefault(math.ceil(math.log2(len(r["t"]))), []).append(r)
+        groups.setdefault(math.ceil(math.log2(r["n"])), []).append(r)
     every = F.array(*(F.lit(x) for x in sorted({x for r in lists for x in r["t"]})))
     text = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "sh")
     # A text that shares no shingle with any template has none of them: exact, and it spares nearly all texts the windows.
@@ -72,7 +73,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     # The windows of all groups in one pass over the text.
     windows, kinds = [], []
     for g, own in groups.items():
-        width = max(len(r["t"]) for r in own)
+        width = max(r["n"] for r in own)
         step = max(1, width // 4)
         last = F.greatest(F.size("sh") - width, F.lit(0))
         starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
@@ -83,8 +84,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     band = lambda c: [F.xxhash64(*(_seeded(F.col(c), b * rows + k) for k in range(rows)), F.lit(b), F.col("g")) for b in range(bands)]
     index = kinds.withColumn("bands", F.array(*band("t"))).select("license", "t", F.explode("bands").alias("band"))
     met = F.array(*(F.lit(x) for x in sorted({r["band"] for r in index.select("band").collect()})))
-    hits = N.fixed(win, bands=F.array(*band("win"))).where(F.arrays_overlap("bands", met)).select("doc_id", "win", F.explode(F.array_intersect("bands", met)).alias("band"))
+    win = N.fixed(win, win=F.slice("wide", F.col("lead") + 1, F.col("width")))
+    hits = N.fixed(win, bands=F.array(*band("win"))).where(F.arrays_overlap("bands", met)).select("doc_id", "wide", F.xxhash64("win").alias("w"), F.explode(F.array_intersect("bands", met)).alias("band"))
     # The index is reference data of a checked size.
-    pairs = hits.join(F.broadcast(index), "band").select("doc_id", "license", (F.size(F.array_intersect("t", "win")) / F.size("t")).alias("containment"), F.xxhash64("win").alias("w"))
+    pairs = hits.join(F.broadcast(index), "band").select("doc_id", "license", (F.size(F.array_intersect("t", "wide")) / F.size("t")).alias("containment"), "w")
     out = pairs.where(F.col("containment") >= containment)
     return out.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("w").alias("n_windows"))

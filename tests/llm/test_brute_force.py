@@ -420,3 +420,24 @@ def test_op10(spark, sf, docs):
         want |= {(r.doc_id, name) for name, t in NOTICES.items() if len(grams(words(t)) & g) >= 0.8 * len(grams(words(t)))}
     got = {(r.doc_id, r.license) for r in Q.op10_license_scan(spark, sf).collect()}
     assert want and got == want
+
+
+def test_op10_finds_edited_copies_wherever_they_stand(spark):
+    from starframe.llm.license_scan import NOTICES, scan
+
+    names = ["Apache-2.0-header", "MIT-text", "BSD-3-Clause-text"]
+    words = {k: re.findall(r"[^\W_]+", NOTICES[k].lower()) for k in names}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for n in range(240):
+        name = names[n % 3]
+        w = list(words[name])
+        for k in rng.choice(len(w), 1 + n // 3 % 3, replace=False):
+            w[k] = f"edited{n}"
+        text = [f"a{k}" for k in range(n)] + w + [f"b{k}" for k in range(150)]
+        if len(grams(words[name]) & grams(text)) >= 0.8 * len(grams(words[name])):
+            want.add((n, name))
+        rows.append((n, " ".join(text)))
+    got = {(r.doc_id, r.license) for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.license in names}
+    assert len(want) > 100 and got == want
