@@ -219,82 +219,13 @@ def test_op6_keeps_good_documents(spark, sf):
     assert good and bad and all(g.kept for g in good) and sum(g.kept for g in bad) <= 0.1 * len(bad)
 
 
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def line_groups(spark, df):
-    """Places of lines to remove, from the SimHashes of all pairs of lines."""
-    from starframe.llm import line_dedup as L
-
-    rows = df.collect()
-    hashed = {(r.doc_id, r.pos): r for r in L.hashed_lines(df).collect()}
-    by_key = defaultdict(list)
-    for place, r in hashed.items():
-        by_key[r.k1, r.k2].append(place)
-    texts = {r.doc_id: r.text for r in rows}
-    norm = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower().translate(str.maketrans("123456789", "0" * 9))))
-    keys = sorted(by_key)
-    line = {k: norm(texts[by_key[k][0][0]].split("\n")[by_key[k][0][1]]) for k in keys}
-    sim = {k: hashed[by_key[k][0]].sim for k in keys}
-    union = Union(keys)
-    for n, a in enumerate(keys):
-        for b in keys[:n]:
-            if (sim[a] ^ sim[b]).bit_count() <= 3:
-                m = max(len(line[a]), len(line[b]))
-                if min(len(line[a]), len(line[b])) >= 0.9 * m and edits(line[a], line[b]) <= 0.1 * m + 1e-9:
-                    union.join(a, b)
-    groups = defaultdict(list)
-    for k in keys:
-        groups[union.find(k)] += by_key[k]
-    return {p for g in groups.values() for p in sorted(g)[1:]}
-
-
-def without(text, doc, gone):
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if (doc, i) not in gone)
-
-
-def test_op7(spark, sf, docs):
-    df = spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id long, text string")
-    gone = line_groups(spark, df)
-    got = {r.doc_id: r for r in Q.op7_line_dedup(spark, sf).collect()}
-    assert sum(r.n_removed_lines for r in got.values()) == len(gone) > 0
-    assert all(got[r.doc_id].kept_sha256 == sha(without(r.text, r.doc_id, gone)) for r in docs)
-
+def norm(line):
+    return " ".join(re.findall(r"[^\W_]+", line.lower().translate(str.maketrans("123456789", "0" * 9))))
 
-def test_op7_crowded_bucket_gives_the_same_groups(spark, monkeypatch):
-    from starframe.llm import line_dedup as L
 
-    rng = np.random.default_rng(4)
-    base = [f"word{k}" for k in range(24)]
-    rows = []
-    for n in range(40):
-        w = list(base)
-        for k in rng.integers(0, 24, rng.integers(0, 3)):
-            w[k] = f"wort{k % 7}x"
-        rows.append((n, "\n".join([" ".join(w), f"alone {n} is line {chr(97 + n % 26)}" * (n % 3)])))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    gone = line_groups(spark, df)
-    want = {r[0]: without(r[1], r[0], gone) for r in rows}
-    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == want
-    crowded = L._crowded
-    used = []
-    monkeypatch.setattr(L, "_crowded", lambda *a: used.append(1) or crowded(*a))
-    monkeypatch.setattr(L, "max", lambda *a: 5, raising=False)
-    assert {r.doc_id: r.text for r in L.dedup_lines(df).collect()} == want
-    assert used
-
-
-def all_similar(spark, df, similarity=0.9):
-    """Linked pairs of plain lines by edit similarity alone."""
-    norm = lambda s: " ".join(re.findall(r"[^\W_]+", s.lower().translate(str.maketrans("123456789", "0" * 9))))
-    lines = sorted({p for r in df.collect() for x in (r.text or "").split("\n") if (p := norm(x))}, key=len)
+def all_similar(rows, similarity=0.9):
+    """Linked pairs of different plain lines by edit similarity alone: every pair that letter counts allow is measured."""
+    lines = sorted({p for _, t in rows for x in (t or "").split("\n") if (p := norm(x))}, key=len)
     near = []
     for n, a in enumerate(lines):
         bag = Counter(a)
@@ -308,52 +239,68 @@ def all_similar(spark, df, similarity=0.9):
     return [(a, b) for a, b, most in near if con.execute("SELECT levenshtein(?, ?)", [a, b]).fetchone()[0] <= most]
 
 
-def test_op7_candidates_cover_all_similar_lines(spark, docs):
-    from starframe.llm import line_dedup as L
+def without_repeated_lines(rows):
+    """The texts of (doc_id, text), each group's first line kept, by all pairs of lines."""
+    places = defaultdict(list)
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            if norm(x):
+                places[norm(x)].append((d, i))
+    union = Union(places)
+    for a, b in all_similar(rows):
+        union.join(a, b)
+    groups = defaultdict(list)
+    for k, own in places.items():
+        groups[union.find(k)] += own
+    gone = {p for g in groups.values() for p in sorted(g)[1:]}
+    return {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}, len(gone)
 
-    rng = np.random.default_rng(6)
-    word = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(2, 10)))
-    rows = [(r.doc_id, r.text) for r in docs]
-    for n, size in enumerate([1, 2, 3, 4, 5, 7, 10, 15, 20, 30, 50, 100] * 4):
-        w = [word() for _ in range(size)]
+
+def test_op7(spark, sf, docs):
+    want, n = without_repeated_lines([(r.doc_id, r.text) for r in docs])
+    got = {r.doc_id: r for r in Q.op7_line_dedup(spark, sf).collect()}
+    assert sum(r.n_removed_lines for r in got.values()) == n > 0
+    assert all(got[d].kept_sha256 == (None if t is None else sha(t)) for d, t in want.items())
+
+
+def changed_lines(words, letters, n, rng):
+    """n documents of two lines each: random words, and the same with some letters of different words changed."""
+    out = []
+    for k in range(n):
+        w = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(words)]
         x = list(w)
-        for k in rng.choice(size, max(1, size // 20), replace=False):
-            x[k] = x[k][:-1] + "z" if size < 10 else word()
-        rows.append((10_000 + n, " ".join(w) + "\n" + " ".join(x)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    near = all_similar(spark, df)
-    key = {r.plain: (r.k1, r.k2) for r in L._words(df).collect()}
-    held = defaultdict(set)
-    for r in L.buckets(df).collect():
-        held[r.k1, r.k2].add(r.bucket)
-    missed = [(a, b) for a, b in near if a != b and not held[key[a]] & held[key[b]]]
-    assert len(near) > 60 and len(missed) <= 0.01 * len(near), missed
-    group = {(r.k1, r.k2): r.root for r in L.groups(df, L.hashed_lines(df)).collect()}
-    assert sum(group.get(key[a], 0) != group.get(key[b], 1) for a, b in near) <= len(missed)
-
-
-def test_op7_crowds_change_no_group(spark, monkeypatch):
+        for i in rng.choice(words, letters, replace=False):
+            x[i] = x[i][:1] + "z" + x[i][2:] if x[i][1] != "z" else x[i][:1] + "y" + x[i][2:]
+        out.append((1000 * words + 100 * letters + k, " ".join(w) + "\n" + " ".join(x)))
+    return out
+
+
+def test_op7_finds_changed_lines_of_every_length(spark):
+    from starframe.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(6)
+    cases = [(3, 1), (5, 1), (8, 1), (8, 2), (15, 1), (15, 3), (25, 1), (25, 3), (60, 1), (60, 6), (150, 1), (150, 12)]
+    rows = [r for c in cases for r in changed_lines(*c, 30, rng)]
+    got = {r.doc_id: r.n_removed_lines for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {c: sum(got[1000 * c[0] + 100 * c[1] + k] for k in range(30)) for c in cases}
+    assert all(n >= 27 for n in found.values()), found
+
+
+@pytest.mark.parametrize("tile", [100, 7])
+def test_op7_crowds_change_no_group(spark, monkeypatch, tile):
     from starframe.llm import line_dedup as L
 
     rng = np.random.default_rng(9)
     rows = []
     for n in range(60):
-        w = [f"base{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30)]
-        for k in rng.integers(0, 30, rng.integers(0, 3)):
+        w = [f"base{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+        for k in rng.integers(0, 40, rng.integers(0, 4)):
             w[k] = f"wort{chr(97 + n % 26)}{chr(97 + n // 26)}"
         rows.append((n, " ".join(w)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    near = all_similar(spark, df)
-    union = Union({x for p in near for x in p} | {r[1] for r in rows})
-    for a, b in near:
-        union.join(a, b)
-    want = len({union.find(r[1]) for r in rows})
-    used, crowded = [], L._crowded
-    monkeypatch.setattr(L, "_crowded", lambda *a: used.append(1) or crowded(*a))
-    for most in (1000, 5):
-        monkeypatch.setattr(L, "CROWD", most)
-        assert sum(r.n_removed_lines == 0 for r in L.dedup_lines(df).collect()) == want
-    assert used
+    monkeypatch.setattr(L, "TILE", tile)
+    want, n = without_repeated_lines(rows)
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want and 0 < n < 60
 
 
 def test_op8(spark, sf, docs):
