@@ -1,20 +1,5 @@
 """Where jobs leave intermediate tables: the folder that the cluster names in ``spark.checkpoint.dir``."""
 
-from __future__ import annotations
+from starframe.functions.shared import cut, folder
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, one is made."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The table, computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "folder"]
