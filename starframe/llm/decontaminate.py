@@ -5,8 +5,10 @@ each term, its impact on each item, and its greatest impact in each block of ite
 blocks whose bound (the sum of the passage's block maxima) stays below the threshold are skipped, the others are scored in full,
 and every item at or above the threshold is verified by five-word shingles of its question and answer found in the passage.
 
-The index, not the corpus, is broadcast: at most ``shard_items`` items and ``shard_bytes`` of text at a time.  A larger benchmark is
-worked off in several such shards, each with its own pass.
+The index, not the corpus, is broadcast, in shards of about ``shard_items`` items and ``shard_bytes`` of text; ``shards_each`` of them
+go with one pass over the corpus.  Document frequencies, the number of items, their mean length and the length of passages are those
+of the whole benchmark, counted by Spark, so scores and passages do not depend on the number of shards.  Of several passages with one
+item the one with the best score, overlaps and then the latest place is given.
 """
 
 from __future__ import annotations
@@ -38,29 +40,64 @@ def _grams(hashes: np.ndarray, size: int) -> np.ndarray:
     return np.unique(R.windows(R.prefix(hashes), size))
 
 
+class Statistics:
+    """Of all items of a benchmark that have a word: their number, mean and greatest length, and in how many each term is."""
+
+    def __init__(self, items: DataFrame):
+        self.items, self.mean, self.longest = items.mapInArrow(_lengths, "n long").agg(F.count("*"), F.avg("n"), F.max("n")).first()
+        self.terms = items.mapInArrow(_terms, "term long").groupBy("term").agg(F.count("*").alias("df"))
+
+    def frequencies(self, terms: np.ndarray) -> np.ndarray:
+        """For the sorted terms of a shard, whose number the shard bounds."""
+        import pandas as pd
+
+        own = self.terms.sparkSession.createDataFrame(pd.DataFrame({"term": terms.view(np.int64)}), "term long")
+        found = {r["term"]: r["df"] for r in self.terms.join(own, "term").collect()}
+        return np.array([found[t] for t in terms.view(np.int64).tolist()], float)
+
+
+def _each_item(tables):
+    """The term fingerprints of each item with a word."""
+    for table in tables:
+        for q, a in zip(table.column("question").to_pylist(), table.column("answer").to_pylist(), strict=True):
+            words = _words([_fold(q), _fold(a)]).hash
+            if len(words):
+                yield words
+
+
+def _lengths(tables):
+    for words in _each_item(tables):
+        yield pa.RecordBatch.from_arrays([pa.array([len(words)], pa.int64())], names=["n"])
+
+
+def _terms(tables):
+    for words in _each_item(tables):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(words).view(np.int64))], names=["term"])
+
+
 class Index:
     """An inverted index of items (id, question, answer), the texts folded; at least one has a word."""
 
-    def __init__(self, items: list[tuple[int, bytes, bytes]], size: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, bytes, bytes]], size: int, whole: "Statistics", k1: float = 1.2, b: float = 0.75):
         self.size = size
         parts = _words([t for _, q, a in items for t in (q, a)])
         cut = parts.first
         self.ids, self.parts, lists = [], [], []
         for n, (item, _, _) in enumerate(items):
-            q, a, whole = (parts.hash[cut[i] : cut[j]] for i, j in ((2 * n, 2 * n + 1), (2 * n + 1, 2 * n + 2), (2 * n, 2 * n + 2)))
-            if len(whole):
+            q, a, both = (parts.hash[cut[i] : cut[j]] for i, j in ((2 * n, 2 * n + 1), (2 * n + 1, 2 * n + 2), (2 * n, 2 * n + 2)))
+            if len(both):
                 self.ids.append(item)
-                self.parts.append([(min(size, len(p)), _grams(p, min(size, len(p)))) if len(p) else None for p in (whole, q, a)])
-                lists.append(whole)
-        self.longest = max(map(len, lists))
+                self.parts.append([(min(size, len(p)), _grams(p, min(size, len(p)))) if len(p) else None for p in (both, q, a)])
+                lists.append(both)
+        self.longest = whole.longest
         n, length = len(lists), np.array([len(x) for x in lists], float)
         self.terms, inverse = np.unique(np.concatenate(lists), return_inverse=True)
         owner = np.repeat(np.arange(n), length.astype(int))
         pair, tf = np.unique(inverse.astype(np.int64) * n + owner, return_counts=True)
         term, item = pair // n, pair % n
-        df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / length.mean()))
+        df = whole.frequencies(self.terms)
+        idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / whole.mean))
         impact = (impact / np.bincount(item, impact, n)[item]).astype(np.float32)
         # Postings by block of items: terms of the block and their impacts on its items.
         self.bounds = np.zeros((len(self.terms) + 1, math.ceil(n / BLOCK)), np.float32)  # the last row: not a term
@@ -133,22 +170,22 @@ class Index:
 
 def _scan(shared, threshold: float, overlap: float, each: float):
     def scan(tables):
-        index: Index = shared.value
         for table in tables:
             ids = table.column("doc_id").to_pylist()
             rows = [(d, _fold(t)) for d, t in zip(ids, table.column("text").to_pylist(), strict=True)]
             out = []
             for part in R.chunks(rows):
                 words = _words([t for _, t in part])
-                best: dict = {}
                 grams: dict = {}
-                for text, a, z, item, score in index.search(words, threshold):
-                    whole, q, ans = index.overlaps(words.hash[a:z], item, grams.setdefault((a, z), {}))
-                    if whole >= overlap and (q is None or q >= each) and (ans is None or ans >= each):
-                        row = (score, whole, q, ans, a - int(words.first[text]))
-                        if best.get((text, item), row) <= row:
-                            best[text, item] = row
-                out += [(part[text][0], index.ids[item], *row) for (text, item), row in sorted(best.items())]
+                for index in (one.value for one in shared):
+                    best: dict = {}
+                    for text, a, z, item, score in index.search(words, threshold):
+                        whole, q, ans = index.overlaps(words.hash[a:z], item, grams.setdefault((a, z), {}))
+                        if whole >= overlap and (q is None or q >= each) and (ans is None or ans >= each):
+                            row = (score, whole, q, ans, a - int(words.first[text]))
+                            if best.get((text, item), row) <= row:
+                                best[text, item] = row
+                    out += [(part[text][0], index.ids[item], *row) for (text, item), row in sorted(best.items())]
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = (pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")])
@@ -156,7 +193,7 @@ def _scan(shared, threshold: float, overlap: float, each: float):
     return scan
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, each: float = 0.6, size: int = 5, shard_items: int = 1024, shard_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.8, each: float = 0.6, size: int = 5, shard_items: int = 1024, shard_bytes: int = 4 << 20, shards_each: int = 8) -> DataFrame:
     """Test items found in ``docs`` (doc_id, text): doc_id, item_id, score, overlap, question_overlap, answer_overlap, passage.
 
     ``items`` has item_id and either question and answer, or text, whose first half then counts as the question and the second
@@ -172,8 +209,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overla
     parts = items.select(F.col("item_id").cast("long").alias("item_id"), *([F.col(c).cast("string").alias(c) for c in ("question", "answer")] if split else [F.col("text").cast("string").alias("question"), F.lit(None).cast("string").alias("answer")]))
     n, b = parts.agg(F.count("*"), F.sum(F.length(F.concat_ws(" ", "question", "answer")))).first()
     shards = max(math.ceil(n / shard_items), math.ceil((b or 0) / shard_bytes), 1)
-    out = None
-    for s in range(shards):
+    whole = Statistics(parts)
+    passes, ready = [], []
+    for s in range(shards) if whole.items else ():
         own = []
         for r in parts.where(F.pmod(F.xxhash64("item_id", "question"), F.lit(shards)) == s).orderBy("item_id", "question", "answer").collect():
             q, a = _fold(r["question"]), _fold(r["answer"])
@@ -183,15 +221,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, overla
                 q, a = q[:half], q[half:]
             own.append((r["item_id"], q, a))
         if any(len(_words([q, a]).start) for _, q, a in own):
-            found = docs.mapInArrow(_scan(spark.sparkContext.broadcast(Index(own, size)), threshold, overlap, each), _OUT)
-            out = found if out is None else out.unionByName(found)
+            ready.append(spark.sparkContext.broadcast(Index(own, size, whole)))
+        if ready and (len(ready) == shards_each or s == shards - 1):
+            passes.append(docs.mapInArrow(_scan(ready, threshold, overlap, each), _OUT))
+            ready = []
+    if ready:
+        passes.append(docs.mapInArrow(_scan(ready, threshold, overlap, each), _OUT))
+    out = None
+    for found in passes:
+        out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], _OUT)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that leak no item; rows that share a doc_id go or stay together.
+    """The rows of ``docs``, all columns (of any name), that leak no item; rows that share a doc_id go or stay together.
 
     A document with a null doc_id is judged with all others of null doc_id.
     """
-    bad = find_leaks(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = find_leaks(docs, items, **options).select("doc_id").distinct()
+    # The caller's columns travel as one, so that none clashes.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(bad, rows["id"].eqNullSafe(bad["doc_id"]), "left_anti").select("row.*")
