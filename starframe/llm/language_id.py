@@ -1,12 +1,13 @@
 """Language ID (8) by compression: each text is encoded with one zstandard raw-content dictionary per language; the smallest wins.
 
-Dictionaries are fitted on a bounded sample of labelled documents (``sample_docs`` and ``sample_chars`` a language); every text
-is then encoded whole.  ``margin`` is the lead of the best language over the next one, as a share of the latter's size; where it
+Dictionaries are fitted on a bounded sample of labelled documents (``sample_docs`` of each language, whole texts); every text
+is then encoded whole, in pieces of PIECE bytes, each with the dictionary, so that its share does not shrink with the length.  ``margin`` is the lead of the best language over the next one, as a share of the latter's size; where it
 is narrow the prediction is marked as rejected.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -14,10 +15,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _LETTER = regex.compile(r"\p{L}")
 _REST = re.compile(r"[\W\d_]+")
 _ENCODERS: dict[bytes, list] = {}
+#: Bytes that are encoded at once.
+PIECE = 1 << 17
 
 
 def held_out() -> Column:
@@ -25,24 +29,19 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = 100, sample_chars: int = 3000, languages: int = 200) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, from (doc_id, text, lang): about ``sample_docs`` documents each, chosen by a hash.
+def fit(docs: DataFrame, sample_docs: int = 100) -> dict[str, bytes]:
+    """Raw-content dictionaries by language, from (doc_id, text, lang): ``sample_docs`` documents of each, chosen by a hash.
 
-    At most ``languages`` languages (the most frequent); so the sample that reaches the driver is bounded.
+    The choice is made within each language, by id and text, and each task passes on as many rows at most; so the driver sees
+    ``sample_docs`` texts of each language, however the rows are spread.  Rows without a language or a text are left out.
     """
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not sizes:
-        return {}
-    dice = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.5 * sample_docs / n))))
-    # A hash takes about 1.5 times what is wanted of each language; the limit holds even if ids repeat.
-    rows = known.where(dice < share[F.col("lang")]).select("lang", F.substring("text", 1, sample_chars).alias("text"), dice.alias("dice")).orderBy("dice", F.xxhash64("text")).limit(4 * sample_docs * len(sizes)).collect()
-    out = {}
-    for lang in sorted(sizes):
-        texts = [r["text"] for r in rows if r["lang"] == lang][:sample_docs]
-        out[lang] = letters("\n".join(texts)) if texts else b""
-    return {k: v for k, v in out.items() if v}
+    known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("dice")).where("lang is not null and text is not null")
+    chosen = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "text"))).where(F.col("n") <= sample_docs)
+    texts: dict[str, list[str]] = {}
+    for r in chosen.orderBy("lang", "n").collect():
+        texts.setdefault(r["lang"], []).append(r["text"])
+    out = {lang: letters("\n".join(own)) for lang, own in texts.items()}
+    return {k: v for k, v in out.items() if v.strip()}
 
 
 def letters(text: str) -> bytes:
@@ -53,7 +52,7 @@ def letters(text: str) -> bytes:
 def _compressors(level: int, contents: list[bytes]):
     import zstandard as z
 
-    key = b"".join(c[:64] + len(c).to_bytes(8, "little") for c in contents) + bytes([level])
+    key = hashlib.blake2b(b"".join(hashlib.blake2b(c).digest() for c in contents) + bytes([level])).digest()
     if key not in _ENCODERS:
         made = []
         for c in contents:
@@ -78,7 +77,8 @@ def _predict(names: list[str], contents: list[bytes], level: int, narrow: float,
                     kept.append(False)
                     continue
                 data = letters(text)
-                size = np.array([len(e.compress(data)) for e in encoders])
+                parts = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
+                size = np.array([sum(len(e.compress(p)) for p in parts) for e in encoders])
                 best = int(np.argmin(size))
                 lead = np.sort(size)[1] / size[best] - 1 if len(size) > 1 else 1.0
                 lang.append(names[best])
