@@ -32,10 +32,9 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _entropy(text: Column) -> Column:
-    """Bits per character: from the counts of the letters, digits and marks that occur in URLs."""
+    """Bits per character."""
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    chars = F.array(*(F.lit(c) for c in _LOWER + "0123456789-._/?=&%#:"))
-    share = F.transform(chars, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
+    share = F.transform(F.array_distinct(F.split(text, "")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
     return F.aggregate(share, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
 
 
@@ -71,30 +70,34 @@ class UrlFilter:
         self.model, self.assembler, self.suffixes, self.threshold = model, assembler, suffixes, threshold
 
     @staticmethod
-    def fit(labelled: DataFrame, sample: int = 20_000, trees: int = 10, depth: int = 4, threshold: float = 0.5, most_suffixes: int = 1000) -> "UrlFilter | None":
-        """From (url, bad 0/1): on about ``sample`` rows at most, chosen by a hash of the URL.  None without two classes.
+    def fit(labelled: DataFrame, sample: int = 20_000, trees: int = 10, depth: int = 4, threshold: float = 0.5) -> "UrlFilter | None":
+        """From (url, bad 0/1): equal rows are made one, weighted by their number, before about ``sample`` of them are chosen by a hash,
+        so a URL that is repeated often is one row of the sample.  None without two classes.
 
-        Suffix statistics come from the same rows, for the ``most_suffixes`` most frequent ones.
+        Suffix statistics come from the same rows; a row's own label is left out of the statistic that it is trained on.
         """
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.feature import VectorAssembler
 
         from starframe.llm._shared import cut
 
-        rows = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select("url", F.col("bad").cast("double").alias("bad"))
+        rows = labelled.where(F.col("url").isNotNull() & F.col("bad").isNotNull()).select(F.col("url").cast("string").alias("url"), F.col("bad").cast("double").alias("bad"))
+        rows = rows.groupBy("url", "bad").agg(F.count("*").cast("double").alias("weight"))
         n = rows.count()
         share = min(1.0, sample / max(n, 1))
-        rows = parts(rows.where(F.pmod(F.xxhash64("url", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))))
-        rows = cut(rows)
-        total, classes = rows.agg(F.count("*"), F.countDistinct("bad")).first()
+        rows = cut(parts(rows.where(F.pmod(F.xxhash64("url", "bad", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))))
+        total, classes = rows.agg(F.sum("weight"), F.countDistinct("bad")).first()
         if classes < 2:
             return None
-        stats = rows.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg((F.count("*") / total).alias("suffix_share"), F.avg("bad").alias("suffix_bad")).orderBy(F.desc("suffix_share"), "suffix").limit(most_suffixes)
-        # At most ``most_suffixes`` rows: small enough for every executor.
-        suffixes = F.broadcast(cut(stats))
+        suffix = F.substring_index("host", ".", -1)
+        stats = cut(rows.groupBy(suffix.alias("suffix")).agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("bad")).alias("k")))
+        # As many rows as the sample has, at most: small enough for every executor.
+        suffixes = F.broadcast(stats.select("suffix", (F.col("n") / total).alias("suffix_share"), (F.col("k") / F.col("n")).alias("suffix_bad")))
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
-        train = cut(assembler.transform(features(rows, suffixes)).select("features", "bad").coalesce(4))
-        gbt = GBTClassifier(labelCol="bad", featuresCol="features", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, minInstancesPerNode=25, seed=5)
+        others = F.when(F.col("n") > F.col("weight"), (F.col("k") - F.col("weight") * F.col("bad")) / (F.col("n") - F.col("weight"))).otherwise(0.0)
+        seen = features(rows, suffixes).join(F.broadcast(stats), "suffix").withColumn("suffix_bad", others)
+        train = cut(assembler.transform(seen).select("features", "bad", "weight").coalesce(4))
+        gbt = GBTClassifier(labelCol="bad", featuresCol="features", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, minInstancesPerNode=25, seed=5)
         return UrlFilter(gbt.fit(train), assembler, suffixes, threshold)
 
     def score(self, urls: DataFrame) -> DataFrame:
@@ -109,11 +112,15 @@ def judge(urls: DataFrame, model: UrlFilter | None, rules=RULES) -> DataFrame:
     """Per row of ``urls`` (with a column url): all its columns, host, path, rule, verdict (allow or block), bad_score.
 
     The longest rule that fits decides; else the model does (without one: allow).  Works row by row: repeated rows get the same
-    result; a null URL has empty parts, no rule, and the model's verdict; columns with the names of results or features are replaced.
+    result; a null URL has empty parts, no rule, and the model's verdict; columns with the names of results are replaced, others of
+    any name stay.
     """
-    clash = ("host", "path", "rule", "verdict", "bad_score", "suffix", "features", "probability", "rawPrediction", "prediction", *FEATURES)
-    own = parts(urls.select(*(c for c in urls.columns if c not in clash)))
+    results = ("host", "path", "rule", "verdict", "bad_score")
+    kept = [c for c in urls.columns if c not in results]
+    # The caller's columns travel as one, so that none clashes with a feature.
+    own = parts(urls.select(F.struct(*kept).alias("row"), F.col("url").cast("string").alias("url")))
     scored = model.score(own) if model else own.withColumn("bad_score", F.lit(0.0))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     limit = model.threshold if model else 0.5
-    return scored.withColumn("rule", name).withColumn("verdict", F.coalesce(verdict, F.when(F.col("bad_score") >= limit, "block").otherwise("allow")))
+    decided = F.coalesce(verdict, F.when(F.col("bad_score") >= limit, "block").otherwise("allow"))
+    return scored.select("row.*", "host", "path", name.alias("rule"), decided.alias("verdict"), "bad_score")
