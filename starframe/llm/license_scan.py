@@ -46,28 +46,43 @@ def _windows(starts, group: int, width: int):
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, size: int = 5, bands: int = 24, rows: int = 1, most_shingles: int = 200_000) -> DataFrame:
     """Licences found in ``docs`` (doc_id, text): doc_id, license, containment, n_windows; one row for each document and licence.
 
-    ``templates`` (license, text) is reference data, not corpus: its shingles reach the driver, ``most_shingles`` at most (an error
-    beyond).  A licence is found if a window and a width on either side hold ``containment`` of its shingles (``size`` words, lower case, letters and digits;
+    ``templates`` (license, text) is reference data, not corpus: its shingles reach the driver.  Templates of more than
+    ``most_shingles`` in all are worked off in portions of so many, each in a pass of its own.  A licence is found if a window and a width on either side hold ``containment`` of its shingles (``size`` words, lower case, letters and digits;
     a shorter notice is one shingle of all its words, found only in windows of so many words: texts that are just the notice).
     Texts that are null or without words have no licence; rows that share a doc_id are one document; other columns are ignored;
     with no documents or templates the result is empty.
     """
     spark = docs.sparkSession
     templates = notices(spark) if templates is None else templates
-    hashed = lambda df: N.fixed(N.fixed(df, _w=N.hashes(N.folded_words("text"))), sh=N.shingles("_w", size))
-    known = hashed(templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text"))).select("license", F.array_distinct("sh").alias("t"), F.size("sh").alias("n")).where("size(t) > 0")
-    lists = known.limit(most_shingles).collect()
-    if sum(len(r["t"]) for r in lists) > most_shingles:
-        raise ValueError(f"templates have more than {most_shingles} shingles")
-    empty = spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
-    if not lists:
-        return empty
+    known = _hashed(templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")), size).select("license", F.array_distinct("sh").alias("t"), F.size("sh").alias("n")).where("size(t) > 0")
+    portions: list[list] = []
+    held = most_shingles
+    for r in known.orderBy(F.desc("n"), "license").collect():
+        if held + len(r["t"]) > most_shingles:
+            portions.append([])
+            held = 0
+        portions[-1].append(r)
+        held += len(r["t"])
+    out = spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
+    for lists in portions:
+        found = _scan(docs, lists, containment, size, bands, rows)
+        out = found if len(portions) == 1 else out.unionByName(found)
+    return out
+
+
+def _hashed(df: DataFrame, size: int) -> DataFrame:
+    return N.fixed(N.fixed(df, _w=N.hashes(N.folded_words("text"))), sh=N.shingles("_w", size))
+
+
+def _scan(docs: DataFrame, lists: list, containment: float, size: int, bands: int, rows: int) -> DataFrame:
+    """One pass over ``docs`` for templates of a bounded number of shingles: (license, t: distinct shingles, n: shingles)."""
+    spark = docs.sparkSession
     # Sizes within a factor of two share their windows.
     groups: dict[int, list] = {}
     for r in lists:
         groups.setdefault(math.ceil(math.log2(r["n"])), []).append(r)
     every = F.array(*(F.lit(x) for x in sorted({x for r in lists for x in r["t"]})))
-    text = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select("doc_id", "sh")
+    text = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size).select("doc_id", "sh")
     # A text that shares no shingle with any template has none of them: exact, and it spares nearly all texts the windows.
     text = text.where(F.arrays_overlap("sh", every))
     # The windows of all groups in one pass over the text.
