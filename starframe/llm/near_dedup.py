@@ -228,13 +228,16 @@ def near_dups(docs: DataFrame, similarity: float = 0.8, size: int = 5, k: int =
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that are near-duplicates of one with a smaller doc_id.
+    """The rows of ``docs``, all columns (of any name), without the documents that are near-duplicates of one with a smaller doc_id.
 
     Of rows that share doc_id and text one is kept; texts that are null or without words stay.
     """
-    classes = near_dups(docs, **options).where("is_first").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).groupBy("_id", "_node").agg(F.count("*").alias("_n"))
-    keyed = docs.withColumn("_digest", F.unhex(F.md5(F.col("text").cast("string"))))
-    kept = keyed.join(cut(classes), keyed["doc_id"].eqNullSafe(F.col("_id")) & keyed["_digest"].eqNullSafe(F.col("_node")))
-    blank = F.col("_digest").isNull() | (F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) == "")
-    once = kept.where((F.col("_n") == 1) | blank).select(*docs.columns)
-    return once.unionByName(kept.where((F.col("_n") > 1) & ~blank).dropDuplicates(["_id", "_node"]).select(*docs.columns))
+    classes = near_dups(docs, **options).where("is_first").groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    # The caller's columns travel as one, so that none clashes.
+    text = F.col("text").cast("string")
+    blank = text.isNull() | (F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == "")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), blank.alias("blank"))
+    classes = cut(classes)
+    kept = keyed.join(classes, keyed["id"].eqNullSafe(classes["doc_id"]) & keyed["digest"].eqNullSafe(classes["node"]))
+    once = (F.col("n") == 1) | F.col("blank")
+    return kept.where(once).select("row.*").unionByName(kept.where(~once).dropDuplicates(["id", "digest"]).select("row.*"))

@@ -15,7 +15,7 @@ BOILERPLATE = "(?i)(cookie|privacy) (policy|notice|settings)|terms (of|and) (use
 
 
 def _punctuation(line: Column) -> Column:
-    """Too many symbols for the length, or shouting: nearly no lower-case letters among many words, each with a mark."""
+    """Too many symbols, or too many marks of exclamation and question, for the length."""
     n = F.length(line)
     symbols = n - F.length(F.translate(line, SYMBOLS, ""))
     marks = n - F.length(F.translate(line, "!?", ""))
@@ -87,10 +87,15 @@ def measures(docs: DataFrame, least_words: int = 10, most_repeated: int = 20) ->
     )
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "n_lines", "n_removed_lines", "kept_share", "line_kept", "kept")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """``docs`` (with a column text) with all measures, the cleaned text and ``kept``: not base_failed, and line_kept.
 
-    Works row by row: repeated rows get the same result, an empty table gives no rows, other columns stay (those that have the
-    name of a result are replaced).
+    Works row by row: repeated rows get the same result, an empty table gives no rows, other columns stay, whatever their names
+    (those that have the name of a result are replaced).
     """
-    return clean(measures(docs)).withColumn("kept", ~F.col("base_failed") & F.col("line_kept"))
+    # The caller's columns travel as one, so that none clashes with those needed here.
+    own = docs.select(F.struct(*(c for c in docs.columns if c not in RESULTS)).alias("row"), F.col("text").cast("string").alias("text"))
+    return clean(measures(own)).withColumn("kept", ~F.col("base_failed") & F.col("line_kept")).select("row.*", *RESULTS)
