@@ -98,7 +98,8 @@ class Index:
         df = whole.frequencies(self.terms)
         idf = np.log(1 + (whole.items - df + 0.5) / (df + 0.5))
         impact = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[item] / whole.mean))
-        impact = (impact / np.bincount(item, impact, n)[item]).astype(np.float32)
+        # Multiples of 2**-22: their sums up to 2 are exact, so a score does not depend on the order or on the shard.
+        impact = (np.round(impact / np.bincount(item, impact, n)[item] * 2**22) / 2**22).astype(np.float32)
         # Postings by block of items: terms of the block and their impacts on its items.
         self.bounds = np.zeros((len(self.terms) + 1, math.ceil(n / BLOCK)), np.float32)  # the last row: not a term
         np.maximum.at(self.bounds, (term, item // BLOCK), impact)
