@@ -8,11 +8,12 @@ from starframe.llm import decontaminate, language_id, license_scan, line_dedup,
 LONG = " ".join(f"word{k % 977} of line {k}." for k in range(20_000))
 SAME = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
 ROWS = [(1, SAME, "en"), (1, SAME, "en"), (2, SAME, None), (None, SAME, "en"), (None, None, None), (3, None, "en"), (4, "", "de"), (5, " \n\t\n ", "de"), (6, LONG, "en"), (7, "12345 !!", "fr"), (8, "line\n\nline\nother", "es")]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep string, node string, rank int, label string"
+MORE = ["_id", "_text", "_h", "_n", "_bad", "_words", "_lines", "depth", "suffix", "features", "row", "gone", "id", "digest", "blank", "h", "t", "k1"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep string, node string, rank int, label string, " + ", ".join(f"{c} string" for c in MORE)
 
 
 def table(spark, rows):
-    return spark.createDataFrame([(d, t, g, "s", len(t or ""), "k", "n", 1, "l") for d, t, g in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, g, "s", len(t or ""), "k", "n", 1, "l", *MORE) for d, t, g in rows], SCHEMA)
 
 
 OPERATORS = {
@@ -65,6 +66,52 @@ def test_odd_rows(spark, name):
         assert {(r.host, r.path, r.rule, r.verdict) for r in got} == {("", "", None, "allow")}
 
 
+@pytest.mark.parametrize("name", ["near_keep", "lines", "quality", "urls", "no_leaks"])
+def test_other_columns_stay_whatever_their_names(spark, name):
+    df = table(spark, ROWS)
+    leaks = lambda df: decontaminate.without_leaks(df, df.selectExpr("doc_id AS item_id", "CAST(NULL AS STRING) AS text"))
+    got = (OPERATORS | {"no_leaks": leaks})[name](df).collect()
+    assert got and all(r[c] == c for r in got for c in MORE) and all(r["keep"] == "k" and r["rank"] == 1 for r in got)
+
+
+def test_leaks_do_not_depend_on_shards(spark, sf):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    one = plain(decontaminate.find_leaks(docs, items))
+    assert one and one == plain(decontaminate.find_leaks(docs, items, shard_items=9, shards_each=2))
+
+
+def test_licences_do_not_depend_on_portions(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = sorted(map(tuple, license_scan.scan(docs).collect()))
+    assert one and one == sorted(map(tuple, license_scan.scan(docs, most_shingles=100).collect()))
+
+
+def test_language_sample_is_dealt_by_language(spark):
+    rows = [(None, f"the house number {k} is by the river and the old mill", "en") for k in range(300)] + [(None, "das alte haus steht am fluss neben der mühle", "de")] * 40 + [(5, f"la casa vieja {'abc'[k % 3]} está junto al río", "es") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.fit(df, sample_docs=10)) == {"de", "en", "es"}
+
+
+def test_language_encoders_are_told_apart_by_their_whole_contents(spark):
+    head = "a" * 100
+    texts = [f"{head} rauf runter drüber drunter {k}" for k in range(30)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    one, two = (head + " rauf runter drüber drunter").encode(), (head + " sesquipedalian vocabulary!!").encode()
+    for content, other, want in ((one, two, "x"), (two, one, "y")):
+        assert {r.lang_pred for r in language_id.identify(df, {"x": content, "y": other}).collect()} == {want}
+
+
+def test_urls_repeated_often_are_one_row_of_the_sample(spark):
+    rows = [("https://same.example.org/a", 1)] * 500 + [(f"https://site{k}.example.org/{'bad' * (k % 2)}{k}?q={k}", k % 2) for k in range(400)]
+    df = spark.createDataFrame(rows, "url string, bad int")
+    model = url_filter.UrlFilter.fit(df, sample=200)
+    got = url_filter.judge(df, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.bad_score <= 1 for r in got)
+    assert url_filter.judge(table(spark, ROWS).withColumnRenamed("text", "url"), model).count() == len(ROWS)
+    assert url_filter.judge(df.limit(0), model).collect() == []
+
+
 def test_leaks_of_question_and_answer(spark):
     items = spark.createDataFrame([(1, "what is the name of the first of all rivers", "it is the long blue one in the north"), (2, None, None), (3, "", "")], "item_id long, question string, answer string")
     docs = spark.createDataFrame([(1, "x " * 300 + "What is the name of the first of all rivers? It is the long blue one in the north. " + "y " * 300), (2, "what is the name of the first of all rivers"), (3, None)], "doc_id long, text string")
