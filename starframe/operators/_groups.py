@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starframe.functions.shared import cut
+
 ONE = "_all"
 
 
@@ -21,9 +23,19 @@ def same(left: str, right: str, names: list[str]) -> Column:
     return out
 
 
+#: A table of groups with fewer rows (each a few numbers) is broadcast; of a larger one Spark shuffles both sides.
+BROADCAST_GROUPS = 100_000
+
+
 def attach(df: DataFrame, per_group: DataFrame, names: list[str]) -> DataFrame:
-    """Adds the columns of a table with one row per group."""
+    """Adds the columns of a table with one row per group.
+
+    That table is computed and counted first: below BROADCAST_GROUPS rows it goes to the rows of ``df``, which then stay where they are.
+    """
     more = [c for c in per_group.columns if c not in names]
+    per_group = cut(per_group.select(*names, *more))
+    if per_group.count() < BROADCAST_GROUPS:
+        per_group = F.broadcast(per_group)
     return df.alias("l").join(per_group.alias("r"), same("l", "r", names), "inner").select("l.*", *(F.col(f"r.{c}") for c in more))
 
 

@@ -60,7 +60,7 @@ def select_hdu(hdus: DataFrame, hdu: int | None = None) -> DataFrame:
     )
     best = own.withColumn("_rank", rank).groupBy("path").agg(F.min_by(F.struct("hdu", "_rank", plot.alias("is_table"), F.coalesce(F.col("sky"), F.lit(False)).alias("is_sky"), "error", "cmptype", "format"), F.struct("_rank", "hdu")).alias("b"))
     shown = F.col("b._rank") <= 2
-    reason = F.when(shown, None).when(F.col("b._rank") == 3, F.coalesce("b.error", F.concat(F.coalesce("b.cmptype", F.lit("this")), F.lit(" compression is not supported")))).when(F.col("b.format") == "asdf", "no array to show in this ASDF file").when(F.col("b._rank") == 4, "no image, and no table with columns to plot").otherwise("no image data")
+    reason = F.when(shown, None).when(F.col("b._rank") == 3, F.coalesce("b.error", F.concat(F.lit("tiles can not be decoded: "), F.coalesce("b.cmptype", F.lit("unknown codec"))))).when(F.col("b.format") == "asdf", "ASDF tree without a usable array").when(F.col("b._rank") == 4, "tables only, and none has axes").otherwise("empty: nothing to display")
     return best.select("path", F.when(shown, F.col("b.hdu")).alias("hdu"), (shown & F.col("b.is_table")).alias("is_table"), (shown & F.col("b.is_table") & F.col("b.is_sky")).alias("is_sky"), reason.alias("reason"))
 
 

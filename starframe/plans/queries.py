@@ -360,10 +360,33 @@ def fits_columns(spark, sf_dir):
     return tables.describe_columns(files.scan_cards(units)).select("path", "n", "name", "byte_offset")
 
 
-@query("SELECT label::VARCHAR AS path, oy::INT AS oy, ox::INT AS ox, round(avg(v), 9) AS value, count(*) AS n FROM (SELECT label, (row_number() OVER (PARTITION BY label, x ORDER BY y) - 1) // 4 AS oy, x // 4 AS ox, v FROM (SELECT vec_id AS y, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings)) WHERE oy < 5 GROUP BY 1, 2, 3")
+@query("""SELECT path, oy::INT AS oy, ox::INT AS ox, round(avg(v), 9) AS value, count(*) AS n FROM (SELECT path, (row_number() OVER (PARTITION BY path, x ORDER BY y) - 1) // 4 AS oy, x // 4 AS ox, v FROM
+(SELECT vec_id AS y, label || '-' || (vec_id // 400) AS path, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS x FROM embeddings)) GROUP BY 1, 2, 3""")
 def fits_image_roundtrip_bin(spark, sf_dir):
+    """Images of a label and 400 numbers of vectors each, so of 400 rows at most, written as FITS and binned whole."""
     from starframe import sinks
     from starframe.sources import files
 
-    made = sinks.fits_images(read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values")), "label")
-    return images.bin2d(files.image_rows(made), 4, 16, 5, by=["path"]).withColumn("value", F.round("value", 9))
+    path = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 400).cast("string"))
+    made = sinks.fits_images(read(spark, sf_dir, "embeddings").select(path.alias("name"), F.col("vec_id").alias("y"), F.col("embedding").alias("values")), "name")
+    return images.bin2d(files.image_rows(made), 4, 16, 100, by=["path"]).withColumn("value", F.round("value", 9))
+
+
+@query("""SELECT (o_orderkey // 4000)::VARCHAR AS path, 1 AS hdu, 'table' AS unit, count(*)::BIGINT AS n_rows, 4::BIGINT AS n_columns FROM orders GROUP BY o_orderkey // 4000""")
+def hdu_classes(spark, sf_dir):
+    """What each unit of the files of orders is; empty primary units are not listed."""
+    from starframe.operators import catalog
+    from starframe.sources import files
+
+    none = F.lit(None).cast("string")
+    units = files.scan_hdus(files.from_content(order_files(spark, sf_dir))).withColumns({"kind": none, "dtype": none})
+    return catalog.classify_hdus(units).where("unit is not null").select("path", "hdu", "unit", "n_rows", "n_columns")
+
+
+@query("""SELECT path, _row, o_orderkey FROM (SELECT (o_orderkey // 4000)::VARCHAR AS path, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS _row, o_orderkey FROM orders) WHERE _row BETWEEN 100 AND 199""")
+def fits_rows_between(spark, sf_dir):
+    """The second hundred rows of every file's table: a range of rows is the feature."""
+    from starframe.sources import files
+
+    rows = files.table_rows(order_files(spark, sf_dir), "o_orderkey bigint")
+    return tables.rows_between(rows, 100, 100).select("path", "_row", "o_orderkey")

@@ -81,12 +81,14 @@ def thumbnails(cells: DataFrame, stretch: DataFrame, width: int, height: int, by
 def fits_tables(df: DataFrame, forms: dict[str, str], by: str, more: dict[str, object] | None = None) -> DataFrame:
     """FITS files as rows (path, content): a binary table for each value of ``by``, which must keep groups small enough for a task.
 
-    ``forms``: TFORM by column; ``more``: further keywords (scaling, null values).
+    ``forms``: TFORM by column; ``more``: further keywords (scaling, null values).  Rows are in the order of the columns, so that a
+    task that runs again writes the same bytes.
     """
     from starframe.sources import fits
 
     def pack(table: pa.Table) -> pa.Table:
         cols = []
+        table = table.sort_by([(c, "ascending") for c in forms])
         for name, form in forms.items():
             v = table[name].to_numpy()
             cols.append((name, form, v.astype(f"S{form[:-1]}") if form.endswith("A") else v.astype(np.dtype(fits.NUMPY[form[-1]]).newbyteorder("="))))

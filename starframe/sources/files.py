@@ -27,7 +27,7 @@ def from_content(df: DataFrame, column: str = "content", path: str = "path") ->
     """Files already in memory: path, format, gz, length, error and content of any table with a binary column."""
     magic = kind_of(F.col(column))
     short = F.octet_length(column) < 16
-    error = F.when(short, "too short").when(magic.isNull(), "not a FITS, XISF or ASDF file")
+    error = F.when(short, "too short").when(magic.isNull(), "unknown kind of file")
     return df.select(F.col(path).alias("path"), F.when(~short, magic).alias("format"), (magic == "gzip").alias("gz"), F.octet_length(column).cast("bigint").alias("length"), *([F.col("modificationTime").alias("mtime")] if "modificationTime" in df.columns else []), error.alias("error"), F.col(column).alias("content"))
 
 
@@ -51,7 +51,7 @@ def _hdus(tables):
                 for u in fits.walk(source):
                     cut = source.truncated or u.get("data_off", 0) + u.get("data_len", 0) > source.size
                     rows.append({"path": path, "format": "fits", "truncated": cut, **u})
-            except OSError as e:
+            except (OSError, ValueError, OverflowError, MemoryError) as e:
                 rows.append({"path": path, "hdu": 0, "error": str(e)})
         yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
@@ -77,7 +77,10 @@ def hdus_of(files: DataFrame) -> DataFrame:
 
 
 def table_rows(files: DataFrame, schema: str, hdu: int = 1) -> DataFrame:
-    """Typed rows of a table unit of files in memory (path, content): path, _row and the columns of ``schema`` (names and types)."""
+    """Typed rows of a table unit of files in memory (path, content): path, _row and the columns of ``schema`` (names and types).
+
+    Files without the unit or one of the columns in its type, or whose columns do not fit a row, have no rows.
+    """
     from starframe.sources.fits_sources import arrow
 
     names, kinds = zip(*(x.strip().split(" ", 1) for x in schema.split(", ")), strict=True)
@@ -92,16 +95,21 @@ def table_rows(files: DataFrame, schema: str, hdu: int = 1) -> DataFrame:
                 if u is None or not u["rowlen"]:
                     continue
                 cols = {c["name"]: c for c in fits.columns(u["keywords"])}
+                if any(c not in cols or fits.spark_type(cols[c]) != k for c, k in zip(names, kinds, strict=True)):
+                    continue
                 n = min(u["n_rows"], max(0, source.size - u["data_off"]) // u["rowlen"])
                 raw = np.frombuffer(source.read(u["data_off"], n * u["rowlen"]), np.uint8).reshape(n, u["rowlen"])
                 heap = lambda at, k: source.read(u["data_off"] + u["heap"] + at, k)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(n)), *(pa.array(fits.cells(raw, cols[c], heap), arrow(k)) for c, k in zip(names, kinds, strict=True))], names=["path", "_row", *names])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(np.arange(n)), *(pa.array(fits.cells(raw, cols[c], heap), arrow(k)) for c, k in zip(names, kinds, strict=True))], names=["path", "_row", *names])
 
     return files.select("path", "content").mapInArrow(rows, f"path string, _row bigint, {schema}")
 
 
 def image_rows(files: DataFrame, hdu: int = 0) -> DataFrame:
-    """Rows of pixels of an image unit of files in memory: path, hdu, plane, y, values, truncated."""
+    """Rows of pixels of an image unit of files in memory: path, hdu, plane, y, values, truncated; what is cut off is NaN.
+
+    Units of which a file holds less than a thousandth have no rows.
+    """
     from starframe.sources.fits_sources import PIXELS, _pixel_batch, pixels
 
     def rows(tables):
@@ -116,6 +124,8 @@ def image_rows(files: DataFrame, hdu: int = 0) -> DataFrame:
                 width, height = u["naxes"][0], u["naxes"][1] if len(u["naxes"]) > 1 else 1
                 total = int(np.prod(u["naxes"], dtype=np.int64))
                 size = abs(u["bitpix"]) // 8
+                if total * size > 1000 * max(source.size, fits.BLOCK):
+                    continue  # axes that the file can't have been written with
                 raw = source.read(u["data_off"], total * size)
                 got = np.full(total, np.nan)
                 have = pixels(np.frombuffer(raw[: len(raw) // size * size], fits.DTYPES[u["bitpix"]]), u["bscale"], u["bzero"], u["blank"])

@@ -9,6 +9,10 @@ import numpy as np
 
 BLOCK, CARD = 2880, 80
 MOST_HDUS, MOST_HEADER, MOST_GZIP = 100_000, 64 << 20, 1 << 30
+#: Axes that the format allows; a length of data beyond any file.
+MOST_AXES, MOST_DATA = 999, 1 << 61
+#: Elements of one variable-length cell.
+MOST_CELL = 1 << 27
 DTYPES = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
 
@@ -79,6 +83,20 @@ def _float(text, default=None):
         return default
 
 
+def _wrong(kw: dict) -> str | None:
+    """What makes a header useless for finding its data, if anything."""
+    axes = _int(kw.get("NAXIS"), -1)
+    if not 0 <= axes <= MOST_AXES:
+        return f"NAXIS is {kw.get('NAXIS')}, from 0 to {MOST_AXES} are possible"
+    if any(not 0 <= _int(kw.get(f"NAXIS{i + 1}"), -1) < 1 << 62 for i in range(axes)):
+        return "the length of an axis is missing or negative"
+    if _int(kw.get("BITPIX")) not in DTYPES:
+        return f"BITPIX is {kw.get('BITPIX')}, which is no type of elements"
+    if not (0 <= _int(kw.get("PCOUNT")) < 1 << 62 and 0 <= _int(kw.get("GCOUNT", "1"), -1) < 1 << 31):
+        return "PCOUNT or GCOUNT is negative or too large"
+    return None
+
+
 def walk(source: Bytes, most: int = MOST_HDUS):
     """One dict per data unit, from header to header; data units are skipped, not read.  Stops at the first header that is none."""
     at, hdu = 0, 0
@@ -103,6 +121,10 @@ def walk(source: Bytes, most: int = MOST_HDUS):
         for c in (c.decode("latin-1") for c in cards):
             if c[8:10] == "= ":
                 kw.setdefault(c[:8].rstrip(), _value(c))
+        wrong = _wrong(kw)
+        if wrong:
+            yield {"hdu": hdu, "error": wrong, "hdr_off": at, "header": b"".join(cards).decode("latin-1")}
+            return
         naxes = [_int(kw.get(f"NAXIS{i + 1}")) for i in range(_int(kw.get("NAXIS")))]
         bitpix, pcount, gcount = _int(kw.get("BITPIX")), _int(kw.get("PCOUNT")), _int(kw.get("GCOUNT"), 1) if "GCOUNT" in kw else 1
         groups = kw.get("GROUPS") == "T" and bool(naxes) and naxes[0] == 0
@@ -111,8 +133,9 @@ def walk(source: Bytes, most: int = MOST_HDUS):
             n *= x
         length = gcount * (pcount + (n if naxes else 0)) * abs(bitpix) // 8 if naxes or pcount else 0
         zimage = kw.get("ZIMAGE") == "T"
+        length = min(length, MOST_DATA)
         if zimage:
-            naxes_z = [_int(kw.get(f"ZNAXIS{i + 1}")) for i in range(_int(kw.get("ZNAXIS")))]
+            naxes_z = [_int(kw.get(f"ZNAXIS{i + 1}")) for i in range(min(_int(kw.get("ZNAXIS")), MOST_AXES))]
         scale = _float(kw.get("BSCALE", "1"), 1.0)
         yield {
             "hdu": hdu, "xtension": kw.get("XTENSION", "") if hdu else "", "extname": kw.get("EXTNAME", ""), "bitpix": _int(kw.get("ZBITPIX")) if zimage else bitpix,
@@ -126,7 +149,11 @@ def walk(source: Bytes, most: int = MOST_HDUS):
 
 
 def columns(kw: dict) -> list[dict]:
-    """Columns of a table unit from its keywords: name, unit, form, repeat, type, element, width, byte_offset, scale, zero, null."""
+    """Columns of a table unit from its keywords: name, unit, form, repeat, type, element, width, byte_offset, scale, zero, null.
+
+    None where a form can't be read, or columns lie outside the row.
+    """
+    row = _int(kw["NAXIS1"]) if "NAXIS1" in kw else 1 << 62
     out, at = [], 0
     for n in range(1, min(999, _int(kw.get("TFIELDS"))) + 1):
         form = kw.get(f"TFORM{n}", "").strip()
@@ -135,7 +162,10 @@ def columns(kw: dict) -> list[dict]:
             m = re.match(r"([AIFED])(\d+)", form)
             if not m:
                 return []
-            out.append(base | {"repeat": 1, "type": m[1], "element": "", "width": int(m[2]), "byte_offset": _int(kw[f"TBCOL{n}"]) - 1, "ascii": True})
+            first, wide = _int(kw[f"TBCOL{n}"]) - 1, int(m[2])
+            if first < 0 or first + wide > row:
+                return []
+            out.append(base | {"repeat": 1, "type": m[1], "element": "", "width": wide, "byte_offset": first, "ascii": True})
             continue
         m = re.match(r"(\d*)([LXBIJKAEDCMPQ])([LXBIJKAEDCM]?)", form)
         if not m:
@@ -145,6 +175,8 @@ def columns(kw: dict) -> list[dict]:
         width = (repeat + 7) // 8 if code == "X" else (size if repeat else 0) if code in "PQ" else repeat * size
         out.append(base | {"repeat": repeat, "type": code, "element": m[3] if code in "PQ" else "", "width": width, "byte_offset": at, "ascii": False})
         at += width
+        if at > row:
+            return []
     return out
 
 
@@ -179,7 +211,13 @@ def cells(raw: np.ndarray, c: dict, heap=None) -> list | np.ndarray:
             return [[] for _ in part]
         d = np.ascontiguousarray(part).view(">i4" if c["type"] == "P" else ">i8").reshape(len(part), 2)
         kind = NUMPY.get(c["element"] or "B", "u1")
-        return [np.frombuffer(heap(int(at), int(n) * np.dtype(kind).itemsize), kind).astype(np.dtype(kind).newbyteorder("=")).tolist() for n, at in d]
+        size = np.dtype(kind).itemsize
+
+        def some(n: int, at: int) -> list:
+            found = heap(max(at, 0), min(max(n, 0), MOST_CELL) * size)
+            return np.frombuffer(found[: len(found) // size * size], kind).astype(np.dtype(kind).newbyteorder("=")).tolist()
+
+        return [some(int(n), int(at)) for n, at in d]
     if c["type"] == "L":
         values = [[True if b == 84 else False if b == 70 else None for b in r] for r in part.tolist()]
         return [v[0] if v else None for v in values] if c["repeat"] == 1 else values

@@ -79,15 +79,19 @@ def _unit(path: str, hdu: int) -> tuple[fits.Bytes, dict]:
     raise ValueError(f"{path}: there is no HDU {hdu}")
 
 
-def _units(options: dict) -> Iterator[tuple[str, fits.Bytes, dict]]:
-    """The unit asked for of every file; in permissive mode files without it are left out."""
+def _units(options: dict, table: bool = False) -> Iterator[tuple[str, fits.Bytes, dict]]:
+    """The unit asked for of every file; in permissive mode files without it, or without readable columns, are left out."""
     hdu, mode = int(options.get("hdu", 1)), options.get("mode", "permissive").lower()
     for p in files(options["path"]):
         try:
-            yield (p, *_unit(p, hdu))
+            source, u = _unit(p, hdu)
+            if table and u["tfields"] and not fits.columns(u["keywords"]):
+                raise ValueError(f"{p}: the columns of HDU {hdu} can't be read")
         except (ValueError, OSError):
             if mode == "failfast":
                 raise
+            continue
+        yield p, source, u
 
 
 class TableReader(_Reader):
@@ -95,7 +99,7 @@ class TableReader(_Reader):
 
     def partitions(self):
         out = []
-        for p, source, u in _units(self.options):
+        for p, source, u in _units(self.options, table=True):
             rows = min(u["n_rows"], max(0, source.size - u["data_off"]) // u["rowlen"]) if u["rowlen"] else 0
             a, b = self.span("_row", rows)
             if self.options.get("windows") == "true":
@@ -205,7 +209,7 @@ class FitsTable(DataSource):
         return "fits_table"
 
     def schema(self):
-        _, _, u = next(_units(self.options))
+        _, _, u = next(_units(self.options, table=True))
         wanted = self.options.get("columns")
         cols = [c for c in fits.columns(u["keywords"]) if not wanted or c["name"] in wanted.split(",")]
         return "path string, hdu int, _row bigint" + "".join(f", `{c['name']}` {fits.spark_type(c)}" for c in cols)

@@ -203,7 +203,7 @@ def test_asdf_streamed_and_damaged(spark):
     whole = fixtures.asdf({"s": {"values": data}})
     df = contents(spark, s=raw, cut=whole[:-9], tree=whole[:50], strides=fixtures.asdf({"s": {"values": data, "strides": [56, 80]}}))
     got = {r.path: (r.naxes, r.error) for r in asdf.arrays(df).collect()}
-    assert got["s"] == ([7, 12], None) and "ends before block 0" in got["cut"][1] and "past the end" in got["strides"][1] and "tree" not in got
+    assert got["s"] == ([7, 12], None) and "block 0 is missing" in got["cut"][1] and "outside its block" in got["strides"][1] and "tree" not in got
     assert (cube(asdf.pixels(df).where("path = 's'").collect()) == data).all()
 
 
@@ -239,3 +239,35 @@ def test_thumbnails_and_sinks(spark, tmp_path):
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "t")).first().asDict() == {"a": "1", "b": "[1.0,2.0]", "c": "01FF"}
     sinks.write_results(cells, str(tmp_path / "r"), ["path"])
     assert spark.read.parquet(str(tmp_path / "r")).count() == 400
+
+
+def test_damaged_files_fail_no_job(spark):
+    """Seeded mutation of headers and data: what can't be read is left out or carries an error."""
+    from starframe.sources import files
+
+    rng = np.random.default_rng(11)
+    image = fits.image_bytes(np.arange(60, dtype="f4").reshape(6, 10))
+    table = fits.table_bytes([("a", "J", np.arange(9, dtype="i4")), ("s", "4A", np.array([b"abcd"] * 9, "S4"))], name="T")
+    array = fixtures.asdf({"data": {"values": np.arange(54, dtype="f4").reshape(6, 9)}})
+    made = {}
+    for n in range(40):
+        for name, whole in (("i", image), ("t", table), ("a", array)):
+            raw = bytearray(whole)
+            for _ in range(int(rng.integers(1, 12))):
+                raw[int(rng.integers(0, min(len(raw), 6000 if name == "t" else 800)))] = int(rng.choice([48, 57, 45, 32, 0, 255, int(rng.integers(0, 256))]))
+            made[f"{name}{n}"] = bytes(raw[: int(rng.integers(len(raw) // 2, len(raw) + 1))])
+    df = contents(spark, **made)
+    assert files.scan_hdus(df).count() >= 0 and files.scan_cards(files.scan_hdus(df)).count() > 0
+    assert files.table_rows(df, "a int, s string").count() > 0
+    assert files.image_rows(df).count() > 0
+    assert asdf.arrays(df).count() > 0 and asdf.pixels(df).count() >= 0
+
+
+@pytest.mark.parametrize("cards", [{"NAXIS": 800000}, {"NAXIS1": -2880}, {"BITPIX": 7}, {"PCOUNT": -5}])
+def test_impossible_headers_are_told(spark, cards):
+    from starframe.sources import files
+
+    kw = {"BITPIX": 8, "NAXIS": 1, "NAXIS1": 10} | cards
+    raw = fits.header([fits.card("SIMPLE", True), *(fits.card(k, v) for k, v in kw.items())])
+    got = files.scan_hdus(contents(spark, f=raw + raw)).collect()
+    assert len(got) == 1 and got[0].error
