@@ -1,0 +1,355 @@
+"""What line dedup computes inside tasks: normal form, sketches and edit distances of lines, over Arrow batches."""
+
+from __future__ import annotations
+
+import math
+import re
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+
+#: What becomes of ASCII: digits are alike, letters and line ends stay, all else is a space; and what else lies between words.
+_ASCII = bytes(c if chr(c).isalpha() or c == 10 or c > 127 else 48 if chr(c).isdigit() else 32 for c in range(256))
+_BETWEEN = re.compile(r"[^\x00-\x7f\w]")
+#: Bits of a feature's hash beside the number of its line.
+BITS = 40
+#: Distinct lines of a block in one batch from which on its rows are spread over partitions.
+HOT = 64
+#: Rows of a result batch.
+STEP = 1 << 16
+
+
+def plain_lines(text: str | None) -> list[str]:
+    """The normal form of every line: its words with one space between, lower case, runs of letters and digits, all digits alike."""
+    if text is None:
+        return []
+    text = text.lower().encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass")
+    return [" ".join(x.split()) for x in (text if text.isascii() else _BETWEEN.sub(" ", text)).split("\n")]
+
+
+def keys(line: str) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def places(batches):
+    """(doc_id, h, text) to a row for each line that has a letter or digit: doc_id, h, pos, k1, k2."""
+    for b in batches:
+        known: dict = {}
+        rows, pos, k1, k2 = [], [], [], []
+        for n, text in enumerate(b.column(2).to_pylist()):
+            for i, line in enumerate(plain_lines(text)):
+                if line:
+                    k = known.get(line) or known.setdefault(line, keys(line))
+                    rows.append(n)
+                    pos.append(i)
+                    k1.append(k[0])
+                    k2.append(k[1])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(pos, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], names=["doc_id", "h", "pos", "k1", "k2"])
+
+
+def _mix(x):
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(a, b, c, d, e):
+    """The bits that three or more of five numbers have: their SimHash."""
+    three, first = a ^ b ^ c, (a & b) | (c & (a ^ b))
+    rest, second = three ^ d ^ e, (three & d) | (e & (three ^ d))
+    return (first & second) | ((first | second) & rest)
+
+
+def _features(line, feature, kind):
+    """Distinct features (line numbers, hashes) of each line in the order of their hashes: line numbers, hashes, numbers by line."""
+    key = np.sort((line.astype(np.uint64) << np.uint64(BITS)) | (_mix(feature + np.uint64(kind)) >> np.uint64(64 - BITS)))
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    own = (key >> np.uint64(BITS)).astype(np.int64)
+    return own, key & np.uint64((1 << BITS) - 1), np.bincount(own)
+
+
+def _voted(own, f, n, kind, blocks, rate):
+    """Blocks of the lines whose features are given: line numbers and buckets."""
+    if len(own) < 5:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    share = (np.maximum(blocks / np.maximum(n, 1), 1 / rate).clip(0, 1 - 2**-52) * 2.0**64).astype(np.uint64)
+    f = _mix(f)
+    at = np.flatnonzero((own[:-4] == own[4:]) & (_mix(f[:-4] + np.uint64(99)) < share[own[:-4]]))
+    return own[at], _mix(_majority(*(f[at + k] for k in range(5))) + np.uint64(kind))
+
+
+#: A base and its inverse modulo 2**64; their powers are made as far as needed.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list = []
+
+
+def _powers(n: int):
+    if not _POWERS or len(_POWERS[0]) < n:
+        n = max(n, 2 * PORTION)
+        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
+    return _POWERS
+
+
+def _words(lines):
+    """Line numbers and hashes of all words: differences of one sum of bytes times powers."""
+    data = np.frombuffer(("\n".join(lines) + "\n").encode("utf-8", "surrogatepass"), np.uint8)
+    power, inverse = _powers(len(data) + 1)
+    total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])
+    end = np.flatnonzero((data == 32) | (data == 10))
+    start = np.r_[0, end[:-1] + 1]
+    own = np.cumsum(data[end] == 10) - (data[end] == 10)
+    return own, _mix((total[end - 1] - np.where(start > 0, total[start - 1], np.uint64(0))) * inverse[start])
+
+
+#: Characters of lines that are sketched at a time (or one line).
+PORTION = 1 << 20
+
+
+def _portions(lines):
+    own, size = [], 0
+    for x in lines:
+        own.append(x)
+        size += len(x)
+        if size >= PORTION:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def sketched(similarity, few, gram, halved, blocks, rates, batches):
+    """(text) to the blocks of its lines: k1, bucket, info (4 * length, 2: to be spread, 1: another line of the block is known)."""
+    both = math.ceil(few / (2 * similarity - 1))
+    for b in batches:
+        shortest = next(n for n in range(1, 1000) if most_edits(n, similarity) > 0)
+        distinct = {line: None for text in b.column(0).to_pylist() for line in plain_lines(text) if len(line) >= shortest}
+        for lines in _portions(distinct):
+            k1 = np.array([keys(x)[0] for x in lines], np.int64)
+            size = np.array([len(x) for x in lines], np.int64)
+            own, f, n = _features(*_words(lines), 0)
+            wordy = n[own] >= few
+            found = [_voted(own[wordy], f[wordy], n, 0, blocks[0], rates[0])]
+            short = np.flatnonzero(n < both)
+            if len(short):
+                points = np.frombuffer("".join(lines[i] for i in short).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                owner, end = np.repeat(short, size[short]), np.repeat(np.cumsum(size[short]), size[short])
+                runs = np.zeros(max(len(points) - gram + 1, 0), np.uint64)
+                for k in range(gram):
+                    runs = runs * np.uint64(_BASE) + points[k : len(points) - gram + 1 + k]
+                inside = np.arange(len(runs)) + gram <= end[: len(runs)]
+                found.append(_voted(*_features(owner[: len(runs)][inside], runs[inside], 1), 1, blocks[1], rates[1]))
+            # A shorter partner of m characters has its halves elsewhere.
+            at, half = [], []
+            for i in np.flatnonzero(size < halved):
+                x = lines[i]
+                for m in range(math.ceil(len(x) * similarity - 1e-9), len(x) + 1):
+                    at += (i, i)
+                    half += (xxhash.xxh3_64_intdigest(f"<{m} {x[: m // 2]}"), xxhash.xxh3_64_intdigest(f">{m} {x[len(x) - (m - m // 2) :]}"))
+            found.append((np.array(at, np.int64), np.array(half, np.uint64)))
+            yield from _blocks(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).view(np.int64), k1, size)
+
+
+def _blocks(line, bucket, k1, size):
+    """The rows of a portion, each once; a block of many of its lines is to be spread, but for one row."""
+    if not len(line):
+        return
+    order = np.lexsort((line, bucket))
+    line, bucket = line[order], bucket[order]
+    once = np.r_[True, (line[1:] != line[:-1]) | (bucket[1:] != bucket[:-1])]
+    line, bucket = line[once], bucket[once]
+    start = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    count = np.diff(np.r_[start, len(bucket)])
+    first = start[count >= HOT]
+    info = np.r_[4 * size[line] + 3 * np.repeat(count >= HOT, count), 4 * size[line[first]] + 1]
+    line, bucket = np.r_[line, line[first]], np.r_[bucket, bucket[first]]
+    for i in range(0, len(line), STEP):
+        s = slice(i, i + STEP)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[line[s]]), pa.array(bucket[s]), pa.array(info[s])], names=["k1", "bucket", "info"])
+
+
+def shared(batches):
+    """The rows (k1, bucket, info) of a partition whose bucket holds two lines or more, each once: k1, bucket, len."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    k1, bucket, info = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    order = np.lexsort((k1, bucket))
+    k1, bucket, info = k1[order], bucket[order], info[order]
+    start = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (k1[1:] != k1[:-1])])
+    sure = np.bitwise_or.reduceat(info, start) & 1
+    k1, bucket, size = k1[start], bucket[start], info[start] >> 2
+    group = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    count = np.diff(np.r_[group, len(bucket)])
+    keep = np.repeat((count > 1) | (np.bitwise_or.reduceat(sure, group) > 0), count)
+    k1, bucket, size = k1[keep], bucket[keep], size[keep]
+    for i in range(0, len(k1), STEP):
+        s = slice(i, i + STEP)
+        yield pa.RecordBatch.from_arrays([pa.array(k1[s]), pa.array(bucket[s]), pa.array(size[s])], names=["k1", "bucket", "len"])
+
+
+def _same(x: str, i: int, y: str, j: int) -> int:
+    """Length of what x from i and y from j have in common."""
+    most, n, step = min(len(x) - i, len(y) - j), 0, 16
+    while n < most and x[i + n : i + n + step] == y[j + n : j + n + step]:
+        n += step
+        step *= 2
+    if n >= most:
+        return most
+    step = min(step, most - n)
+    while step > 1:
+        half = step // 2
+        if x[i + n : i + n + half] == y[j + n : j + n + half]:
+            n, step = n + half, step - half
+        else:
+            step = half
+    return n + (n < most and x[i + n] == y[j + n])
+
+
+def _few_edits(x: str, y: str, limit: int) -> bool:
+    """Whether the distance is at most ``limit``: how far each diagonal is reached with 0, 1, 2, ... edits."""
+    goal, reach = len(y) - len(x), {0: _same(x, 0, y, 0)}
+    if goal == 0 and reach[0] == len(x):
+        return True
+    for e in range(1, limit + 1):
+        now = {}
+        for d in range(-e, e + 1):  # d: place in y less place in x
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            if i < 0 or i > len(x) or i + d < 0 or i + d > len(y):
+                i = min(i, len(x), len(y) - d)
+                if i < 0 or i + d < 0:
+                    continue
+            now[d] = i + _same(x, i, y, i + d)
+        if now.get(goal, -1) >= len(x):
+            return True
+        reach = now
+    return False
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance of two texts is at most ``most``; bit-parallel (Myers 1999) beyond a few edits."""
+    if abs(len(x) - len(y)) > most:
+        return False
+    p = _same(x, 0, y, 0)
+    x, y = x[p:][::-1], y[p:][::-1]
+    p = _same(x, 0, y, 0)
+    x, y = x[p:], y[p:]
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) <= most:
+        return True
+    if not x:
+        return False
+    few = min(most, math.isqrt(len(y) // 4))
+    if _few_edits(x, y, few):
+        return True
+    if few == most:
+        return False
+    at: dict = {}
+    for i, c in enumerate(x):
+        at.setdefault(c, []).append(i)
+    eqs = {c: sum(1 << i for i in own) if len(own) < 64 else int.from_bytes(np.packbits(np.isin(np.arange(len(x)), own), bitorder="little").tobytes(), "little") for c, own in at.items()}
+    full, high = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    bits = lambda v: np.unpackbits(np.frombuffer(v.to_bytes(len(x) // 8 + 1, "little"), np.uint8), count=len(x), bitorder="little").astype(np.int64)
+    to_end = len(x) - np.arange(len(x) + 1)
+
+    def least(up, down, left):
+        """What the distance is at least, less the characters of y so far: the best cell of the column, and what lengths need from there."""
+        return int((np.r_[0, np.cumsum(bits(up) - bits(down))] + np.abs(to_end - left)).min())
+
+    up, down, score, left = full, 0, len(x), len(y)
+    for c in y:
+        left -= 1
+        eq = eqs.get(c, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(h | up)), up & h
+        if more & high:
+            score += 1
+        elif less & high:
+            score -= 1
+        if score - left > most:
+            return False
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(v | more)) & full, more & v & full
+        if left and not left & 127 and len(y) - left + least(up, down, left) > most:
+            return False
+    return score <= most
+
+
+def most_edits(n: int, similarity: float) -> int:
+    return math.floor((1 - similarity) * n + 1e-9)
+
+
+def _grams(x: str, size: int, bits: int):
+    """Counts of the runs of ``size`` characters, in 2**bits buckets: an edit takes ``size`` away at most, and adds as many."""
+    p = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(p) - size + 1, 0)
+    runs = np.zeros(n, np.uint64)
+    for k in range(size):
+        runs = runs * np.uint64(_BASE) + p[k : n + k]
+    return np.bincount((_mix(runs) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+class _Bounds:
+    """Which lines may be within the allowed distance of another one, by counts of runs: coarse ones first, then finer ones."""
+
+    def __init__(self, tile):
+        self.tile, self.tables = tile, {}
+
+    def rest(self, a, others, limit):
+        for size, bits in ((3, 8), (2, 11), (3, 11)):
+            if len(others):
+                if (size, bits) not in self.tables:
+                    self.tables[size, bits] = np.array([_grams(t, size, bits) for t in self.tile])
+                table = self.tables[size, bits]
+                keep = np.abs(table[a] - table[others]).sum(1) <= 2 * size * limit
+                others, limit = others[keep], limit[keep]
+        return others
+
+
+def linked(similarity, batches):
+    """Pairs of lines (ak1, ak2, x, bk1, bk2, y) that are similar enough: ak1, ak2, bk1, bk2.  Lines come as they stand in texts."""
+    for b in batches:
+        x, y = ([" ".join(plain_lines(t)) for t in b.column(k).to_pylist()] for k in (2, 5))
+        keep = [within(p, q, most_edits(max(len(p), len(q)), similarity)) for p, q in zip(x, y)]
+        out = b.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([out.column(k) for k in (0, 1, 3, 4)], names=["ak1", "ak2", "bk1", "bk2"])
+
+
+def _tile(bucket, tile, lines, blocks, similarity):
+    """Links between the lines (k1, k2, root, t) of one tile, or of two: compared once each, and not if they have one root by then."""
+    n = len(lines)
+    root = [r[2] for r in lines]
+    size = np.array([len(t) for t in tile])
+    bounds = _Bounds(tile)
+    two = len({r[3] for r in lines}) > 1
+    order = np.argsort(size, kind="stable")
+    sorted_size = size[order]
+    for place, a in enumerate(order):
+        longest = bisect_left(sorted_size, size[a] / similarity + 1)
+        others = order[place + 1 : max(longest, place + 1)]
+        # What is in one group already, or is compared elsewhere, needs no bound.
+        others = np.array([k for k in others if root[a] != root[k] and lines[a][0] != lines[k][0] and not (two and lines[a][3] == lines[k][3]) and min(blocks[a] & blocks[k]) == bucket], np.int64)
+        others = bounds.rest(a, others, np.floor((1 - similarity) * size[others] + 1e-9))
+        for k in others:
+            if root[a] != root[k] and within(tile[a], tile[k], most_edits(int(size[k]), similarity)):
+                yield lines[a][:2] + lines[k][:2]
+                old, new = root[k], root[a]
+                root = [new if r == old else r for r in root]
+
+
+def across(similarity, batches):
+    """(bucket, all: k1, k2, root, t, blocks, line of each line there) to links between lines of different roots."""
+    for b in batches:
+        buckets, rows = b.column(0).to_pylist(), b.column(1)
+        ends, flat = rows.offsets.to_numpy(), rows.values  # offsets of the values as they lie
+        cells = list(zip(*(flat.field(k).to_pylist() for k in ("k1", "k2", "root", "t"))))
+        blocks = [set(x) for x in flat.field("blocks").to_pylist()]
+        texts = [" ".join(plain_lines(t)) for t in flat.field("line").to_pylist()]
+        out = [link for n, bucket in enumerate(buckets) for s in [slice(ends[n], ends[n + 1])] for link in _tile(bucket, texts[s], cells[s], blocks[s], similarity)]
+        cols = list(zip(*out)) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["ak1", "ak2", "bk1", "bk2"])
