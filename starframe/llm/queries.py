@@ -83,7 +83,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_language_id, op9_best_fit_packing, op10_license_scan)}
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.jaccard_join import jaccard_links
+
+    return jaccard_links(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of documents chosen by the checksum of their ids, the text repeats itself from some word on."""
+    from starframe.llm import _native as N
+
+    check = F.crc32(F.col("doc_id").cast("string"))
+    rows = N.fixed(docs.select("doc_id", "text"), g=F.floor(check / 10), words=F.when(check % 10 == 0, N.words("text")))
+    n = F.size("words")
+    rows = N.fixed(rows, a=F.when(n > 0, (F.col("g") % n).cast("int")))
+    rows = N.fixed(rows, p=(1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    word = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(word, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starframe.llm.periodic_runs import find_runs
+
+    out = find_runs(with_planted_runs(_read(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("m.before")).alias("start"), "m.length", (-F.col("m.less")).alias("period"), F.expr("1000 * m.length DIV -m.less").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+_DEALT = (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_language_id, op9_best_fit_packing, op10_license_scan, op11_ngram_jaccard_join, op12_periodic_runs)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _DEALT}
 _WORDS = r"x AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)"
 
 
@@ -106,7 +137,37 @@ m AS (SELECT x.doc_id, n::BIGINT AS n_words, length(regexp_replace(coalesce(text
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND kept_share >= 0.5 AS kept, n_removed_lines, kept_share FROM m"""
 
 
+def _crc32(text: str) -> str:
+    """The CRC-32 of a short ASCII text, bit by bit."""
+    step = "lambda c, k: xor(c >> 1, (c & 1) * 3988292384)"
+    return f"xor(list_reduce(string_split({text}, ''), lambda s, x: list_reduce(range(8), {step}, xor(s, ascii(x)::BIGINT)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_RUNS = rf"""{_WORDS.replace("x AS (", "y AS (")}, c AS (SELECT doc_id, ws, n, {_crc32("doc_id::VARCHAR")} AS h FROM y), d AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM c), e AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM d),
+x AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE ws END AS ws FROM e),
+w AS (SELECT doc_id, i - 1 AS i, hash(ws[i:i+5]) AS s FROM x, unnest(range(1, n - 4)) AS t(i) WHERE n >= 12),
+m AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM w AS u JOIN w AS v ON u.doc_id = v.doc_id AND u.s = v.s AND v.i > u.i),
+b AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS o FROM m),
+f AS (SELECT doc_id, q, min(i) AS start, max(i) + 6 + q - min(i) AS length FROM b GROUP BY doc_id, q, o),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM f WHERE length >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+z AS (SELECT doc_id, count(*) AS n_runs, max((length, -start, -period)) AS m, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM r GROUP BY 1),
+o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM x),
+l AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) FILTER (o.i IS NULL) AS kept FROM k LEFT JOIN o ON k.doc_id = o.doc_id AND k.i = o.i GROUP BY 1)
+SELECT x.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-m[2])::BIGINT AS start, m[1]::BIGINT AS length, (-m[3])::BIGINT AS period, (1000 * m[1] // -m[3])::BIGINT AS exponent_milli,
+ sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM x LEFT JOIN z USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+_JACCARD = rf"""WITH RECURSIVE {_WORDS.replace("(text, '')", "(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')")},
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i+3], ' ') AS g FROM x, unnest(range(1, greatest(n - 2, 2))) AS t(i) WHERE n > 0), z AS (SELECT doc_id, count(*) AS size FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z AS y ON y.doc_id = a JOIN z AS w ON w.doc_id = b WHERE 100 * c >= 85 * (y.size + w.size - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM x UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT x.doc_id, coalesce(any_value(size), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM x JOIN r ON r.a = x.doc_id LEFT JOIN z ON z.doc_id = x.doc_id GROUP BY x.doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_ngram_jaccard_join": _JACCARD,
+    "op12_periodic_runs": f"WITH {_RUNS}",
     "op4_substring_dedup": rf"""WITH {_WORDS}, w AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS s FROM x, unnest(range(1, n - 11)) AS t(i) WHERE n >= 13),
 f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1), h AS (SELECT w.doc_id, i FROM w JOIN f USING (s) WHERE m < w.doc_id), g AS (SELECT DISTINCT doc_id, i + k AS p FROM h, unnest(range(0, 13)) AS t(k)),
 d AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM x),
