@@ -113,7 +113,21 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", (-F.col("m.before")).alias("start"), "m.length", (-F.col("m.less")).alias("period"), F.expr("1000 * m.length DIV -m.less").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-_DEALT = (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_language_id, op9_best_fit_packing, op10_license_scan, op11_ngram_jaccard_join, op12_periodic_runs)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins with the first turns of the one whose number is the next multiple of five below."""
+    from starframe.llm import prefix_trie as T
+    from starframe.llm._shared import cut
+
+    rows = cut(T.ordered(T.digests(_read(spark, sf_dir, "conversations"))))
+    ids = rows.groupBy("conv_id").agg(F.count("*").alias("n")).withColumns({"base": F.expr("conv_id - conv_id % 5"), "h": F.crc32(F.col("conv_id").cast("string")) % 9})
+    ids = cut(ids.join(ids.select(F.col("conv_id").alias("base"), F.col("n").alias("held")), "base", "left").withColumn("m", F.least("h", F.coalesce("held", F.lit(0)))).select("conv_id", "base", "h", "m"))
+    heads = rows.where("pos < 8 AND conv_id % 5 = 0").withColumnRenamed("conv_id", "base").join(ids.select("base", "conv_id", "m"), "base").where("pos < m")
+    own = rows.join(ids.select("conv_id", "h", "m"), "conv_id").where("pos >= h").withColumn("pos", F.col("pos") - F.col("h") + F.col("m"))
+    columns = ["conv_id", "pos", "t1", "t2", "bytes"]
+    return T.trie(heads.select(*columns).unionByName(own.select(*columns)), ids)
+
+
+_DEALT = (op1_suffix_dedup, op2_decontamination, op3_minhash_dedup, op4_substring_dedup, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_language_id, op9_best_fit_packing, op10_license_scan, op11_ngram_jaccard_join, op12_periodic_runs, op13_prefix_trie)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _DEALT}
 _WORDS = r"x AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents)"
 
@@ -164,8 +178,20 @@ l AS (SELECT a, b FROM p JOIN z AS y ON y.doc_id = a JOIN z AS w ON w.doc_id = b
 r(a, b) AS (SELECT doc_id, doc_id FROM x UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT x.doc_id, coalesce(any_value(size), 0)::BIGINT AS n_shingles, min(r.b) AS component_id FROM x JOIN r ON r.a = x.doc_id LEFT JOIN z ON z.doc_id = x.doc_id GROUP BY x.doc_id"""
 
+_TRIE = f"""WITH o AS (SELECT conv_id, coalesce(turn, -1) AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT conv_id, list(t ORDER BY pos) AS l, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM o GROUP BY 1),
+r AS (SELECT c.conv_id, list_concat(coalesce(x.l[1:c.h], []), c.l[c.h+1:]) AS l FROM b AS c LEFT JOIN b AS x ON x.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, d, len(l) = d AS last, sha256(to_json(l[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(to_json(l[1:d-1])::VARCHAR) END AS pk, CASE WHEN d > 0 THEN strlen(l[d].text) ELSE 0 END AS size FROM r, unnest(range(0, len(l) + 1)) AS u(d)),
+n AS (SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '') AS ends FROM p GROUP BY 1, 2),
+c AS (SELECT pk, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON c.pk = n.k),
+s AS (SELECT p.k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM w JOIN p ON p.conv_id = w.conv_id AND p.d <= w.d GROUP BY 1)
+SELECT w.conv_id, w.d::BIGINT AS depth, y.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN s ON s.k = w.k LEFT JOIN n AS y ON y.k = w.pk"""
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_prefix_trie": _TRIE,
     "op11_ngram_jaccard_join": _JACCARD,
     "op12_periodic_runs": f"WITH {_RUNS}",
     "op4_substring_dedup": rf"""WITH {_WORDS}, w AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS s FROM x, unnest(range(1, n - 11)) AS t(i) WHERE n >= 13),
