@@ -3,8 +3,11 @@
 All shingles are put into one order, rare ones first.  If two sets are similar enough, so that c = ceil(t * size) shingles are common
 at least, then the first size - c + l shingles of either hold l common ones or more, for every l.  Each set chooses its own l: a longer
 prefix costs more postings, but then l matches are asked for before two texts are compared.  A pair must have as many matches as the
-smaller of its two l.  The order needs no exact counts for right results, so frequencies come from a count sketch of fixed size, which
-the first pass over the texts fills.
+smaller of its two l.
+
+The order is: shingles that are not known to be frequent by hash, then those known, by the order of their frequency.  Frequencies are
+counted in a first pass, over somewhat more of each set than a prefix by hash alone has; what is known of them goes to two tables of
+SLOTS bits.  Any order gives right results, so it matters to cost only that a slot may be shared, and that the rest is not counted.
 
 Equal sets are one node.  Postings of a shingle with up to CROWD nodes make pairs, whose matches are counted; the nodes of a larger
 crowd are all linked with one of them instead, so a crowd costs a row for each node.  Chains of what is left make clusters, in which
@@ -27,14 +30,12 @@ from starframe.llm._components import components
 from starframe.llm._shared import cut
 from starframe.llm.near_dedup import _link, shingles
 
-#: Counters of the sketch (two rows of so many), and those sent as one value.
-COUNTERS, SLICE = 1 << 18, 1 << 14
-#: Occurrences beyond what the sketch's noise explains from which on a shingle goes to the end of the order.
-HEAVY = 64
+#: Bits of each table of frequent shingles (2 * SLOTS / 8 bytes are sent to tasks); share of a set that is counted, by hash.
+SLOTS, COUNTED = 1 << 22, 0.22
 #: Most matches asked for; cost of a comparison and of a chance occurrence elsewhere, in postings.
 MOST, COMPARE, CHANCE = 4, 50.0, 0.02
-#: Nodes that share a shingle of their prefixes up to which pairs are counted.
-CROWD = 12
+#: Nodes that share a shingle of their prefixes up to which pairs are counted; beyond, and from MANY times that on, it is frequent.
+CROWD, MANY = 12, 8
 #: Nodes in a bundle, and bytes of their texts; below this many bytes a table of which rows were counted is broadcast.
 BUNDLE, BUNDLE_BYTES, BROADCAST_BYTES = 400, 8 << 20, 32 << 20
 #: Digests that a task remembers, so that repeated texts give postings once.
@@ -58,9 +59,8 @@ def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return e[new], o[new]
 
 
-def _slots(e: np.ndarray) -> list[np.ndarray]:
-    bits = _U(64 - COUNTERS.bit_length() + 1)
-    return [(e >> bits).astype(np.int64), (R.mix(e ^ _U(0x5DEECE66D)) >> bits).astype(np.int64)]
+def _slots(e: np.ndarray) -> np.ndarray:
+    return (R.mix(e) % _U(SLOTS)).astype(np.int64)
 
 
 def _parts(table: pa.RecordBatch, size: int):
@@ -80,51 +80,72 @@ def _short(nodes: list[bytes]) -> np.ndarray:
 
 def _digest(size: int):
     def digest(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, COUNTERS), np.int64)
         for table in tables:
             sizes, nodes = [], []
-            for _, e, _, n, own in _parts(table, size):
-                for row, slot in zip(counts, _slots(e), strict=True):
-                    row += np.bincount(slot, minlength=COUNTERS)
+            for _, _, _, n, own in _parts(table, size):
                 sizes += n.tolist()
                 nodes += own
-            none = len(sizes)
-            yield pa.RecordBatch.from_arrays([table.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(_short(nodes)), pa.array(sizes, pa.int64()), table.column("h"), table.column("bytes"), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())], names=["doc_id", "node", "id", "n", "h", "bytes", "slice", "counts"])
-        if counts.any():
-            slices = counts.reshape(-1, SLICE)
-            k = len(slices)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), *[pa.nulls(k, pa.int64())] * 4, pa.array(range(k), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())], names=["doc_id", "node", "id", "n", "h", "bytes", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([table.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(_short(nodes)), pa.array(sizes, pa.int64()), table.column("h"), table.column("bytes")], names=["doc_id", "node", "id", "n", "h", "bytes"])
 
     return digest
 
 
-def _summed(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLICE, np.int64)
-    for table in tables:
-        for x in table.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+class _Fresh:
+    """Which sets a task has not met before; it remembers SEEN of them."""
+
+    def __init__(self):
+        self.seen: set[bytes] = set()
+
+    def of(self, nodes: list[bytes]) -> np.ndarray:
+        out = []
+        for node in nodes:
+            out.append(node not in self.seen)
+            if len(self.seen) < SEEN:
+                self.seen.add(node)
+        return np.array(out, bool)
+
+
+def _first_tokens(size: int, percent: int):
+    """The shingles of least hash of each set: as many as a prefix has by hash alone, and half as many again."""
+
+    def first_tokens(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
+        for table in tables:
+            for _, e, o, n, nodes in _parts(table, size):
+                first = np.cumsum(n) - n
+                most = np.maximum(n - -(-percent * n // 100) + MOST, np.ceil(COUNTED * n)).astype(np.int64)
+                inside = (np.arange(len(e)) - np.repeat(first, n) < np.repeat(most, n)) & fresh.of(nodes)[o]
+                yield pa.RecordBatch.from_arrays([pa.array(e[inside].view(np.int64)), pa.array(_slots(e[inside]))], names=["token", "slot"])
+
+    return first_tokens
+
+
+def _frequent(tokens: DataFrame) -> np.ndarray:
+    """For each slot 0, or 1 (2) if a shingle of more than CROWD (MANY * CROWD) sets is there."""
+    often = tokens.groupBy("token").agg(F.count("*").alias("n"), F.first("slot").alias("slot")).where(F.col("n") > CROWD)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    # SLOTS / 64 rows at most.
+    words = often.groupBy(F.expr("slot DIV 64").alias("word")).agg(F.bit_or(bit).alias("one"), F.bit_or(F.when(F.col("n") > MANY * CROWD, bit)).alias("two")).collect()
+    out = np.zeros((SLOTS // 64, 64), np.uint8)
+    for r in words:
+        for k in (r["one"], r["two"] or 0):
+            out[r["word"]] += np.unpackbits(np.array([k], np.int64).view(np.uint8), bitorder="little")
+    return np.packbits(np.stack([out.ravel() >= 1, out.ravel() >= 2]), axis=1)
 
 
-def _classes(sketch: DataFrame) -> np.ndarray:
-    """For each counter 0, or the binary order of magnitude of what it holds beyond noise, in steps of HEAVY.  2 * COUNTERS bytes."""
-    counts = np.zeros((2 * COUNTERS // SLICE, SLICE))
-    for row in sketch.collect():
-        counts[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    counts = counts.reshape(2, COUNTERS)
-    noise = np.median(counts, axis=1, keepdims=True)
-    beyond = np.maximum(0, counts - noise - 5 * np.sqrt(noise))
-    return np.where(beyond >= HEAVY, np.floor(np.log2(np.maximum(beyond, 1) / HEAVY)) + 1, 0).astype(np.uint8)
+def _rank(e: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    slot = _slots(e)
+    return sum((row[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 for row in frequent)
 
 
-def prefixes(e: np.ndarray, o: np.ndarray, n: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefixes(e: np.ndarray, o: np.ndarray, n: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Which shingles are in the prefix of their set (places in e), and the number of matches that each set asks for."""
-    rank = np.minimum(*(row[slot] for row, slot in zip(classes, _slots(e), strict=True)))
+    rank = _rank(e, frequent)
     order = np.lexsort((e, rank, o))
     rank = rank[order]
     first = np.cumsum(n) - n
     base = n - -(-percent * n // 100)  # a set of n shingles has at least ceil(percent / 100 * n) in common with a partner
-    sums = np.concatenate([[0.0], np.cumsum(np.where(rank > 0, HEAVY * 2.0 ** np.maximum(rank.astype(float) - 1, 0), CHANCE))])
+    sums = np.concatenate([[0.0], np.cumsum(np.array([CHANCE, 3.0 * CROWD, 3.0 * MANY * CROWD])[rank])])
     cost = np.full((MOST, len(n)), np.inf)
     for k in range(1, MOST + 1):
         fits = base + k <= n
@@ -135,20 +156,13 @@ def prefixes(e: np.ndarray, o: np.ndarray, n: np.ndarray, classes: np.ndarray, p
     return order[inside], matches
 
 
-def _post(size: int, classes: np.ndarray, percent: int):
+def _post(size: int, frequent: np.ndarray, percent: int):
     def post(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        fresh = _Fresh()
         for table in tables:
             for _, e, o, n, nodes in _parts(table, size):
-                if not len(e):
-                    continue
-                fresh = []
-                for node in nodes:
-                    fresh.append(node not in seen)
-                    if len(seen) < SEEN:
-                        seen.add(node)
-                at, matches = prefixes(e, o, n, classes, percent)
-                at = at[np.array(fresh)[o[at]]]
+                at, matches = prefixes(e, o, n, frequent, percent)
+                at = at[fresh.of(nodes)[o[at]]]
                 ids = _short(nodes)
                 yield pa.RecordBatch.from_arrays([pa.array(e[at].view(np.int64)), pa.array(ids[o[at]]), pa.array(n[o[at]].astype(np.int32)), pa.array(matches[o[at]].astype(np.int8))], names=["token", "id", "n", "matches"])
 
@@ -182,10 +196,9 @@ def jaccard_links(docs: DataFrame, percent: int = 85, size: int = 4) -> DataFram
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumns({"h": F.xxhash64("text"), "bytes": F.octet_length("text").cast("long")})
-    told = cut(rows.mapInArrow(_digest(size), "doc_id long, node binary, id long, n long, h long, bytes long, slice int, counts binary"))
-    signed = told.where("slice is null").drop("slice", "counts")
-    classes = _classes(told.where("slice is not null").select("slice", "counts").groupBy("slice").applyInArrow(_summed, "slice int, counts binary"))
-    postings = rows.mapInArrow(_post(size, classes, percent), "token long, id long, n int, matches byte")
+    signed = cut(rows.mapInArrow(_digest(size), "doc_id long, node binary, id long, n long, h long, bytes long"))
+    frequent = _frequent(rows.select("text").mapInArrow(_first_tokens(size, percent), "token long, slot long"))
+    postings = rows.select("text").mapInArrow(_post(size, frequent, percent), "token long, id long, n int, matches byte")
     clusters = components(candidates(postings, percent))
     # One row of each set of a cluster, and where it is compared.
     nodes = signed.where("n > 0").groupBy("node", "id").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h", "bytes")).alias("one"))
