@@ -115,13 +115,13 @@ class Slots:
 class Table:
     """The distinct nodes of a shard, by slot: names, depth, bytes of the last text, parent slot (-1: none here)."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, segment: int):
         rows = rows.sort_by([("conv_id", "ascending"), ("depth", "ascending")])
         col = lambda c: rows[c].to_numpy()
         self.conv, self.depth = col("conv_id"), col("depth")
         n = len(self.conv)
         # Names: a running exclusive or within each segment, from the total before it on.
-        first = np.append(True, (self.conv[1:] != self.conv[:-1]) | (self.depth[1:] // SEGMENT != self.depth[:-1] // SEGMENT)) if n else np.zeros(0, bool)
+        first = np.append(True, (self.conv[1:] != self.conv[:-1]) | (self.depth[1:] // segment != self.depth[:-1] // segment)) if n else np.zeros(0, bool)
         start = np.maximum.accumulate(np.where(first, np.arange(n), 0)) if n else np.zeros(0, np.int64)
         names, parents = [], []
         for lane in ("1", "2"):
@@ -169,24 +169,30 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    t = Table(rows)
-    n = np.bincount(t.slot, minlength=len(t.a))
-    least = np.full(len(t.a), np.iinfo(np.int64).max)
-    np.minimum.at(least, t.slot, t.conv)
-    columns = [_signed(t.a), _signed(t.b), _signed(t.pa), _signed(t.pb), pa.array(t.level), pa.array(t.bytes), pa.array(n.astype(np.int64)), pa.array(least)]
-    return pa.table(columns, names=["a", "b", "pa", "pb", "depth", "bytes", "n", "least"])
+def _counted(segment: int):
+    def count(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        t = Table(rows, segment)
+        n = np.bincount(t.slot, minlength=len(t.a))
+        least = np.full(len(t.a), np.iinfo(np.int64).max)
+        np.minimum.at(least, t.slot, t.conv)
+        columns = [_signed(t.a), _signed(t.b), _signed(t.pa), _signed(t.pb), pa.array(t.level), pa.array(t.bytes), pa.array(n.astype(np.int64)), pa.array(least)]
+        return pa.table(columns, names=["a", "b", "pa", "pb", "depth", "bytes", "n", "least"])
 
+    return count
 
-def _sum(key: tuple[pa.Scalar, ...], rows: pa.Table, weights: pa.Table) -> pa.Table:
-    t = Table(rows)
-    slot = t.look_up(weights["a"].to_numpy().view(_U), weights["b"].to_numpy().view(_U))
-    out = []
-    for c in ("leaves", "saved"):
-        values = np.zeros(len(t.a), np.int64)
-        np.add.at(values, slot, weights[c].to_numpy())
-        out.append(pa.array(t.upward(values)))
-    return pa.table([_signed(t.a), _signed(t.b), *out], names=["a", "b", "leaves", "saved"])
+
+def _summed(segment: int):
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table, weights: pa.Table) -> pa.Table:
+        t = Table(rows, segment)
+        slot = t.look_up(weights["a"].to_numpy().view(_U), weights["b"].to_numpy().view(_U))
+        out = []
+        for c in ("leaves", "saved"):
+            values = np.zeros(len(t.a), np.int64)
+            np.add.at(values, slot, weights[c].to_numpy())
+            out.append(pa.array(t.upward(values)))
+        return pa.table([_signed(t.a), _signed(t.b), *out], names=["a", "b", "leaves", "saved"])
+
+    return add
 
 
 def _joined_hashes(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +244,7 @@ def trie(rows: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     before = totals.where("last > 0").select("conv_id", "segment", F.col("e1").bitwiseXOR(F.col("b1")).alias("b1"), F.col("e2").bitwiseXOR(F.col("b2")).alias("b2"))
     dealt = turns.join(before, ["conv_id", "segment"], "left").withColumns({"b1": F.coalesce("b1", none), "b2": F.coalesce("b2", none), "shard": shard("conv_id", "segment")}).drop("segment")
     dealt = cut(dealt)
-    counted = dealt.groupBy("shard").applyInArrow(_count, "a long, b long, pa long, pb long, depth long, bytes long, n long, least long")
+    counted = dealt.groupBy("shard").applyInArrow(_counted(SEGMENT), "a long, b long, pa long, pb long, depth long, bytes long, n long, least long")
     nodes = cut(counted.groupBy("a", "b").agg(*(F.first(c).alias(c) for c in ("pa", "pb", "depth", "bytes")), F.sum("n").alias("n_convs"), F.min("least").alias("conv_id")))
     children = nodes.where("depth > 0").groupBy(F.col("pa").alias("a"), F.col("pb").alias("b")).agg(F.count("*").alias("n_children"))
     nodes = cut(nodes.join(children, ["a", "b"], "left").withColumn("n_children", F.coalesce("n_children", none)))
@@ -249,7 +255,7 @@ def trie(rows: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
     after = Window.partitionBy("conv_id").orderBy(F.col("segment").desc()).rowsBetween(Window.unboundedPreceding, -1)
     later = later.join(held, ["conv_id", "segment"], "left").select("a", "b", "conv_id", "segment", F.sum("leaves").over(after).alias("leaves"), F.sum("saved").over(after).alias("saved")).where("leaves is not null")
     weights = owned.unionByName(later).select(shard("conv_id", "segment").alias("shard"), "a", "b", "leaves", "saved")
-    summed = dealt.groupBy("shard").cogroup(weights.groupBy("shard")).applyInArrow(_sum, "a long, b long, leaves long, saved long")
+    summed = dealt.groupBy("shard").cogroup(weights.groupBy("shard")).applyInArrow(_summed(SEGMENT), "a long, b long, leaves long, saved long")
     sums = summed.groupBy("a", "b").agg(F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"))
     ends = _ends(totals.where("segment = last").select(F.col("e1").alias("a"), F.col("e2").alias("b"), "conv_id"))
     over = nodes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("conv_id").alias("parent_conv_id"))
