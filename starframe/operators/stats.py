@@ -9,9 +9,24 @@ from starframe.functions.scalar import is_finite
 from starframe.functions.shared import cut
 from starframe.operators import _groups as G
 
-BUCKETS = 4096
-#: Groups of so many values at most are sorted, each in a task; larger ones are counted.
+#: Groups of so many values at most are sorted, each in a task; larger ones are counted by digits.
 SORTED = 1 << 20
+#: Bits of a digit: a group has 65,536 counters in a pass.
+DIGIT = 16
+
+
+def order_key(v: Column) -> Column:
+    """A whole number (64 bits) for each finite double, in the same order; the two zeros are one.
+
+    Exponent and fraction are taken apart by exact arithmetic: powers of two and what they divide have no rounding.
+    """
+    a = F.abs(v)
+    two = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(a)).cast("int")
+    exponent = near + F.when(a >= 2 * two(near), 1).otherwise(0) - F.when(a < two(near), 1).otherwise(0)
+    normal = (exponent + 1023).cast("long") * (1 << 52) + ((a / two(exponent) - 1) * float(1 << 52)).cast("long")
+    bits = F.when(a == 0, 0).when(a < 2.0**-1022, (a * 2.0**537 * 2.0**537).cast("long")).otherwise(normal)
+    return F.when(v < 0, -bits).otherwise(bits).cast("long")
 
 
 def nearest_rank(p: float):
@@ -24,12 +39,12 @@ def middle(n: Column) -> Column:
     return F.floor(n / 2).cast("bigint")
 
 
-def order_stats(df: DataFrame, value: str, ranks: dict, by: list[str] = ()) -> DataFrame:
+def order_stats(df: DataFrame, value: str, ranks: dict, by: list[str] = (), sort_up_to: int | None = None) -> DataFrame:
     """Per group: n, vmin, vmax and the values at some ranks (name: function of n), over finite values.
 
-    Exact.  Where all groups are small (their sizes are counted first) values are ranked by a window.  Else no group is sorted: counts in equal buckets between the least and greatest value locate each rank, twice; then the
-    distinct values of the one bucket left are counted.  So a group of any size costs a few map-side aggregates, and no task
-    gets more rows than buckets or the distinct values of one small bucket.
+    Exact.  Where all groups have ``sort_up_to`` values (SORTED) at most, which is counted first, values are ranked by a window.  Else no group is sorted: values
+    become 64-bit numbers in the same order, and four passes find 16 bits each of the numbers at the ranks, by counting the digits that
+    follow what is known.  So whatever the distribution, a group of any size costs four map-side aggregates of 65,536 counters.
     """
     df, by = G.keys(df, list(by))
     base = df.where(is_finite(F.col(value))).select(*by, F.col(value).cast("double").alias("_v"))
@@ -37,31 +52,27 @@ def order_stats(df: DataFrame, value: str, ranks: dict, by: list[str] = ()) -> D
     whole = cut(base.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax")))
     names = list(ranks)
     ranked = {k: F.greatest(F.lit(0).cast("bigint"), F.least(r(F.col("n")), F.col("n") - 1)) for k, r in ranks.items()}
-    if (whole.agg(F.max("n")).first()[0] or 0) <= SORTED:
+    if (whole.agg(F.max("n")).first()[0] or 0) <= (SORTED if sort_up_to is None else sort_up_to):
         at = F.row_number().over(Window.partitionBy(*by).orderBy("_v")) - 1
         rows = base.withColumns({"_at": at, "n": F.count("*").over(Window.partitionBy(*by))})
         found = rows.groupBy(*by).agg(F.max("n").alias("n"), F.min("_v").alias("vmin"), F.max("_v").alias("vmax"), *(F.max(F.when(F.col("_at") == k, F.col("_v"))).alias(name) for name, k in ranked.items()))
         return cut(G.tidy(found))
     wanted = F.array(*(F.struct(F.lit(k).alias("_rank"), ranked[k].alias("_k")) for k in names))
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(BUCKETS - 1), F.floor((F.col("_v") / (F.col("_hi") - F.col("_lo")) - F.col("_lo") / (F.col("_hi") - F.col("_lo"))) * BUCKETS))).otherwise(0)
-    # First pass: every rank of a group looks at the same buckets.
-    first = G.attach(base, whole.select(*by, F.col("vmin").alias("_lo"), F.col("vmax").alias("_hi")), by)
-    counts = first.groupBy(*by, bucket.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    order = Window.partitionBy(*by).orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
-    target = whole.select(*by, F.inline(wanted))
-    step = cut(target.alias("t").join(counts.alias("c"), G.same("t", "c", by) & (F.col("t._k") >= F.col("c._from")) & (F.col("t._k") < F.col("c._to"))).select("t.*", "c._lo", "c._hi", "c._from").withColumn("_k", F.col("_k") - F.col("_from")).drop("_from"))
-    group = [*by, "_rank"]
-    inside = lambda t: base.alias("l").join(t.alias("r"), G.same("l", "r", by) & F.col("l._v").between(F.col("r._lo"), F.col("r._hi"))).select("l.*", "r._rank", "r._k", "r._lo", "r._hi")
-    order = Window.partitionBy(*group).orderBy("_lo").rowsBetween(Window.unboundedPreceding, 0)
-    counts = inside(step).groupBy(*group, bucket.alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_k").alias("_k"))
-    counts = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
-    step = cut(counts.where((F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to"))).select(*group, (F.col("_k") - F.col("_from")).alias("_k"), "_lo", "_hi"))
-    values = inside(step).groupBy(*group, "_v").agg(F.count("*").alias("_c"), F.first("_k").alias("_k"))
-    order = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    values = values.withColumn("_to", F.sum("_c").over(order))
-    found = values.where((F.col("_k") >= F.col("_to") - F.col("_c")) & (F.col("_k") < F.col("_to")))
-    wide = found.groupBy(*by).agg(*(F.max(F.when(F.col("_rank") == k, F.col("_v"))).alias(k) for k in names))
+    zero = F.lit(0).cast("long")
+    # _p: what is known of the number at a rank, its leading digits; _k: the rank among the numbers that begin so.
+    target = cut(whole.select(*by, F.inline(wanted)).withColumn("_p", zero))
+    keyed = base.withColumn("_key", order_key(F.col("_v")))
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        known = F.shiftright("_key", shift + DIGIT) if shift + DIGIT < 64 else zero
+        own = keyed.withColumns({"_p": known, "_q": F.shiftright("_key", shift)})
+        inside = G.attach(own, target.select(*by, "_p").distinct(), [*by, "_p"])
+        counts = inside.groupBy(*by, "_p", "_q").agg(F.count("*").alias("_c"), F.min("_v").alias("_value"))
+        order = Window.partitionBy(*by, "_p").orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_to", F.sum("_c").over(order)).withColumn("_from", F.col("_to") - F.col("_c"))
+        at = G.same("t", "c", [*by, "_p"]) & (F.col("t._k") >= F.col("c._from")) & (F.col("t._k") < F.col("c._to"))
+        found = target.alias("t").join(counts.alias("c"), at).select(*(F.col(f"t.{b}") for b in by), "t._rank", (F.col("t._k") - F.col("c._from")).alias("_k"), F.col("c._q").alias("_p"), "c._value")
+        target = cut(found)
+    wide = target.groupBy(*by).agg(*(F.max(F.when(F.col("_rank") == k, F.col("_value"))).alias(k) for k in names))
     return cut(G.tidy(G.attach(whole, wide, by)))
 
 

@@ -390,3 +390,129 @@ def fits_rows_between(spark, sf_dir):
 
     rows = files.table_rows(order_files(spark, sf_dir), "o_orderkey bigint")
     return tables.rows_between(rows, 100, 100).select("path", "_row", "o_orderkey")
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from starframe.functions.shared import folder
+
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _vector_rows(spark, sf_dir):
+    """Vectors as rows of images: one image for each label and 400 numbers."""
+    path = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / 400).cast("string"))
+    return read(spark, sf_dir, "embeddings").select(path.alias("name"), F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
+
+
+#: Images of vectors, in SQL: path, y, place in the row, value.
+VECTORS = "SELECT label || '-' || (vec_id // 400) AS path, row_number() OVER (PARTITION BY label, vec_id // 400 ORDER BY vec_id) - 1 AS y, embedding FROM embeddings"
+ROW_SUMS = f"SELECT path, y, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM ({VECTORS})"
+
+
+def _row_sums(rows):
+    name = F.regexp_replace("path", "^.*/|\\.fits$", "")
+    return rows.select(name.alias("path"), "y", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus, CASE WHEN o_custkey % 100 = 13 THEN NULL ELSE (o_custkey % 100) * 0.5::DOUBLE + 10 END AS cust FROM orders")
+def fits_scaled_nulls(spark, sf_dir):
+    """``orders`` written as files and read by the data source ``fits_table``, scaled."""
+    from starframe import sinks
+    from starframe.sources import fits_sources
+
+    at = _folder(spark, "tables")
+    sinks.write_files(order_files(spark, sf_dir), at).count()
+    return fits_sources.read_table(spark, at).select("o_orderkey", "o_totalprice", "o_orderstatus", "cust")
+
+
+@query(ROW_SUMS)
+def fits_image_rows(spark, sf_dir):
+    """Images written as files and read by the data source ``fits_image``."""
+    from starframe import sinks
+    from starframe.sources import fits_sources
+
+    at = _folder(spark, "images")
+    sinks.write_files(sinks.fits_images(_vector_rows(spark, sf_dir), "name"), at).count()
+    return _row_sums(fits_sources.read_image(spark, at))
+
+
+@query(f"{ROW_SUMS} WHERE y % 3 = 1")
+def planned_sampled_rows(spark, sf_dir):
+    """Every third row of images, planned from the stored list of their units: the sample is the feature."""
+    from starframe import sinks
+    from starframe.sources import files, planned
+
+    listed = sinks.write_files(sinks.fits_images(_vector_rows(spark, sf_dir), "name"), _folder(spark, "images"))
+    index = _folder(spark, "units")
+    files.scan_hdus(listed).write.parquet(index)
+    return _row_sums(planned.image_rows(spark.read.parquet(index), every=3, offset=1))
+
+
+@query("SELECT (o_orderkey // 4000)::VARCHAR AS path, o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS _row FROM orders")
+def planned_table_rows(spark, sf_dir):
+    """Rows of tables, planned from the stored list of their units."""
+    from starframe import sinks
+    from starframe.sources import files, planned
+
+    listed = sinks.write_files(order_files(spark, sf_dir), _folder(spark, "tables"))
+    index = _folder(spark, "units")
+    files.scan_hdus(listed).write.parquet(index)
+    rows = planned.table_rows(spark.read.parquet(index).where("hdu = 1"), "o_orderkey bigint", range_bytes=20_000)
+    return rows.where("error is null").select(F.regexp_replace("path", "^.*/|\\.fits$", "").alias("path"), "o_orderkey", "_row")
+
+
+@query(ROW_SUMS)
+def tile_gzip_roundtrip(spark, sf_dir):
+    """Images in gzipped tiles, decoded tile by tile and put together."""
+    from starframe import sinks
+    from starframe.sources import files, tiles
+
+    listed = sinks.write_files(sinks.tiled_images(_vector_rows(spark, sf_dir), "name"), _folder(spark, "tiles"))
+    return _row_sums(tiles.assemble(tiles.decode_tiles(files.scan_hdus(listed))))
+
+
+@query(f"""SELECT path, tile, min(y) AS y0, count(DISTINCT y) AS n_rows, round(sum(v), 6) AS total FROM (SELECT path, y, y // 16 * 2 + x // 32 AS tile, x, v FROM
+(SELECT path, y, generate_subscripts(embedding, 1) - 1 AS x, unnest(embedding)::DOUBLE AS v FROM ({VECTORS}))) WHERE tile >= 2 AND tile < 4 AND x >= 32 GROUP BY 1, 2""")
+def tile_grid_pruned(spark, sf_dir):
+    """The tiles of all images that meet rows 16 to 31 and columns 32 on, chosen by their place in the grid before any is read."""
+    from starframe import sinks
+    from starframe.sources import files, tiles
+
+    listed = sinks.write_files(sinks.tiled_images(_vector_rows(spark, sf_dir), "name"), _folder(spark, "tiles"))
+    lines = tiles.decode_tiles(files.scan_hdus(listed), y=(16, 32), x=(32, 64))
+    name = F.regexp_replace("path", "^.*/|\\.fits$", "")
+    return lines.groupBy(name.alias("path"), "tile").agg(F.min("y").alias("y0"), F.count("*").alias("n_rows"), F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)), 6).alias("total"))
+
+
+@query(ROW_SUMS)
+def xisf_roundtrip(spark, sf_dir):
+    """Images as XISF: shuffled, in three zlib subblocks, each decoded apart."""
+    from starframe import sinks
+    from starframe.sources import files, xisf
+
+    made = sinks.xisf_images(_vector_rows(spark, sf_dir), "name")
+    return _row_sums(xisf.pixels(xisf.images(files.from_content(made))))
+
+
+@query("""SELECT path, plane, (plane * 256 + 255) // 1000 - plane * 256 // 1000 + 1 AS n_frames, total FROM (SELECT label::VARCHAR AS path, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS plane,
+round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings)""")
+def asdf_lz4_planes(spark, sf_dir):
+    """Vectors as planes (8 by 8) of ASDF cubes, in LZ4 frames of 1000 bytes: which frames hold each plane, and its sum."""
+    from starframe import sinks
+    from starframe.sources import asdf, files, stored
+
+    rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
+    made = files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1000))
+    arrays = asdf.arrays(made)
+    held = stored.wanted(asdf.chunks(arrays), asdf.frames(made)).groupBy("path", "plane").agg(F.count("*").alias("n_frames"))
+    sums = asdf.pixels(made, arrays).groupBy("path", "plane").agg(F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)), 6).alias("total"))
+    return held.join(sums, ["path", "plane"])
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, list_sort(list(l_extendedprice * pow(10, l_linenumber * 40 - 160)))[1 + (count(*) // 2)] AS med FROM lineitem GROUP BY 1, 2""")
+def digit_median_spread(spark, sf_dir):
+    """Medians of values that spread over 280 orders of magnitude, found by digits whatever the size of a group."""
+    spread = read(spark, sf_dir, "lineitem").withColumn("v", F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber") * 40 - 160))
+    return stats.order_stats(spread, "v", {"med": stats.middle}, ["l_returnflag", "l_linestatus"], sort_up_to=0).select("l_returnflag", "l_linestatus", "n", "med")

@@ -108,3 +108,92 @@ def fits_images(rows: DataFrame, by: str, y: str = "y", values: str = "values")
         return pa.table([pa.array([str(table[by][0].as_py())]), pa.array([content], pa.binary())], names=["path", "content"])
 
     return rows.select(by, y, values).groupBy(by).applyInArrow(pack, "path string, content binary")
+
+
+def _packed(rows: DataFrame, by: str, y: str, values: str, make) -> DataFrame:
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by(y)
+        content = make(np.array(table[values].to_pylist(), np.float32))
+        return pa.table([pa.array([str(table[by][0].as_py())]), pa.array([content], pa.binary())], names=["path", "content"])
+
+    return rows.select(by, y, values).groupBy(by).applyInArrow(pack, "path string, content binary")
+
+
+def asdf_cubes(rows: DataFrame, by: str, shape: tuple[int, ...], frame: int = 4 << 20, y: str = "y", values: str = "values") -> DataFrame:
+    """ASDF files as rows (path, content): for each value of ``by`` an array ``data`` of one plane of ``shape`` for each row, LZ4 in frames."""
+
+    def make(cube: np.ndarray) -> bytes:
+        cube = cube.reshape(-1, *shape)
+        raw = cube.astype("<f4").tobytes()
+        blocks = []
+        for k in range(0, len(raw), frame):
+            part = raw[k : k + frame]
+            packed = pa.Codec("lz4_raw").compress(part, asbytes=True)
+            blocks.append((len(packed) + 4).to_bytes(4, "big") + len(part).to_bytes(4, "little") + packed)
+        data = b"".join(blocks)
+        sizes = b"".join(n.to_bytes(8, "big") for n in (len(data), len(data), len(raw)))
+        tree = f"#ASDF 1.0.0\n#ASDF_STANDARD 1.5.0\n%YAML 1.1\n%TAG ! tag:stsci.edu:asdf/\n--- !core/asdf-1.1.0\ndata: !core/ndarray-1.0.0\n  source: 0\n  datatype: float32\n  byteorder: little\n  shape: {list(cube.shape)}\n...\n"
+        return tree.encode() + b"\xd3BLK" + (48).to_bytes(2, "big") + bytes(4) + b"lz4\0" + sizes + bytes(16) + data
+
+    return _packed(rows, by, y, values, make)
+
+
+def xisf_images(rows: DataFrame, by: str, subblocks: int = 3, y: str = "y", values: str = "values") -> DataFrame:
+    """XISF files as rows (path, content): a grey Float32 image for each value of ``by``, zlib-compressed and shuffled, in subblocks."""
+    import zlib
+
+    def make(image: np.ndarray) -> bytes:
+        raw = np.frombuffer(image.astype("<f4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes()
+        parts = [raw[k * len(raw) // subblocks : (k + 1) * len(raw) // subblocks] for k in range(subblocks)]
+        packed = [zlib.compress(p) for p in parts]
+        data, at = b"".join(packed), 4096
+        listed = ":".join(f"{len(a)},{len(b)}" for a, b in zip(packed, parts, strict=True))
+        xml = f'<?xml version="1.0" encoding="UTF-8"?><xisf version="1.0" xmlns="http://www.pixinsight.com/xisf"><Image id="main" geometry="{image.shape[1]}:{image.shape[0]}:1" sampleFormat="Float32" colorSpace="Gray" location="attachment:{at}:{len(data)}" compression="zlib+sh:{len(raw)}:4" subblocks="{listed}"/></xisf>'.encode()
+        return (b"XISF0100" + len(xml).to_bytes(4, "little") + bytes(4) + xml).ljust(at, b"\0") + data
+
+    return _packed(rows, by, y, values, make)
+
+
+def tiled_images(rows: DataFrame, by: str, tile: tuple[int, int] = (32, 16), y: str = "y", values: str = "values") -> DataFrame:
+    """FITS files as rows (path, content): a 32-bit float image for each value of ``by``, in gzipped tiles (width, height)."""
+    import zlib
+
+    from starframe.sources import fits
+
+    def make(image: np.ndarray) -> bytes:
+        heap, places = [], []
+        for top in range(0, image.shape[0], tile[1]):
+            for left in range(0, image.shape[1], tile[0]):
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                blob = packer.compress(image[top : top + tile[1], left : left + tile[0]].astype(">f4").tobytes()) + packer.flush()
+                places.append((len(blob), sum(map(len, heap))))
+                heap.append(blob)
+        keys = {"ZIMAGE": True, "ZCMPTYPE": "GZIP_1", "ZBITPIX": -32, "ZNAXIS": 2, "ZNAXIS1": image.shape[1], "ZNAXIS2": image.shape[0], "ZTILE1": tile[0], "ZTILE2": tile[1]}
+        return fits.table_bytes([("COMPRESSED_DATA", "1PB", np.array(places, np.int32))], [fits.card(k, v) for k, v in keys.items()], "COMPRESSED", b"".join(heap))
+
+    return _packed(rows, by, y, values, make)
+
+
+def write_files(files: DataFrame, folder: str, suffix: str = ".fits") -> DataFrame:
+    """Writes each row (path, content) to a file of a folder that driver and executors share; returns their paths (path, format).
+
+    A file is written under another name and then renamed, so a task that runs twice leaves one whole file.
+    """
+    import os
+    import uuid
+
+    folder = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(tables):
+        os.makedirs(folder, exist_ok=True)
+        for table in tables:
+            paths = []
+            for name, content in zip(table.column("path").to_pylist(), table.column("content"), strict=True):
+                paths.append(f"{folder}/{name}{suffix}")
+                part = f"{paths[-1]}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content.as_py())
+                os.replace(part, paths[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], names=["path"])
+
+    return files.select("path", "content").mapInArrow(write, "path string").withColumn("format", F.lit("fits"))

@@ -12,6 +12,8 @@ from starframe.sources import fits
 #: Suffixes in use.
 SUFFIXES = "fits fit fts fz xisf asdf pha pi arf rmf rsp rsp2 evt lc hk mkf dph img".split()
 HDUS = "path string, hdu int, format string, xtension string, extname string, bitpix int, naxes array<bigint>, rowlen bigint, n_rows bigint, pcount bigint, gcount bigint, bscale double, bzero double, blank bigint, groups boolean, zimage boolean, cmptype string, supported boolean, tfields bigint, heap bigint, hdr_off bigint, hdr_len bigint, data_off bigint, data_len bigint, next_off bigint, header string, truncated boolean, error string"
+#: Bytes of pixels in a batch.
+BATCH_BYTES = 8 << 20
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
 
 
@@ -108,7 +110,7 @@ def table_rows(files: DataFrame, schema: str, hdu: int = 1) -> DataFrame:
 def image_rows(files: DataFrame, hdu: int = 0) -> DataFrame:
     """Rows of pixels of an image unit of files in memory: path, hdu, plane, y, values, truncated; what is cut off is NaN.
 
-    Units of which a file holds less than a thousandth have no rows.
+    Rows come in batches of some megabytes.  A unit of which a file holds less than a thousandth has one row, of null values.
     """
     from starframe.sources.fits_sources import PIXELS, _pixel_batch, pixels
 
@@ -116,23 +118,51 @@ def image_rows(files: DataFrame, hdu: int = 0) -> DataFrame:
         import numpy as np
 
         for table in tables:
-            for path, content in zip(table.column("path").to_pylist(), table.column("content").to_pylist(), strict=True):
-                source = fits.Bytes(content=content)
+            for path, content in zip(table.column("path").to_pylist(), table.column("content"), strict=True):
+                source = fits.Bytes(content=content.as_py())
                 u = next((u for u in fits.walk(source, hdu + 1) if u["hdu"] == hdu and not u["error"]), None)
                 if u is None or not u["naxes"] or min(u["naxes"]) < 1 or u["zimage"]:
                     continue
                 width, height = u["naxes"][0], u["naxes"][1] if len(u["naxes"]) > 1 else 1
-                total = int(np.prod(u["naxes"], dtype=np.int64))
-                size = abs(u["bitpix"]) // 8
-                if total * size > 1000 * max(source.size, fits.BLOCK):
-                    continue  # axes that the file can't have been written with
-                raw = source.read(u["data_off"], total * size)
-                got = np.full(total, np.nan)
-                have = pixels(np.frombuffer(raw[: len(raw) // size * size], fits.DTYPES[u["bitpix"]]), u["bscale"], u["bzero"], u["blank"])
-                got[: len(have)] = have
+                total, size = 1, abs(u["bitpix"]) // 8
+                for n in u["naxes"]:
+                    total *= n
+                if total * size > 1000 * max(source.size, fits.BLOCK):  # axes that the file can't have been written with
+                    yield _pixel_batch(path, hdu, 0, range(1), pa.nulls(1, pa.list_(pa.float64())), True)
+                    continue
+                step = max(1, BATCH_BYTES // (8 * width))
                 for plane in range(total // (width * height)):
-                    part = got[plane * width * height : (plane + 1) * width * height]
-                    values = pa.FixedSizeListArray.from_arrays(pa.array(part), width).cast(pa.list_(pa.float64()))
-                    yield _pixel_batch(path, hdu, plane, range(height), values, len(have) < total)
+                    for y in range(0, height, step):
+                        n = min(step, height - y)
+                        raw = source.read(u["data_off"] + (plane * height + y) * width * size, n * width * size)
+                        got = np.full(n * width, np.nan)
+                        have = pixels(np.frombuffer(raw[: len(raw) // size * size], fits.DTYPES[u["bitpix"]]), u["bscale"], u["bzero"], u["blank"])
+                        got[: len(have)] = have
+                        values = pa.FixedSizeListArray.from_arrays(pa.array(got), width).cast(pa.list_(pa.float64()))
+                        short = source.size < u["data_off"] + total * size
+                        yield _pixel_batch(path, hdu, plane, range(y, y + n), values, short)
 
     return files.select("path", "content").mapInArrow(rows, PIXELS)
+
+
+def unzipped(files: DataFrame, most: int = fits.MOST_GZIP) -> DataFrame:
+    """Files of a table with ``content``, gzipped ones replaced by what is in them, of which up to ``most`` bytes are inflated.
+
+    ``format`` is that of the file inside, ``gz`` stays true; ``error`` tells of one that is cut short, damaged or too long.
+    """
+
+    def inflate(tables):
+        for table in tables:
+            for k, content in enumerate(table.column("content")):
+                data, cut = fits.inflate(content.as_py() or b"", most)
+                error = "the gzip data is damaged, cut short or too long" if cut else None
+                yield pa.RecordBatch.from_arrays([table.column("path").slice(k, 1), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=["path", "content", "_cut"])
+
+    columns = files.columns
+    packed = files.where("format = 'gzip'")
+    opened = packed.select("path", "content").mapInArrow(inflate, "path string, content binary, _cut string")
+    made = opened.select("path", "_cut", F.col("content").alias("_content"), kind_of(F.col("content")).alias("_format"), F.octet_length("content").cast("bigint").alias("_length"))
+    made = made.withColumn("_error", F.coalesce(F.col("_cut"), F.when(F.col("_length") < 16, "too short").when(F.col("_format").isNull(), "unknown kind of file")))
+    new = {"format": F.col("_format"), "length": F.col("_length"), "content": F.col("_content"), "error": F.col("_error")}
+    joined = packed.drop(*[c for c in new if c in columns]).join(made, "path").withColumns(new)
+    return files.where("format is null or format <> 'gzip'").unionByName(joined.select(*columns))

@@ -11,7 +11,7 @@ BLOCK, CARD = 2880, 80
 MOST_HDUS, MOST_HEADER, MOST_GZIP = 100_000, 64 << 20, 1 << 30
 #: Axes that the format allows; a length of data beyond any file.
 MOST_AXES, MOST_DATA = 999, 1 << 61
-#: Elements of one variable-length cell.
+#: Elements of one variable-length cell; a longer one is null.
 MOST_CELL = 1 << 27
 DTYPES = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
@@ -213,8 +213,11 @@ def cells(raw: np.ndarray, c: dict, heap=None) -> list | np.ndarray:
         kind = NUMPY.get(c["element"] or "B", "u1")
         size = np.dtype(kind).itemsize
 
-        def some(n: int, at: int) -> list:
-            found = heap(max(at, 0), min(max(n, 0), MOST_CELL) * size)
+        def some(n: int, at: int) -> list | None:
+            """Null for a cell that says it has more elements than can be, or lies nowhere."""
+            if not 0 <= n <= MOST_CELL or at < 0:
+                return None
+            found = heap(at, n * size)
             return np.frombuffer(found[: len(found) // size * size], kind).astype(np.dtype(kind).newbyteorder("=")).tolist()
 
         return [some(int(n), int(at)) for n, at in d]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import base64
-import zlib
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starframe.operators.ranges import running
+from starframe.sources import stored as S
+
 _ATTRS = ["id", "geometry", "sampleFormat", "colorSpace", "pixelStorage", "byteOrder", "orientation", "location", "compression", "subblocks"]
 _SCHEMA = (
     "Image array<struct<" + ", ".join(f"_{a}: string" for a in _ATTRS) + ", Data: struct<content_: string, _encoding: string, _compression: string>, content_: string, "
@@ -86,60 +84,64 @@ def properties(files: DataFrame) -> DataFrame:
     return rows.select("path", "hdu", F.posexplode(F.concat(words, props, cfa, attrs)).alias("seq", "c")).select("path", "hdu", "seq", F.lit("v").alias("kind"), "c.key", "c.value", "c.comment")
 
 
-def decompress(codec: str, data: bytes, size: int) -> bytes:
-    if codec == "zlib":
-        return zlib.decompress(data)
-    return pa.Codec("zstd" if codec == "zstd" else "lz4_raw").decompress(data, size).to_pybytes()
-
-
-def _samples(r: dict) -> bytes:
-    from starframe.sources.tiles import unshuffle
-
-    if r["place"] == "attachment":
-        data = r["content"][r["data_off"] : r["data_off"] + r["data_len"]]
-        if len(data) < r["data_len"]:
-            raise ValueError("the image's data is cut short")
-    else:
-        text = "".join((r["text"] or "").split())
-        data = bytes.fromhex(text) if r["encoding"] == "hex" else base64.b64decode(text, validate=True)
-    if not r["codec"]:
-        return data
-    blocks = [tuple(map(int, b.split(","))) for b in r["subblocks"].split(":") if b] or [(len(data), r["raw_size"])]
-    out, at = [], 0
-    for stored, raw in blocks:
-        part = data[at : at + stored]
-        out.append(part if stored == raw else decompress(r["codec"], part, raw))
-        at += stored
-    data = b"".join(out)
-    return unshuffle(data, r["shuffle_size"] or r["item"]) if r["shuffled"] else data
-
-
-def _pixels(tables):
-    from starframe.sources.fits_sources import _pixel_batch
-
-    for table in tables:
-        for r in table.to_pylist():
-            try:
-                data = _samples(r)
-            except (ValueError, zlib.error, OSError, TypeError) as e:
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([r["hdu"]], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([None], pa.list_(pa.float64())), pa.array([True]), pa.array([str(e)])], names=[*_NAMES, "error"])
-                continue
-            width, height = r["naxes"][:2]
-            planes = r["naxes"][2] if len(r["naxes"]) > 2 else 1
-            kind = np.dtype(("f" if "float" in r["dtype"] else "u") + str(r["item"])).newbyteorder(">" if r["byte_order"] == "big" else "<")
-            got = np.full(width * height * planes, np.nan)
-            raw = np.frombuffer(data[: len(data) // r["item"] * r["item"]], kind)[: len(got)]
-            got[: len(raw)] = raw
-            cube = got.reshape(height, width, planes).transpose(2, 0, 1) if r["storage"] == "Normal" else got.reshape(planes, height, width)
-            for p in range(planes):
-                values = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(cube[p]).ravel()), width).cast(pa.list_(pa.float64()))
-                batch = _pixel_batch(r["path"], r["hdu"], p, range(height), values, len(raw) < len(got))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None] * height, pa.string())], names=[*batch.schema.names, "error"])
-
-
-_NAMES = ["path", "hdu", "plane", "y", "values", "truncated"]
-
-
-def pixels(image_list: DataFrame) -> DataFrame:
-    """Rows of pixels of supported images: path, hdu, plane, y, values, truncated, error.  Images are dealt to tasks one by one."""
-    return image_list.where("supported").repartition("path", "hdu").mapInArrow(_pixels, "path string, hdu int, plane bigint, y bigint, values array<double>, truncated boolean, error string")
+def frames(image_list: DataFrame) -> DataFrame:
+    """The frames that hold the samples of images: subblocks, whose places are running sums, the one compressed block, or pieces.
+
+    Samples within the header come as ``bytes``; others are attached (``bytes`` null, ``at`` in the file).
+    """
+    own = image_list.where("supported").withColumn("block", F.col("hdu"))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\\s", "")
+    own = own.withColumn("inner", F.when(F.col("place") != "attachment", F.coalesce(F.when(F.col("encoding") == "hex", F.try_to_binary(text, F.lit("hex"))).otherwise(F.try_to_binary(text, F.lit("base64"))), F.lit(b""))))
+    # Places and sizes of a damaged header may be any numbers; those that are used lie in the file, or fail frame by frame.
+    size = F.octet_length("content").cast("long")
+    bounded = lambda c, most: F.greatest(F.lit(0).cast("long"), F.least(F.coalesce(c, F.lit(0)).cast("long"), most))
+    at0 = bounded(F.col("data_off"), size)
+    own = own.withColumns({"at0": F.when(F.col("inner").isNull(), at0).otherwise(0), "length": F.when(F.col("inner").isNull(), bounded(F.col("data_len"), size - at0)).otherwise(F.octet_length("inner").cast("long"))})
+    columns = ["path", "block", "frame", "pos", "raw", "at", "stored", "comp", "inner"]
+    whole = S.even_frames(own.where("codec = ''"), F.col("at0"), F.col("length").cast("long")).select(*columns)
+    listed = F.filter(F.split("subblocks", ":"), lambda x: x != "")
+    two = F.transform(listed, lambda x: F.struct(F.get(F.split(x, ","), 0).try_cast("bigint").alias("stored"), F.get(F.split(x, ","), 1).try_cast("bigint").alias("raw")))
+    packed = own.where("codec <> ''").withColumn("parts", F.when(F.size(listed) > 0, two).otherwise(F.array(F.struct(F.col("length").cast("bigint").alias("stored"), F.col("raw_size").alias("raw")))))
+    packed = packed.select("*", F.posexplode("parts").alias("frame", "f")).select("*", bounded(F.col("f.stored"), F.lit(1 << 40)).alias("stored"), bounded(F.col("f.raw"), F.lit(1 << 40)).alias("raw"))
+    packed = running(running(packed, ["path", "block"], "frame", "raw", "pos"), ["path", "block"], "frame", "stored", "before")
+    # A subblock that did not get smaller is stored as it is.
+    packed = packed.withColumns({"at": F.col("at0") + F.col("before"), "comp": F.when(F.col("stored") == F.col("raw"), "").otherwise(F.col("codec"))}).select(*columns)
+    return whole.unionByName(packed)
+
+
+def chunks(image_list: DataFrame, plane: int | None = None) -> DataFrame:
+    """What bytes of their samples rows of supported images lie in; see ``stored``."""
+    axes = lambda k: F.coalesce(F.get("naxes", k), F.lit(1)).cast("long")
+    own = image_list.where("supported").withColumns({"width": axes(0), "height": axes(1), "n": axes(2)})
+    # Sizes that no file can have are refused before anything is counted out.
+    own = own.where((F.col("width") < 1 << 31) & (F.col("height") < 1 << 31) & (F.col("n") < 1 << 20) & (F.col("width").cast("double") * F.col("height") * F.col("n") < 1 << 40))
+    packed = F.col("storage") == "Normal"
+    item = F.col("item").cast("long")
+    units = own.select(
+        "path", F.col("hdu").alias("block"), "hdu", F.concat(F.when(F.col("byte_order") == "big", ">").otherwise("<"), F.when(F.col("dtype").contains("float"), "f").otherwise("u"), F.col("item").cast("string")).alias("kind"),
+        item.alias("item"), F.when(F.col("shuffled") & (F.coalesce("shuffle_size", "item") == F.col("item")) & (item > 1), F.col("item")).otherwise(1).alias("parts"), (F.col("width") * F.col("height") * F.col("n")).alias("count"),
+        F.lit(0).cast("long").alias("origin"), F.array("n").alias("lead"), F.array(F.when(packed, item).otherwise(F.col("width") * F.col("height") * item)).alias("lead_steps"), "height", "width",
+        (F.col("width") * item * F.when(packed, F.col("n")).otherwise(1)).alias("sy"), (item * F.when(packed, F.col("n")).otherwise(1)).alias("sx"), F.lit(plane).cast("long").alias("plane"),
+    )
+    return S.chunked(units)
+
+
+def pixels(image_list: DataFrame, plane: int | None = None) -> DataFrame:
+    """Rows of pixels of supported images, of all planes or one: path, hdu, plane, y, values, truncated, error.
+
+    Subblocks are decoded apart, each once, and only those that hold a byte of what is asked for; a byte shuffle is undone where rows
+    are put together from the pieces of several subblocks.  An image of which the file holds under a thousandth has one row with ``error``.
+    """
+    own = image_list.where("supported").withColumn("have", F.when(F.col("place") == "attachment", F.octet_length("content")).otherwise(F.octet_length("text")).cast("double"))
+    own = own.withColumn("need", F.aggregate("naxes", F.lit(1.0), lambda a, x: a * x) * F.col("item"))
+    empty = F.col("need") > 1000 * F.greatest(F.col("have"), F.lit(4096.0))
+    held = F.col("place") == "attachment"
+    good = own.where(~empty)
+    listed = frames(good)
+    stored = F.substring("content", (F.col("at") + 1).cast("int"), F.least("stored", F.lit(S.MOST_RAW)).cast("int"))
+    rows = good.select("path", F.col("hdu").alias("block"), F.when(held, F.col("content")).alias("content"))
+    listed = listed.join(rows, ["path", "block"]).withColumn("bytes", F.when(F.col("content").isNotNull(), stored).otherwise(F.substring("inner", (F.col("at") + 1).cast("int"), F.col("stored").cast("int")))).drop("content", "inner")
+    out = S.pixels(chunks(good, plane), listed)
+    zero = F.lit(0).cast("long")
+    lost = own.where(empty).select("path", "hdu", zero.alias("plane"), zero.alias("y"), F.lit(None).cast("array<double>").alias("values"), F.lit(True).alias("truncated"), F.lit("the file holds next to nothing of the image").alias("error"))
+    return out.unionByName(lost)
