@@ -286,6 +286,47 @@ def test_op7_finds_changed_lines_of_every_length(spark):
     assert all(n >= 27 for n in found.values()), found
 
 
+def test_op7_recall_of_edits_spread_over_a_line(spark):
+    """Letters substituted at random: all pairs are links by edit similarity, so nearly all must be found, whatever words are like."""
+    from starframe.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda a, b: "".join(rng.choice(list(letters), rng.integers(a, b)))
+    vocabulary = [word(2, 10) for _ in range(2000)]
+    kinds = {"8": lambda: " ".join(rng.choice(vocabulary, 8)), "25": lambda: " ".join(rng.choice(vocabulary, 25)), "40": lambda: " ".join(rng.choice(vocabulary, 40)), "80": lambda: " ".join(rng.choice(vocabulary, 80)), "long words": lambda: " ".join(word(14, 22) for _ in range(30)), "han": lambda: "".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 60))}
+    rows, cases = [], []
+    for kind, make in kinds.items():
+        for rate in (3, 6, 9):
+            for _ in range(40):
+                x = make()
+                y = list(x)
+                at = [k for k in range(len(x)) if x[k] != " "]
+                for k in rng.choice(at, rate * len(x) // 100, replace=False):
+                    y[k] = chr(0x4E00 + int(rng.integers(0, 3000))) if kind == "han" else letters[int(rng.integers(0, 26))]
+                rows.append((len(rows), f"{x}\n{''.join(y)}"))
+                cases.append((kind, rate))
+    found = Counter()
+    for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[cases[r.doc_id]] += r.n_removed_lines
+    assert all(found[c] >= 36 for c in set(cases) if c[1] < 9), found
+    assert sum(found[c] for c in set(cases) if c[1] == 9) >= 0.8 * 40 * len(kinds), found
+
+
+def test_op7_ends_on_very_long_lines(spark):
+    from starframe.llm.line_dedup import dedup_lines
+
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + c) for c in w) for w in rng.integers(0, 26, (150_000, 6))]  # digits would be all alike
+    other = list(words)
+    for k in rng.integers(0, len(words), 3000):
+        other[k] = "zz"
+    alike = ["ab" * 100_000, "ab" * 60_000 + "ba" * 40_000]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, alike[0]), (4, alike[1])]
+    got = {r.doc_id: r.n_removed_lines for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == 0 and got[2] == 1 and got[3] == 0
+
+
 @pytest.mark.parametrize("tile", [100, 7])
 def test_op7_crowds_change_no_group(spark, monkeypatch, tile):
     from starframe.llm import line_dedup as L
