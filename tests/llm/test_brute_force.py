@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from starframe.llm import queries as Q
 
@@ -419,6 +420,35 @@ def test_op9_slots_hold_every_capacity(score):
     assert sum(b[1] for b in bins.values()) == sum(v for k, v in counts.items() if k * k <= 6000)
 
 
+def test_pipeline(spark, sf, docs):
+    """The whole pipeline against plain versions of its stages, one after the other."""
+    import corpus_pipeline
+    from starframe.llm import language_id as L
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    fitted = L.fit(df.where(~L.held_out()))
+    accepted = {r.doc_id for r in L.identify(df, fitted).collect() if r.accepted}  # itself tested above
+    left, _ = without_repeated_lines([(r.doc_id, r.text) for r in docs if r.doc_id in accepted])
+    before = {r.doc_id: r.text for r in docs}
+    rows = [Row(doc_id=d, text=t) for d, t in left.items() if WORD.search(t or "") or t == before[d]]
+    by = classes(rows)
+    rows = [r for r in rows if not WORD.search(r.text or "") or by[r.doc_id] == r.doc_id]
+    words = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())
+    grams = lambda t: (lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)})(words(t))
+    items = [g for i in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (g := grams(i.text))]
+    own = {r.doc_id: grams(r.text) for r in rows}
+    kept = {r.doc_id: r.text for r in rows if not any(len(g & own[r.doc_id]) >= 0.8 * len(g) for g in items)}
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    want = {d: len(model.encode(t or "", add_special_tokens=False).ids) + 1 for d, t in kept.items()}
+    got = Counter()
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got[r.doc_id] += r.length
+    assert dict(got) == want
+
+
 def test_op10(spark, sf, docs):
     from starframe.llm.license_scan import NOTICES
 
