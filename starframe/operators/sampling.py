@@ -13,12 +13,12 @@ from starframe.operators import stats
 WINDOWS, WINDOW_BYTES, READ_ALL, MOST_POINTS = 16384, 16384, 1 << 30, 20_000_000
 
 
-def window_sample(data_off: int, row_bytes: int, rows: int, windows: int = WINDOWS, window_bytes: int = WINDOW_BYTES) -> list[tuple[int, int]]:
-    """Row ranges to read of a table: all of it, or, over 1 GiB, one window in each equal part, at a place fixed by the part's number.
+def window_sample(data_off: int, row_bytes: int, rows: int, windows: int = WINDOWS, window_bytes: int = WINDOW_BYTES, read_all: int = READ_ALL) -> list[tuple[int, int]]:
+    """Row ranges to read of a table: all of it, or, over 1 GiB (``read_all``), one window in each equal part, at a place fixed by the part's number.
 
     A window holds whole rows, or the one row that starts in it.  These become the scan's partitions.
     """
-    if rows * row_bytes <= READ_ALL or rows < windows:
+    if rows * row_bytes <= read_all or rows < windows:
         return [(0, rows)] if rows else []
     part = rows * row_bytes // windows
     with np.errstate(over="ignore"):

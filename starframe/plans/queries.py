@@ -516,3 +516,218 @@ def digit_median_spread(spark, sf_dir):
     """Medians of values that spread over 280 orders of magnitude, found by digits whatever the size of a group."""
     spread = read(spark, sf_dir, "lineitem").withColumn("v", F.col("l_extendedprice") * F.pow(F.lit(10.0), F.col("l_linenumber") * 40 - 160))
     return stats.order_stats(spread, "v", {"med": stats.middle}, ["l_returnflag", "l_linestatus"], sort_up_to=0).select("l_returnflag", "l_linestatus", "n", "med")
+
+
+def _listed_orders(spark, sf_dir):
+    """``orders`` written as files and listed by their first bytes."""
+    from starframe import sinks
+    from starframe.sources import files
+
+    at = _folder(spark, "tables")
+    sinks.write_files(order_files(spark, sf_dir), at).count()
+    return files.scan_files(spark, at)
+
+
+_NAME = "regexp_replace(path, '^.*/|\\\\.fits$', '')"
+
+
+@query("SELECT (o_orderkey // 4000)::VARCHAR AS path, 'fits' AS format, false AS gz, (5760 + (count(*) * 21 + 2879) // 2880 * 2880)::BIGINT AS length FROM orders GROUP BY o_orderkey // 4000")
+def scan_files_kinds(spark, sf_dir):
+    return _listed_orders(spark, sf_dir).where("error is null").select(F.expr(_NAME).alias("path"), "format", "gz", "length")
+
+
+@query("SELECT DISTINCT (o_orderkey // 4000)::VARCHAR AS path, 0 AS hdu, 0::BIGINT AS data_len, 2880::BIGINT AS next_off FROM orders")
+def scan_hdus_bounded(spark, sf_dir):
+    """The first unit of each file: the walks end there, which is the feature."""
+    from starframe.sources import files
+
+    return files.scan_hdus(_listed_orders(spark, sf_dir), most=1).select(F.expr(_NAME).alias("path"), "hdu", "data_len", "next_off")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price, o_orderstatus AS status, (o_custkey + 0.5)::DOUBLE * 10 AS cust FROM orders")
+def fits_ascii_roundtrip(spark, sf_dir):
+    """``orders`` as lines of an ASCII table, with an exponent written by D."""
+    parts = [F.lpad(F.col("o_orderkey").cast("string"), 12, " "), F.lpad(F.col("o_totalprice").cast("decimal(20,2)").cast("string"), 16, " "), F.rpad("o_orderstatus", 4, " "), F.lpad(F.concat(F.col("o_custkey").cast("string"), F.lit(".5D+1")), 20, " ")]
+    columns = [{"name": n, "type": t, "byte_offset": a, "width": w} for n, t, a, w in (("id", "I", 0, 12), ("price", "F", 12, 16), ("status", "A", 28, 4), ("cust", "D", 32, 20))]
+    return tables.ascii_fields(read(spark, sf_dir, "orders").select(F.concat(*parts).alias("line")), columns)
+
+
+@query("SELECT path, o_orderkey, _row FROM (SELECT (o_orderkey // 4000)::VARCHAR AS path, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS _row, o_orderkey FROM orders) WHERE _row < 25")
+def table_head(spark, sf_dir):
+    """The first 25 rows of every file's table, which is the feature."""
+    from starframe.sources import files
+
+    return tables.head(files.table_rows(order_files(spark, sf_dir), "o_orderkey bigint"), 25).select("path", "o_orderkey", "_row")
+
+
+def _unit_lists(spark, sf_dir):
+    """A file of three units for each supplier: an empty one, an image, a row of pixels or a table, and a second image or table."""
+    k = F.col("s_suppkey")
+    axes = lambda *n: F.array(*(F.lit(x).cast("bigint") for x in n))
+    kind, again = F.pmod(k, F.lit(4)), F.pmod(k, F.lit(3)) == 0
+    unit = lambda hdu, xtension, naxes, plot: F.struct(F.lit(hdu).alias("hdu"), xtension.alias("xtension"), naxes.alias("naxes"), plot.alias("kind"))
+    none = F.lit(None).cast("string")
+    first = unit(0, none, F.array().cast("array<bigint>"), none)
+    second = unit(1, F.when(kind < 2, "IMAGE").otherwise("BINTABLE"), F.when(kind == 0, axes(64, 64)).when(kind == 1, axes(500)).otherwise(axes(16, 100)), F.when(kind == 2, "sky"))
+    third = unit(2, F.when(again, "IMAGE").otherwise("BINTABLE"), F.when(again, axes(32, 32)).otherwise(axes(8, 10)), none)
+    rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), k.cast("string")).alias("path"), F.inline(F.array(first, second, third)))
+    return rows.withColumns({"format": F.lit("fits"), "bitpix": F.lit(-32), "bscale": F.lit(1.0), "bzero": F.lit(0.0), "supported": F.lit(True), "error": none, "zimage": F.lit(False), "groups": F.lit(False), "cmptype": none, "tfields": F.lit(4).cast("bigint"), "dtype": none, "sky": F.col("kind") == "sky", "preferred": F.lit(False)})
+
+
+@query("""SELECT 'f' || s_suppkey AS path, (CASE WHEN s_suppkey % 4 IN (0, 2) THEN 1 WHEN s_suppkey % 3 = 0 THEN 2 WHEN s_suppkey % 4 = 1 THEN 1 END)::INT AS hdu, s_suppkey % 4 = 2 AS is_table, s_suppkey % 4 = 2 AS is_sky,
+CASE WHEN s_suppkey % 4 = 3 AND s_suppkey % 3 <> 0 THEN 'tables only, and none has axes' END AS reason FROM supplier""")
+def default_view(spark, sf_dir):
+    from starframe.operators import catalog
+
+    return catalog.select_hdu(_unit_lists(spark, sf_dir))
+
+
+@query("""SELECT 'f' || s_suppkey AS path, hdu::INT AS hdu, CASE WHEN hdu = 1 THEN CASE s_suppkey % 4 WHEN 0 THEN 'image' WHEN 3 THEN 'table' ELSE 'plot' END ELSE CASE WHEN s_suppkey % 3 = 0 THEN 'image' ELSE 'table' END END AS unit,
+CASE WHEN (hdu = 1 AND s_suppkey % 4 < 2) OR (hdu = 2 AND s_suppkey % 3 = 0) THEN 'float32' END AS element FROM supplier, (VALUES (1), (2)) AS h(hdu)""")
+def unit_listing(spark, sf_dir):
+    from starframe.operators import catalog
+
+    return catalog.listing(_unit_lists(spark, sf_dir)).select("path", "hdu", "unit", "element")
+
+
+@query("""WITH p AS (SELECT p_partkey AS path, [3, 2, 4][(p_partkey % 3 + 1)::INT] AS k, [NULL, 'RGB', 'WAVE', 'color'][(p_partkey % 4 + 1)::INT] AS t, ['RGGB', 'rggb', NULL, 'XYZW', 'GB'][(p_partkey % 5 + 1)::INT] AS b, p_partkey % 7 = 0 AS x, p_partkey % 2 = 0 AS top FROM part),
+c AS (SELECT *, CASE WHEN k = 3 AND (t IS NULL OR t <> 'WAVE') THEN 'rgb' WHEN k = 2 AND upper(b) = 'RGGB' THEN 'bayer' ELSE 'mono' END AS color FROM p)
+SELECT path, color, CASE WHEN color = 'bayer' THEN 'RGGB' END AS pattern, NOT (top OR x) AS flip FROM c""")
+def color_and_row_order(spark, sf_dir):
+    from starframe.operators import catalog
+
+    k = F.col("p_partkey")
+    pick = lambda n, *options: F.element_at(F.array(*options), (F.pmod(k, F.lit(n)) + 1).cast("int"))
+    axes = lambda *n: F.array(*(F.lit(x).cast("bigint") for x in n))
+    text = lambda *options: [F.lit(x).cast("string") for x in options]
+    units = read(spark, sf_dir, "part").select(
+        k.alias("path"), pick(3, axes(10, 20, 3), axes(10, 20), axes(10, 20, 4)).alias("naxes"), pick(4, *text(None, "RGB", "WAVE", "color")).alias("CTYPE3"), pick(5, *text("RGGB", "rggb", None, "XYZW", "GB")).alias("BAYERPAT"), F.lit(None).cast("string").alias("COLORTYP"),
+        F.when(F.pmod(k, F.lit(7)) == 0, "xisf").otherwise("fits").alias("format"), F.when(F.pmod(k, F.lit(2)) == 0, "top-down").alias("ROWORDER"), F.lit("image").alias("unit"), pick(3, F.lit(3), F.lit(1), F.lit(4)).alias("planes"),
+    )
+    return catalog.row_order(catalog.classify_color(units)).select("path", "color", "pattern", "flip")
+
+
+@query(f"""WITH {_PIXELS}, h AS (SELECT {_H} AS h), r AS (SELECT h, least(128, h) AS r, greatest(2000 // least(128, h), 1) AS c FROM h), g AS (SELECT least(c, 64) AS c, r, h FROM r)
+SELECT y::BIGINT AS oy, x::BIGINT AS ox, round(v, 6) AS value FROM x, g WHERE y IN (SELECT ((2 * i + 1) * h) // (2 * r) FROM g, range(128) AS t(i) WHERE i < r) AND x IN (SELECT ((2 * i + 1) * 64) // (2 * c) FROM g, range(64) AS t(i) WHERE i < c)""")
+def reference_sample_embeddings(spark, sf_dir):
+    """The pixels that a stretch is made from: rows and columns spread over the whole image, which is the feature."""
+    height = _height(spark, sf_dir)
+    out = images.reference_sample(pixel_rows(spark, sf_dir), 64, height, side=max(height, 64), most=2000)
+    return out.select(F.col("oy").cast("bigint").alias("oy"), F.col("ox").cast("bigint").alias("ox"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(pow(10, 3 + l_discount), 6) AS wavelength, round(l_quantity + (l_linenumber - 2) * l_tax, 6) AS world FROM lineitem")
+def spectral_axes(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem")
+    return items.select("l_orderkey", "l_linenumber", F.round(S.from_loglam(3 + F.col("l_discount")), 6).alias("wavelength"), F.round(S.wcs_linear(F.col("l_linenumber"), F.col("l_quantity"), F.col("l_tax"), 2), 6).alias("world"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_partkey % 5 = 1 THEN 'int8' ELSE 'uint8' END WHEN 1 THEN CASE WHEN p_partkey % 5 = 2 THEN 'uint16' ELSE 'int16' END WHEN 2 THEN CASE WHEN p_partkey % 5 = 3 THEN 'uint32' ELSE 'int32' END WHEN 3 THEN 'int64' WHEN 4 THEN 'float32' ELSE 'float64' END AS element FROM part""")
+def element_types(spark, sf_dir):
+    k = F.col("p_partkey")
+    pick = lambda n, *options: F.element_at(F.array(*(F.lit(x) for x in options)), (F.pmod(k, F.lit(n)) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", S.type_name(pick(6, 8, 16, 32, 64, -32, -64), F.lit(1.0), pick(5, 0.0, -128.0, 32768.0, 2147483648.0, 1.0)).alias("element"))
+
+
+def _cubes(spark, sf_dir):
+    from starframe import sinks
+    from starframe.sources import files
+
+    rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
+    return files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1000))
+
+
+@query("""WITH n AS (SELECT label::VARCHAR AS path, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT path, t.seq::INT AS seq, t.key, CASE WHEN t.seq = 4 THEN '[' || n || ', 8, 8]' ELSE t.value END AS value, t.tag FROM n, (VALUES (0, 'data', '', 'ndarray-1.0.0'), (1, 'source', '0', ''), (2, 'datatype', 'float32', ''), (3, 'byteorder', 'little', ''), (4, 'shape', '', '')) AS t(seq, key, value, tag)""")
+def asdf_tree_lines(spark, sf_dir):
+    from starframe.sources import asdf
+
+    text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    return asdf.tree(_cubes(spark, sf_dir)).select("path", "seq", "key", text("value"), text("tag"))
+
+
+@query("SELECT label::VARCHAR AS path, 'data' AS extname, 'float32' AS dtype, 8::BIGINT AS width, 8::BIGINT AS height, count(*)::BIGINT AS planes, count(*)::BIGINT * 256 AS size, 'lz4' AS comp, true AS preferred FROM embeddings GROUP BY 1")
+def asdf_arrays_and_blocks(spark, sf_dir):
+    """Arrays of ASDF files with the sizes of their frames, as a running list of the block that each lies in."""
+    from starframe.sources import asdf
+
+    made = _cubes(spark, sf_dir)
+    raw = asdf.frames(made).groupBy("path", "block").agg(F.sum("raw").alias("size"))
+    stored = asdf.blocks(made).select("path", "block", "comp")
+    arrays = asdf.arrays(made).where("supported").select("path", F.col("source").cast("int").alias("block"), "extname", "dtype", F.col("naxes")[0].alias("width"), F.col("naxes")[1].alias("height"), F.col("naxes")[2].alias("planes"), "preferred")
+    return arrays.join(stored, ["path", "block"]).join(raw, ["path", "block"]).drop("block")
+
+
+@query(f"""WITH n AS (SELECT path, count(*) AS n FROM ({VECTORS}) GROUP BY 1)
+SELECT path, 'float32' AS dtype, 64::BIGINT AS width, n::BIGINT AS height, 'zlib' AS codec, true AS shuffled, (n * 256)::BIGINT AS raw_size, '64:' || n || ':1' AS geometry, 'Float32' AS kind FROM n""")
+def xisf_images_and_properties(spark, sf_dir):
+    from starframe import sinks
+    from starframe.sources import files, xisf
+
+    made = files.from_content(sinks.xisf_images(_vector_rows(spark, sf_dir), "name"))
+    cards = xisf.properties(made).groupBy("path", "hdu").agg(F.max(F.when(F.col("key") == "geometry", F.col("value"))).alias("geometry"), F.max(F.when(F.col("key") == "sampleFormat", F.col("value"))).alias("kind"))
+    shown = xisf.images(made).select("path", "hdu", "dtype", F.col("naxes")[0].alias("width"), F.col("naxes")[1].alias("height"), "codec", "shuffled", "raw_size")
+    return shown.join(cards, ["path", "hdu"]).drop("hdu")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100000")
+def tsv_first_rows(spark, sf_dir):
+    """The first 100,000 orders by key, written as tab-separated text and read back: the limit is the feature."""
+    from starframe import sinks
+
+    at = _folder(spark, "rows")
+    sinks.write_rows_tsv(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), at, order=["o_orderkey"])
+    return spark.read.option("sep", "\t").option("header", True).schema("o_orderkey bigint, o_totalprice double, o_orderstatus string").csv(at)
+
+
+@query(ORACLE_SQL["density_events"])
+def stored_density(spark, sf_dir):
+    """Cells of a plot written as Parquet, in folders by curve, and read back."""
+    from starframe import sinks
+
+    at = _folder(spark, "cells")
+    made = QUERIES["density_events"](spark, sf_dir)
+    sinks.write_results(made, at, ["event_type"])
+    return spark.read.parquet(at).select(*(F.col(c).cast(made.schema[c].dataType).alias(c) for c in made.columns))
+
+
+@query(f"""WITH n AS (SELECT path, count(*) AS n FROM ({VECTORS}) GROUP BY 1) SELECT path, 16::BIGINT AS width, 100::BIGINT AS height, true AS whole FROM n""")
+def thumbnail_pictures(spark, sf_dir):
+    """A PNG of each image, binned and stretched by itself: its sides, and whether its last chunk is the end mark."""
+    from starframe import sinks
+    from starframe.sources import files
+
+    cells = images.bin2d(files.image_rows(sinks.fits_images(_vector_rows(spark, sf_dir), "name")), 4, 16, 100, by=["path"])
+    made = sinks.thumbnails(cells, stats.auto_stretch(cells, "value", ["path"]), 16, 100, ["path"])
+    side = lambda at: F.conv(F.hex(F.substring("png", at, 4)), 16, 10).cast("bigint")
+    return made.select("path", side(17).alias("width"), side(21).alias("height"), F.hex("png").endswith("49454E44AE426082").alias("whole"))
+
+
+@query(f"""WITH v AS ({VECTORS}), n AS (SELECT path, greatest(4, ceil(count(*) / 16.0))::BIGINT AS f, count(*) AS h FROM v GROUP BY 1),
+x AS (SELECT path, y, generate_subscripts(embedding, 1) - 1 AS x, unnest(embedding)::DOUBLE AS v FROM v)
+SELECT path, (y // f)::BIGINT AS oy, (x // f)::BIGINT AS ox, round(avg(v), 9) AS value, count(*)::BIGINT AS n FROM x JOIN n USING (path)
+WHERE y < h // f * f AND x < 64 // f * f AND y % f IN (f // 4, 3 * f // 4) AND x % f IN (f // 4, 3 * f // 4) GROUP BY 1, 2, 3""")
+def preview_of_images(spark, sf_dir):
+    """Images of any height, each binned to 16 a side at most from two by two samples of a bin: rows between are not read."""
+    from starframe import sinks
+    from starframe.sources import files, maps
+
+    listed = sinks.write_files(sinks.fits_images(_vector_rows(spark, sf_dir), "name"), _folder(spark, "images"))
+    index = _folder(spark, "units")
+    files.scan_hdus(listed).write.parquet(index)
+    cells = maps.binned_images(spark.read.parquet(index), 16, 16, 2)
+    return cells.select(F.expr(_NAME).alias("path"), "oy", "ox", F.round("value", 9).alias("value"), "n")
+
+
+@query("""WITH o AS (SELECT (o_orderkey // 4000)::VARCHAR AS path, o_orderkey::DOUBLE AS x, o_totalprice AS y FROM orders), r AS (SELECT path, min(x) AS a, max(x) - min(x) AS span, least(200, count(*)) AS k FROM o GROUP BY 1)
+SELECT path, c, min(y::FLOAT)::DOUBLE AS lo, max(y::FLOAT)::DOUBLE AS hi, count(*) AS n FROM (SELECT o.path, greatest(0, least(k - 1, CAST(trunc((x - a) * (k / span)) AS INT)))::INT AS c, y FROM o JOIN r USING (path) WHERE span > 0) GROUP BY 1, 2""")
+def catalog_envelope(spark, sf_dir):
+    """Curves of stored tables from their list of units in one call; these are small, so all rows are read."""
+    from starframe import sinks
+    from starframe.sources import files, maps
+
+    listed = sinks.write_files(order_files(spark, sf_dir), _folder(spark, "tables"))
+    index = _folder(spark, "units")
+    files.scan_hdus(listed).write.parquet(index)
+    out = maps.envelope_map(spark.read.parquet(index).where("hdu = 1"), "o_orderkey", "o_totalprice", 200, ("bigint", "double"))
+    return out.select(F.expr(_NAME).alias("path"), "c", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "n")

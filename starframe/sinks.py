@@ -15,8 +15,13 @@ from starframe.operators import _groups as G
 from starframe.operators import images
 
 
-def write_rows_tsv(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """At most ``max_rows`` rows as tab-separated text with a line of column names; nested values as JSON, bytes as hex."""
+def write_rows_tsv(df: DataFrame, path: str, max_rows: int = 100_000, order: list[str] | None = None) -> None:
+    """The first ``max_rows`` rows as tab-separated text with a line of column names; nested values as JSON, bytes as hex.
+
+    Rows are in the order of some columns, unless named those of path, hdu and _row that there are; without any they are any rows.
+    """
+    order = [c for c in ("path", "hdu", "_row") if c in df.columns] if order is None else order
+    df = df.orderBy(*order) if order else df
     out = []
     for f in df.schema.fields:
         c = F.col(f.name)

@@ -12,6 +12,8 @@ from starframe.sources import fits
 #: Suffixes in use.
 SUFFIXES = "fits fit fts fz xisf asdf pha pi arf rmf rsp rsp2 evt lc hk mkf dph img".split()
 HDUS = "path string, hdu int, format string, xtension string, extname string, bitpix int, naxes array<bigint>, rowlen bigint, n_rows bigint, pcount bigint, gcount bigint, bscale double, bzero double, blank bigint, groups boolean, zimage boolean, cmptype string, supported boolean, tfields bigint, heap bigint, hdr_off bigint, hdr_len bigint, data_off bigint, data_len bigint, next_off bigint, header string, truncated boolean, error string"
+#: Bytes that a file's kind is told by; shorter files are none.
+HEAD = 16
 #: Bytes of pixels in a batch.
 BATCH_BYTES = 8 << 20
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
@@ -28,20 +30,47 @@ def kind_of(magic: Column) -> Column:
 def from_content(df: DataFrame, column: str = "content", path: str = "path") -> DataFrame:
     """Files already in memory: path, format, gz, length, error and content of any table with a binary column."""
     magic = kind_of(F.col(column))
-    short = F.octet_length(column) < 16
+    short = F.octet_length(column) < HEAD
     error = F.when(short, "too short").when(magic.isNull(), "unknown kind of file")
     return df.select(F.col(path).alias("path"), F.when(~short, magic).alias("format"), (magic == "gzip").alias("gz"), F.octet_length(column).cast("bigint").alias("length"), *([F.col("modificationTime").alias("mtime")] if "modificationTime" in df.columns else []), error.alias("error"), F.col(column).alias("content"))
 
 
 def scan_files(spark: SparkSession, path: str, pattern: str | None = None, content: bool = False) -> DataFrame:
-    """One row per file under a path: path, format, gz, length, mtime, error (and content).  Kinds go by magic, not by name."""
+    """One row per file under a path: path, format, gz, length, mtime, error (and content).  Kinds go by magic, not by name.
+
+    Without ``content`` Spark lists the files and tasks open each for its first bytes, so files may have any size; ``format``
+    of a gzipped file is what is in it; empty files have no row, as in Spark's own listings.  With ``content`` whole files are read (2 GiB at most), from any store that Spark reads.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (read.option("pathGlobFilter", pattern) if pattern else read).load(path)
-    out = from_content(df)
-    return out if content else out.drop("content")
+    return from_content(df) if content else _classified(df.select("path", "length", "modificationTime"))
+
+
+def _heads(tables):
+    """The first bytes of files, of gzipped ones those inside; why a file can't be opened."""
+    for table in tables:
+        heads, gz, errors = [], [], []
+        for path in table.column("path").to_pylist():
+            try:
+                head, packed, error = *fits.head(path, HEAD), None
+            except OSError as e:
+                head, packed, error = None, None, f"can't be opened: {e.strerror or e}"
+            heads.append(head)
+            gz.append(packed)
+            errors.append(error)
+        names = ["path", "length", "modificationTime"]
+        yield pa.RecordBatch.from_arrays([*(pa.array(table.column(n)) for n in names), pa.array(heads, pa.binary()), pa.array(gz, pa.bool_()), pa.array(errors, pa.string())], names=[*names, "head", "gz", "problem"])
+
+
+def _classified(listed: DataFrame) -> DataFrame:
+    """Files of a listing (path, length, modificationTime): path, format, gz, length, mtime, error."""
+    found = listed.mapInArrow(_heads, "path string, length bigint, modificationTime timestamp, head binary, gz boolean, problem string")
+    short, kind = F.octet_length("head") < HEAD, kind_of(F.col("head"))
+    error = F.coalesce(F.col("problem"), F.when(short, "too short").when(kind.isNull(), "unknown kind of file"))
+    return found.select("path", F.when(error.isNull(), kind).alias("format"), "gz", "length", F.col("modificationTime").alias("mtime"), error.alias("error"))
 
 
-def _hdus(tables):
+def _hdus(tables, most: int):
     names = [x.split()[0] for x in HDUS.split(", ")]
     kinds = [_ARROW[x.split()[1]] for x in HDUS.split(", ")]
     for table in tables:
@@ -50,7 +79,7 @@ def _hdus(tables):
         for path, content in zip(table.column("path").to_pylist(), contents, strict=True):
             try:
                 source = fits.Bytes(None if content is not None else path, content)
-                for u in fits.walk(source):
+                for u in fits.walk(source, most):
                     cut = source.truncated or u.get("data_off", 0) + u.get("data_len", 0) > source.size
                     rows.append({"path": path, "format": "fits", "truncated": cut, **u})
             except (OSError, ValueError, OverflowError, MemoryError) as e:
@@ -60,9 +89,10 @@ def _hdus(tables):
 
 def scan_hdus(files: DataFrame, most: int = fits.MOST_HDUS) -> DataFrame:
     """One row per FITS data unit of a table of files (path, and content or readable paths): a walk from header to header within a
-    file, and files side by side.  Write the result as Parquet: it is the index that later jobs start from."""
+    file, and files side by side; a walk ends after ``most`` units.  Write the result as Parquet: it is the index that later jobs
+    start from."""
     own = files.where(F.col("format").isin("fits", "gzip")).select("path", *(["content"] if "content" in files.columns else []))
-    return own.mapInArrow(_hdus, HDUS).where(F.col("hdu") < most)
+    return own.mapInArrow(lambda tables: _hdus(tables, most), HDUS)
 
 
 def scan_cards(hdus: DataFrame) -> DataFrame:

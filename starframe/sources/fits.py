@@ -42,6 +42,18 @@ class Bytes:
         return self.file.read(n)
 
 
+def head(path: str, n: int) -> tuple[bytes, bool]:
+    """The first n bytes of a file, of a gzipped one those of what is in it, and whether it is one; no more than 64 KiB are read."""
+    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as f:
+        data = f.read(n)
+        if data[:2] != b"\x1f\x8b":
+            return data, False
+        try:
+            return zlib.decompressobj(47).decompress(data + f.read(1 << 16), n), True
+        except zlib.error:
+            return b"", True
+
+
 def inflate(data: bytes, most: int = MOST_GZIP) -> tuple[bytes, bool]:
     """Concatenated gzip members; what is readable, and whether it was cut short."""
     out, total = [], 0
