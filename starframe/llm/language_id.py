@@ -1,8 +1,9 @@
 """Language ID (8) by compression: each text is encoded with one zstandard raw-content dictionary per language; the smallest wins.
 
-Dictionaries are fitted on a bounded sample of labelled documents (``sample_docs`` of each language, whole texts); every text
-is then encoded whole, in pieces of PIECE bytes, each with the dictionary, so that its share does not shrink with the length.  ``margin`` is the lead of the best language over the next one, as a share of the latter's size; where it
-is narrow the prediction is marked as rejected.
+Dictionaries are fitted on a bounded sample of labelled documents (``sample_docs`` of each language and ``sample_bytes`` bytes,
+whole texts); every text is then encoded whole, in pieces of PIECE bytes, each with the dictionary, so that its share does not
+shrink with the length.  ``margin`` is the lead of the best language over the next one, as a share of the latter's size; where it is
+narrow the prediction is marked as rejected.
 """
 
 from __future__ import annotations
@@ -29,14 +30,17 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = 100) -> dict[str, bytes]:
+def fit(docs: DataFrame, sample_docs: int = 100, sample_bytes: int = 8 << 20) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from (doc_id, text, lang): ``sample_docs`` documents of each, chosen by a hash.
 
     The choice is made within each language, by id and text, and each task passes on as many rows at most; so the driver sees
-    ``sample_docs`` texts of each language, however the rows are spread.  Rows without a language or a text are left out.
+    ``sample_docs`` texts of each language, however the rows are spread, and ``sample_bytes`` bytes of them: the choice ends before
+    the text that would exceed that, and texts longer by themselves are not chosen.  Rows without a language or a text are left out.
     """
     known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("dice")).where("lang is not null and text is not null")
+    known = known.where(F.octet_length("text") <= sample_bytes)
     chosen = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "text"))).where(F.col("n") <= sample_docs)
+    chosen = chosen.withColumn("total", F.sum(F.octet_length("text")).over(Window.partitionBy("lang").orderBy("n"))).where(F.col("total") <= sample_bytes)
     texts: dict[str, list[str]] = {}
     for r in chosen.orderBy("lang", "n").collect():
         texts.setdefault(r["lang"], []).append(r["text"])

@@ -183,8 +183,8 @@ def _link(size: int, weighted: bool, similarity: float):
     return link
 
 
-#: Texts in a bundle, and bytes of text; below this many rows a table that was counted is broadcast.
-BUNDLE, BUNDLE_BYTES, BROADCAST_ROWS = 400, 8 << 20, 500_000
+#: Texts in a bundle, and bytes of text; below this many bytes a table whose size was counted is broadcast.
+BUNDLE, BUNDLE_BYTES, BROADCAST_BYTES = 400, 8 << 20, 32 << 20
 
 
 def near_dups(docs: DataFrame, similarity: float = 0.8, size: int = 5, k: int = 168, rows: int = 6, weighted: bool = False) -> DataFrame:
@@ -216,13 +216,21 @@ def near_dups(docs: DataFrame, similarity: float = 0.8, size: int = 5, k: int =
     # A cluster of one block shares a bundle with others; the pairs of blocks of a larger one are bundles of their own.
     bundle = F.when(F.col("blocks") == 1, F.array(F.pmod(F.xxhash64("cluster"), F.lit(bundles)))).otherwise(F.transform(pair, lambda p: F.xxhash64("cluster", p["i"], p["j"])))
     placed = placed.select("id", "node", "doc_id", bundle.alias("bundles"))
-    placed = F.broadcast(placed) if n < BROADCAST_ROWS else placed
+    # A row has its keys and a number for each bundle: as many as its cluster has blocks.
+    placed = cut(placed)
+    held = placed.agg(F.sum(64 + 8 * F.size("bundles"))).first()[0] or 0
+    placed = F.broadcast(placed) if held < BROADCAST_BYTES else placed
     same = (keyed["id"] == placed["id"]) & (keyed["node"] == placed["node"]) & keyed["doc_id"].eqNullSafe(placed["doc_id"])
     texts = keyed.join(placed, same).select(keyed["node"], keyed["text"], F.explode("bundles").alias("bundle"))
     root = components(texts.groupBy("bundle").applyInArrow(_link(size, weighted, similarity), "a binary, b binary"))
     own = signed.join(root, "node", "left").withColumn("class", F.when(F.col("bands").isNotNull(), F.coalesce("root", "node")))
     by = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("f"))
-    out = own.where("class is not null").join(by, "class").select("doc_id", "node", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("node") == F.col("f.node"))).alias("is_first"))
+    # Only classes of several rows are looked up; where they fit, the rows of a large class are not brought together for that.
+    by = cut(by.where("class_size > 1"))
+    by = F.broadcast(by) if by.count() * 80 < BROADCAST_BYTES else by
+    single = F.col("class_size").isNull()
+    first = single | (F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("node") == F.col("f.node")))
+    out = own.where("class is not null").join(by, "class", "left").select("doc_id", "node", F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), first.alias("is_first"))
     alone = own.where("class is null").select("doc_id", "node", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("is_first"))
     return out.unionByName(alone)
 

@@ -138,3 +138,10 @@ def test_pipeline_on_odd_rows(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() > 0
+
+
+def test_dictionaries_are_bounded_by_bytes(spark):
+    rows = [(k, "wort " * 20, "de") for k in range(50)] + [(99, "lang " * 10_000, "de"), (100, "mot seul", "fr")]
+    made = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=40, sample_bytes=1000)
+    assert set(made) == {"de", "fr"} and made["de"].count(b"wort") == 200 and b"lang" not in made["de"]
+    assert made["fr"].split() == [b"mot", b"seul"]
