@@ -1,20 +1,24 @@
 """License scans (10): MinHash bands over overlapping text windows retrieve templates; exact shingle containment verifies them.
 
-Templates are grouped by size; each group has windows as long as its largest template (in shingles), a quarter of that apart, so
-wherever a copy stands some window holds it up to an eighth at either end.  A window and the template are compared by ``bands``
-MinHash values of ``rows`` rows each: at a Jaccard similarity s they meet with probability 1 - (1 - s**rows)**bands; with 24 bands of
-one row that is 0.9987 at s = 0.25 and over 0.999999 at s = 0.5.  A hit only gives the place: the template's shingles are counted over
-the window and as much text again on either side, so no place of a copy loses any of it.  Column expressions only.
+A template of n shingles has windows of the next power of two of them, a quarter of that apart, so wherever a copy stands some
+window holds it up to an eighth of the width at either end; what other templates there are makes no difference to its windows.
+Only shingles that stand in a template are kept of the corpus; a window's MinHash is of those of templates of its size.  It is
+compared with a template's by ``bands`` values of ``rows`` rows each: at a Jaccard similarity s they meet with probability
+1 - (1 - s**rows)**bands; with 24 bands of one row that is 0.9998 at s = 0.3 and over 0.999999 at s = 0.5.  A hit only gives the
+place: the template's shingles are counted over the window and as much text again on either side, so no place of a copy loses any
+of it.  Templates are tables like the corpus: nothing of them goes through the driver.  Column expressions and joins only.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starframe.llm import _native as N
+from starframe.llm._shared import cut
+
+#: Below this many bytes a table whose rows were counted is broadcast; beyond, Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
 
 #: Notices as they stand in files and at the foot of pages (fixed texts of their licences).
 NOTICES = {
@@ -35,73 +39,70 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(NOTICES.items()), "license string, text string")
 
 
-def _seeded(values, seed: int):
-    return F.array_min(F.transform(values, lambda x: F.xxhash64(x, F.lit(seed))))
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """(license, text) of a folder with one text file for each licence, named after it."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    return files.select(F.regexp_replace("file", "\\.txt$", "").alias("license"), F.col("value").alias("text"))
 
 
-def _windows(starts, group: int, width: int):
-    return F.transform(starts, lambda i: F.struct(F.lit(group).alias("g"), F.slice("sh", F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width)) + 2 * width).alias("wide"), F.least(i, F.lit(width)).alias("lead"), F.lit(width).alias("width")))
+def _hashed(df: DataFrame, size: int) -> DataFrame:
+    return N.fixed(N.fixed(df, _w=N.hashes(N.folded_words("text"))), sh=N.shingles("_w", size))
 
 
-def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, size: int = 5, bands: int = 24, rows: int = 1, most_shingles: int = 200_000) -> DataFrame:
-    """Licences found in ``docs`` (doc_id, text): doc_id, license, containment, n_windows; one row for each document and licence.
+def _small(df: DataFrame, bytes_each: int) -> DataFrame:
+    """Broadcast if its counted rows are few enough; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() * bytes_each < BROADCAST_BYTES else df
 
-    ``templates`` (license, text) is reference data, not corpus: its shingles reach the driver.  Templates of more than
-    ``most_shingles`` in all are worked off in portions of so many, each in a pass of its own.  A licence is found if a window and a width on either side hold ``containment`` of its shingles (``size`` words, lower case, letters and digits;
-    a shorter notice is one shingle of all its words, found only in windows of so many words: texts that are just the notice).
-    Texts that are null or without words have no licence; rows that share a doc_id are one document; other columns are ignored;
-    with no documents or templates the result is empty.
-    """
-    spark = docs.sparkSession
-    templates = notices(spark) if templates is None else templates
-    known = _hashed(templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text")), size).select("license", F.array_distinct("sh").alias("t"), F.size("sh").alias("n")).where("size(t) > 0")
-    portions: list[list] = []
-    held = most_shingles
-    for r in known.orderBy(F.desc("n"), "license").collect():
-        if held + len(r["t"]) > most_shingles:
-            portions.append([])
-            held = 0
-        portions[-1].append(r)
-        held += len(r["t"])
-    out = spark.createDataFrame([], "doc_id long, license string, containment double, n_windows long")
-    for lists in portions:
-        found = _scan(docs, lists, containment, size, bands, rows)
-        out = found if len(portions) == 1 else out.unionByName(found)
-    return out
 
+def _signature(df: DataFrame, keys: list[str], bands: int, rows: int) -> DataFrame:
+    """``keys`` and band of the MinHash of the shingles ``s`` of each group: a row for each band, of ``rows`` minima each."""
+    least = df.groupBy(*keys).agg(*(F.min(F.xxhash64("s", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)))
+    band = F.array(*(F.xxhash64(*(F.col(f"m{b * rows + k}") for k in range(rows)), F.lit(b), F.col("g")) for b in range(bands)))
+    return least.select(*keys, F.explode(band).alias("band"))
 
-def _hashed(df: DataFrame, size: int) -> DataFrame:
-    return N.fixed(N.fixed(df, _w=N.hashes(N.folded_words("text"))), sh=N.shingles("_w", size))
+
+def _templates(templates: DataFrame, size: int) -> DataFrame:
+    """A row for each distinct shingle ``s`` of a template: t (which), license, n (such shingles), g (class of length), s."""
+    known = templates.select(F.col("license").cast("string").alias("license"), F.col("text").cast("string").alias("text"))
+    known = _hashed(known, size).select("license", F.xxhash64("license", "text").alias("t"), F.array_distinct("sh").alias("own"), F.ceil(F.log2(F.size("sh"))).cast("int").alias("g"))
+    return cut(known.where("size(own) > 0").dropDuplicates(["license", "t"]).select("license", "t", F.size("own").alias("n"), "g", F.explode("own").alias("s")))
 
 
-def _scan(docs: DataFrame, lists: list, containment: float, size: int, bands: int, rows: int) -> DataFrame:
-    """One pass over ``docs`` for templates of a bounded number of shingles: (license, t: distinct shingles, n: shingles)."""
-    spark = docs.sparkSession
-    # Sizes within a factor of two share their windows.
-    groups: dict[int, list] = {}
-    for r in lists:
-        groups.setdefault(math.ceil(math.log2(r["n"])), []).append(r)
-    every = F.array(*(F.lit(x) for x in sorted({x for r in lists for x in r["t"]})))
-    text = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), size).select("doc_id", "sh")
-    # A text that shares no shingle with any template has none of them: exact, and it spares nearly all texts the windows.
-    text = text.where(F.arrays_overlap("sh", every))
-    # The windows of all groups in one pass over the text.
-    windows, kinds = [], []
-    for g, own in groups.items():
-        width = max(r["n"] for r in own)
-        step = max(1, width // 4)
-        last = F.greatest(F.size("sh") - width, F.lit(0))
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-        windows.append(_windows(starts, g, width))
-        kinds += [(g, r["license"], r["t"]) for r in own]
-    win = text.select("doc_id", F.inline(F.concat(*windows)))
-    kinds = spark.createDataFrame(kinds, "g int, license string, t array<bigint>")
-    band = lambda c: [F.xxhash64(*(_seeded(F.col(c), b * rows + k) for k in range(rows)), F.lit(b), F.col("g")) for b in range(bands)]
-    index = kinds.withColumn("bands", F.array(*band("t"))).select("license", "t", F.explode("bands").alias("band"))
-    met = F.array(*(F.lit(x) for x in sorted({r["band"] for r in index.select("band").collect()})))
-    win = N.fixed(win, win=F.slice("wide", F.col("lead") + 1, F.col("width")))
-    hits = N.fixed(win, bands=F.array(*band("win"))).where(F.arrays_overlap("bands", met)).select("doc_id", "wide", F.xxhash64("win").alias("w"), F.explode(F.array_intersect("bands", met)).alias("band"))
-    # The index is reference data of a checked size.
-    pairs = hits.join(F.broadcast(index), "band").select("doc_id", "license", (F.size(F.array_intersect("t", "wide")) / F.size("t")).alias("containment"), "w")
-    out = pairs.where(F.col("containment") >= containment)
-    return out.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"), F.countDistinct("w").alias("n_windows"))
+def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = 0.8, size: int = 5, bands: int = 24, rows: int = 1) -> DataFrame:
+    """Licences found in ``docs`` (doc_id, text): doc_id, license, containment, n_windows; one row for each document and licence.
+
+    ``templates`` (license, text) may be of any number and length; one pass over ``docs`` serves all.  A licence is found if a
+    window and a width on either side hold ``containment`` of its shingles (``size`` words, lower case, letters and digits; a
+    shorter notice is one shingle of all its words, found only in texts of so many words).  ``n_windows`` counts such windows of
+    the document's distinct texts.  Texts that are null or without words have no licence; rows that share a doc_id are one
+    document (null is one, too); several templates of one name are one licence, of which the best counts; a document has a row for
+    each licence that it holds, so there are no ties; other columns are ignored; with no documents or templates the result is empty.
+    """
+    known = _templates(templates if templates is not None else notices(docs.sparkSession), size)
+    named = known.select("t", "license", "n", "g").distinct()
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = _hashed(text.withColumns({"h": F.xxhash64("text", F.col("doc_id").isNull()), "none": F.col("doc_id").isNull(), "d": F.coalesce("doc_id", F.lit(0))}), size)
+    # Shingles of no template can't count for any: exact, and few rows are left after it.
+    every = text.select("d", "h", "none", F.size("sh").alias("size"), F.posexplode("sh").alias("pos", "s"))
+    hits = cut(every.join(_small(known.select("s", "g").distinct(), 24), "s").withColumn("width", F.expr("1 << g")))
+
+    # The windows that hold a shingle: those that start at a multiple of the step, and the last one.
+    step, last = F.greatest(F.expr("width DIV 4").cast("int"), F.lit(1)), F.greatest(F.col("size") - F.col("width"), F.lit(0))
+    least = F.greatest(F.ceil((F.col("pos") - F.col("width") + 1) / step).cast("int"), F.lit(0))
+    most = F.floor(F.least("pos", last) / step).cast("int")
+    starts = F.when(least <= most, F.transform(F.sequence(least, most), lambda k: k * step)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(F.col("pos") >= last, F.array_union(starts, F.array(last))).otherwise(starts)
+    windows = hits.select("d", "h", "none", "g", "s", F.explode(starts).alias("start"))
+    index = _signature(known, ["t", "g"], bands, rows).select("t", "band")
+    place = ["d", "h", "none", "g", "start"]
+    met = _signature(windows, place, bands, rows).join(_small(index, 24), "band").select(*place, "t").distinct()
+
+    # A window and a width on either side meet the hits by bins of a width; then the template's own shingles are counted.
+    width = F.expr("1 << g")
+    met = met.withColumns({"from": F.col("start") - width, "to": F.col("start") + 2 * width})
+    met = met.withColumn("bin", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor((F.col("to") - 1) / width))))
+    near = hits.select("d", "h", "g", "s", "pos", F.floor(F.col("pos") / F.col("width")).alias("bin")).join(met, ["d", "h", "g", "bin"]).where("pos >= from AND pos < to")
+    held = near.join(_small(known.select("t", "s"), 24), ["t", "s"]).groupBy("d", "h", "none", "t", "start").agg(F.countDistinct("s").alias("held"))
+    found = held.join(_small(named, 64), "t").withColumn("containment", F.col("held") / F.col("n")).where(F.col("containment") >= containment)
+    out = found.groupBy("d", "none", "license").agg(F.max("containment").alias("containment"), F.countDistinct("h", "start").alias("n_windows"))
+    return out.select(F.when(~F.col("none"), F.col("d")).alias("doc_id"), "license", "containment", "n_windows")

@@ -1,10 +1,16 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns have defined results."""
 
+import re
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from starframe.llm import decontaminate, language_id, license_scan, line_dedup, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
+#: Texts of licences, one in a file; the test of them is left out where the folder is missing.
+LIBRARY = "/usr/share/common-licenses"
 LONG = " ".join(f"word{k % 977} of line {k}." for k in range(20_000))
 SAME = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
 ROWS = [(1, SAME, "en"), (1, SAME, "en"), (2, SAME, None), (None, SAME, "en"), (None, None, None), (3, None, "en"), (4, "", "de"), (5, " \n\t\n ", "de"), (6, LONG, "en"), (7, "12345 !!", "fr"), (8, "line\n\nline\nother", "es")]
@@ -81,10 +87,45 @@ def test_leaks_do_not_depend_on_shards(spark, sf):
     assert one and one == plain(decontaminate.find_leaks(docs, items, shard_items=9, shards_each=2))
 
 
-def test_licences_do_not_depend_on_portions(spark, sf):
+def test_licences_do_not_depend_on_other_templates(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    one = sorted(map(tuple, license_scan.scan(docs).collect()))
-    assert one and one == sorted(map(tuple, license_scan.scan(docs, most_shingles=100).collect()))
+    kept = lambda df: {(r.doc_id, r.license, round(r.containment, 9)) for r in df.collect()}
+    own = license_scan.notices(spark)
+    one = kept(license_scan.scan(docs))
+    # Whole texts as templates besides: over 100,000 shingles in all.
+    more = own.unionByName(docs.where("text is not null").select(F.concat(F.lit("text "), "doc_id").alias("license"), "text"))
+    many = kept(license_scan.scan(docs, more))
+    assert one and one == {r for r in many if not r[1].startswith("text ")}
+    full = {r.doc_id for r in docs.collect() if r.text and any(c.isalnum() for c in r.text)}
+    assert {d for d, name, c in many if name == f"text {d}" and c == 1.0} == full
+
+
+def test_licences_of_null_and_repeated_ids(spark):
+    text = "some words before it " * 9 + license_scan.NOTICES["MIT-text"] + " and some words after it" * 9
+    rows = [(None, text), (None, text), (7, text), (7, text + " more"), (8, None), (9, " .,")]
+    got = {(r.doc_id, r.license, r.containment, r.n_windows > 0) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(None, "MIT-text", 1.0, True), (7, "MIT-text", 1.0, True)}
+    none = spark.createDataFrame([], "license string, text string")
+    assert license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), none).count() == 0
+    twice = spark.createDataFrame([("x", text), ("x", "quite another text of seven words or so"), (None, text)], "license string, text string")
+    assert {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), twice).collect()} == {(d, n) for d in (None, 7) for n in ("x", None)}
+
+
+@pytest.mark.skipif(not Path(LIBRARY).is_dir(), reason="no licence texts on this machine")
+def test_licences_of_a_library_of_full_texts(spark):
+    """Whole licences, each with a word in a hundred edited, between other words, against a brute-force containment."""
+    library = license_scan.read_templates(spark, LIBRARY)
+    texts = {r.license: r.text for r in library.collect()}
+    words = {k: re.findall(r"[^\W_]+", t.lower()) for k, t in texts.items()}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    rows, want = [], set()
+    for n, (name, w) in enumerate(sorted(words.items())):
+        body = [f"edited{k}" if k % 100 == 50 else x for k, x in enumerate(w)]
+        text = [f"a{k}" for k in range(211 * n)] + body + [f"b{k}" for k in range(97 * n)]
+        rows.append((n, " ".join(text)))
+        want |= {(n, other) for other in words if len(grams(words[other]) & grams(text)) >= 0.8 * len(grams(words[other]))}
+    got = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), library).collect()}
+    assert len(want) >= len(texts) > 9 and got == want
 
 
 def test_language_sample_is_dealt_by_language(spark):
