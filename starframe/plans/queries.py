@@ -201,10 +201,10 @@ def bayer_bin_embeddings(spark, sf_dir):
     return images.bin_bayer(pixel_rows(spark, sf_dir), "RGGB", 64, _height(spark, sf_dir), 2).withColumn("value", F.round("value", 9))
 
 
-@query(f"""WITH {_PIXELS}, b AS (SELECT label, (y // 50)::INT AS oy, (x // 8)::INT AS ox, round(avg(v), 9) AS value FROM x WHERE label < 3 AND y < {_H} // 50 * 50 GROUP BY 1, 2, 3)
+@query(f"""WITH {_PIXELS}, b AS (SELECT label % 3 AS label, (y // 50)::INT AS oy, (x // 8)::INT AS ox, round(avg(v), 9) AS value FROM x WHERE y < {_H} // 50 * 50 GROUP BY 1, 2, 3)
 SELECT oy, ox, max(CASE WHEN label = 0 THEN value END) AS red, max(CASE WHEN label = 1 THEN value END) AS green, max(CASE WHEN label = 2 THEN value END) AS blue, count(*) = 3 AS opaque FROM b GROUP BY 1, 2""")
 def rgb_pivot(spark, sf_dir):
-    planes = pixel_rows(spark, sf_dir).where("label < 3").withColumnRenamed("label", "channel")
+    planes = pixel_rows(spark, sf_dir).withColumn("channel", F.pmod("label", F.lit(3)))
     wide = planes.select("channel", "y", F.posexplode("values").alias("x", "v")).where(F.col("y") < _height(spark, sf_dir) // 50 * 50)
     cells = images.bin2d_points(wide, "x", "y", "v", 8, 50, ["channel"])
     return images.rgb(cells.select("channel", F.col("oy").cast("int").alias("oy"), F.col("ox").cast("int").alias("ox"), F.round("value", 9).alias("value")))
@@ -217,10 +217,15 @@ def crop_region(spark, sf_dir):
     return part.select("y", F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")), 6).alias("total"), F.size("values").alias("width"))
 
 
-@query("SELECT vec_id AS y, label AS plane, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE label = 5")
+@query("""SELECT vec_id AS y, label AS plane, CASE label WHEN 5 THEN 'middle' WHEN 9 THEN 'last' ELSE 'listed' END AS asked,
+round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings""")
 def plane_slice(spark, sf_dir):
-    out = images.select_plane(pixel_rows(spark, sf_dir).withColumnRenamed("label", "plane"), planes=10)
-    return out.select("y", "plane", F.round(F.col("values")[0].cast("double"), 6).alias("first"))
+    """The middle plane of ten, the last for one beyond, and a list of the others."""
+    rows = pixel_rows(spark, sf_dir).withColumnRenamed("label", "plane")
+    picked = {"middle": None, "last": 99, "listed": [0, 1, 2, 3, 4, 6, 7, 8]}
+    out = [images.select_plane(rows, plane, planes=10).withColumn("asked", F.lit(name)) for name, plane in picked.items()]
+    total = F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v.cast("double")), 6)
+    return out[0].unionByName(out[1]).unionByName(out[2]).select("y", "plane", "asked", total.alias("total"))
 
 
 @query(f"""WITH {CURVES}, r AS (SELECT event_type, min(x) AS a, max(x) - min(x) AS span, least(1000, count(*)) AS k FROM e GROUP BY 1),
@@ -731,3 +736,105 @@ def catalog_envelope(spark, sf_dir):
     files.scan_hdus(listed).write.parquet(index)
     out = maps.envelope_map(spark.read.parquet(index).where("hdu = 1"), "o_orderkey", "o_totalprice", 200, ("bigint", "double"))
     return out.select(F.expr(_NAME).alias("path"), "c", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi"), "n")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def gzip_table_rows(spark, sf_dir):
+    """Tables in gzipped files of two members each, classified and read by what is in them."""
+    from starframe import sinks
+    from starframe.sources import files
+
+    packed = files.from_content(sinks.gzipped(order_files(spark, sf_dir)))
+    return files.table_rows(files.unzipped(packed).where("gz AND format = 'fits' AND error IS NULL"), "o_orderkey bigint, o_totalprice double, o_orderstatus string").drop("path", "_row")
+
+
+@query("""SELECT (o_orderkey // 4000)::VARCHAR AS path, (count(*) * 2 // 3)::BIGINT AS n_rows, true AS truncated, sum(o_orderkey) FILTER (k < n * 2 // 3)::BIGINT AS keys
+FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey // 4000 ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderkey // 4000) AS n FROM orders) GROUP BY o_orderkey // 4000 HAVING count(*) > 1""")
+def truncated_tables(spark, sf_dir):
+    """Files cut off within a row: the rows before it are read, the unit says that it is truncated, and no job fails."""
+    from starframe.sources import files
+
+    rows = read(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 4000).cast("string").alias("path")).agg(F.count("*").alias("n"))
+    cut = order_files(spark, sf_dir).join(rows, "path").withColumn("content", F.expr("substring(content, 1, cast(5760 + 21 * (n * 2 DIV 3) + 20 as int))"))
+    made = files.from_content(cut)
+    sums = files.table_rows(made, "o_orderkey bigint").groupBy("path").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("keys"))
+    return files.scan_hdus(made).where("hdu = 1").select("path", "truncated").join(sums, "path")
+
+
+@query(f"""WITH n AS (SELECT path, count(*) AS n FROM ({VECTORS}) GROUP BY 1), c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT 'fits ' || path AS path, 'fits' AS format, 0 AS hdu, 64::BIGINT AS width, n::BIGINT AS pixels FROM n UNION ALL SELECT 'xisf ' || path, 'xisf', 0, 64, n FROM n UNION ALL SELECT 'asdf ' || label, 'asdf', 0, 8, 8 * n FROM c""")
+def units_of_all_formats(spark, sf_dir):
+    """Files of three formats in one table, told by their first bytes, and their units in one list."""
+    from starframe import sinks
+    from starframe.sources import files
+
+    rows = _vector_rows(spark, sf_dir)
+    cubes = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
+    named = lambda df, kind: df.withColumn("path", F.concat(F.lit(f"{kind} "), "path"))
+    made = named(sinks.fits_images(rows, "name"), "fits").unionByName(named(sinks.xisf_images(rows, "name"), "xisf")).unionByName(named(sinks.asdf_cubes(cubes, "label", (8, 8)), "asdf"))
+    units = files.hdus_of(files.from_content(made)).where("error is null")
+    return units.select("path", "format", "hdu", F.col("naxes")[0].cast("bigint").alias("width"), F.aggregate(F.slice("naxes", 2, 9), F.lit(1).cast("bigint"), lambda a, n: a * n).alias("pixels"))
+
+
+#: The uniform numbers that dithering uses, and the place that each starts from, in SQL.
+DITHER = """g AS (SELECT 0 AS k, 16807::BIGINT AS s UNION ALL SELECT k + 1, s * 16807 % 2147483647 FROM g WHERE k < 9999), u AS (SELECT k, (s / 2147483647.0::DOUBLE)::FLOAT::DOUBLE AS u FROM g)"""
+
+
+@query(f"""WITH RECURSIVE {DITHER}, v AS (SELECT path, y, generate_subscripts(embedding, 1) - 1 AS x, unnest(embedding)::DOUBLE AS v FROM ({VECTORS})),
+t AS (SELECT path, y, v, y // 16 * 2 + x // 32 AS tile, y % 16 * 32 + x % 32 AS place FROM v), f AS (SELECT path, y, v, trunc(b.u * 500)::BIGINT + place AS k FROM t JOIN u AS b ON b.k = tile)
+SELECT path, y, round(sum((floor(v * 1024 + u.u) - u.u + 0.5) / 1024), 6) AS total FROM f JOIN u USING (k) GROUP BY 1, 2""")
+def quantised_tiles_roundtrip(spark, sf_dir):
+    """Images as dithered whole numbers in tiles of byte planes: the same numbers are taken off again."""
+    from starframe import sinks
+    from starframe.sources import files, tiles
+
+    listed = sinks.write_files(sinks.quantised_images(_vector_rows(spark, sf_dir), "name", 1 / 1024), _folder(spark, "tiles"))
+    return _row_sums(tiles.assemble(tiles.decode_tiles(files.scan_hdus(listed))))
+
+
+@query(f"SELECT * FROM ({ROW_SUMS}), (VALUES ('lz4'), ('zstd'), ('base64'), ('hex')) AS c(stored)")
+def xisf_codecs(spark, sf_dir):
+    """Images as XISF: shuffled subblocks of two codecs, and samples as text in the header."""
+    from starframe import sinks
+    from starframe.sources import files, xisf
+
+    rows = _vector_rows(spark, sf_dir)
+    made = {c: sinks.xisf_images(rows, "name", codec=c) for c in ("lz4", "zstd")} | {e: sinks.xisf_embedded(rows, "name", e) for e in ("base64", "hex")}
+    out = None
+    for kind, made_files in made.items():
+        own = _row_sums(xisf.pixels(xisf.images(files.from_content(made_files)))).withColumn("stored", F.lit(kind))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT label::VARCHAR AS path, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS plane, list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 100))) AS total FROM embeddings""")
+def asdf_half_floats(spark, sf_dir):
+    """Whole numbers below 2,048 are exact in half precision."""
+    from starframe import sinks
+    from starframe.sources import asdf, files
+
+    rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 100).cast("float")).alias("values"))
+    made = files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1 << 16, kind="float16"))
+    return asdf.pixels(made).groupBy("path", "plane").agg(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+#: Windows of a table, in SQL: number, mixed number; arithmetic of 64 bits is done in 128.
+_MIXED = """a AS (SELECT k, (k::UHUGEINT * 11400714819323198485) % 18446744073709551616::UHUGEINT AS z FROM range(16) AS r(k)),
+b AS (SELECT k, (xor(z, z // 1073741824) * 13787848793156543929) % 18446744073709551616::UHUGEINT AS z FROM a),
+c AS (SELECT k, (xor(z, z // 134217728) * 10723151780598845931) % 18446744073709551616::UHUGEINT AS z FROM b), m AS (SELECT k, xor(z, z // 2147483648) AS z FROM c)"""
+
+
+@query(f"""WITH {_MIXED}, t AS (SELECT (o_orderkey // 4000)::VARCHAR AS path, count(*) AS n, count(*) * 21 // 16 AS part FROM orders GROUP BY o_orderkey // 4000),
+p AS (SELECT path, n, greatest(5760, (5760 + part * k + (z % (part - 63)::UHUGEINT)::BIGINT) // 64 * 64) AS o FROM t, m WHERE n >= 16),
+w AS (SELECT path, n, (o - 5760 + 20) // 21 AS a, (o + 64 - 5760) // 21 AS b FROM p)
+SELECT path, least(a, n)::BIGINT AS low, least(greatest(b, a + 1), n)::BIGINT AS high, true AS sampled FROM w WHERE least(greatest(b, a + 1), n) > least(a, n) UNION ALL SELECT path, 0, n, false FROM t WHERE n < 16""")
+def sampled_windows(spark, sf_dir):
+    """The windows that stand for each table, chosen from the stored list of units: here sixteen of 64 bytes for each, whatever its size."""
+    from starframe import sinks
+    from starframe.sources import files, planned
+
+    listed = sinks.write_files(order_files(spark, sf_dir), _folder(spark, "tables"))
+    index = _folder(spark, "units")
+    files.scan_hdus(listed).write.parquet(index)
+    out = planned.table_windows(spark.read.parquet(index).where("hdu = 1"), windows=16, window_bytes=64, read_all=0)
+    return out.select(F.expr(_NAME).alias("path"), "low", "high", "sampled")

@@ -124,12 +124,13 @@ def _packed(rows: DataFrame, by: str, y: str, values: str, make) -> DataFrame:
     return rows.select(by, y, values).groupBy(by).applyInArrow(pack, "path string, content binary")
 
 
-def asdf_cubes(rows: DataFrame, by: str, shape: tuple[int, ...], frame: int = 4 << 20, y: str = "y", values: str = "values") -> DataFrame:
+def asdf_cubes(rows: DataFrame, by: str, shape: tuple[int, ...], frame: int = 4 << 20, y: str = "y", values: str = "values", kind: str = "float32") -> DataFrame:
     """ASDF files as rows (path, content): for each value of ``by`` an array ``data`` of one plane of ``shape`` for each row, LZ4 in frames."""
+    from starframe.sources.asdf import DTYPES
 
     def make(cube: np.ndarray) -> bytes:
         cube = cube.reshape(-1, *shape)
-        raw = cube.astype("<f4").tobytes()
+        raw = cube.astype(f"<{DTYPES[kind]}").tobytes()
         blocks = []
         for k in range(0, len(raw), frame):
             part = raw[k : k + frame]
@@ -137,48 +138,103 @@ def asdf_cubes(rows: DataFrame, by: str, shape: tuple[int, ...], frame: int = 4
             blocks.append((len(packed) + 4).to_bytes(4, "big") + len(part).to_bytes(4, "little") + packed)
         data = b"".join(blocks)
         sizes = b"".join(n.to_bytes(8, "big") for n in (len(data), len(data), len(raw)))
-        tree = f"#ASDF 1.0.0\n#ASDF_STANDARD 1.5.0\n%YAML 1.1\n%TAG ! tag:stsci.edu:asdf/\n--- !core/asdf-1.1.0\ndata: !core/ndarray-1.0.0\n  source: 0\n  datatype: float32\n  byteorder: little\n  shape: {list(cube.shape)}\n...\n"
+        tree = f"#ASDF 1.0.0\n#ASDF_STANDARD 1.5.0\n%YAML 1.1\n%TAG ! tag:stsci.edu:asdf/\n--- !core/asdf-1.1.0\ndata: !core/ndarray-1.0.0\n  source: 0\n  datatype: {kind}\n  byteorder: little\n  shape: {list(cube.shape)}\n...\n"
         return tree.encode() + b"\xd3BLK" + (48).to_bytes(2, "big") + bytes(4) + b"lz4\0" + sizes + bytes(16) + data
 
     return _packed(rows, by, y, values, make)
 
 
-def xisf_images(rows: DataFrame, by: str, subblocks: int = 3, y: str = "y", values: str = "values") -> DataFrame:
-    """XISF files as rows (path, content): a grey Float32 image for each value of ``by``, zlib-compressed and shuffled, in subblocks."""
+def xisf_images(rows: DataFrame, by: str, subblocks: int = 3, y: str = "y", values: str = "values", codec: str = "zlib") -> DataFrame:
+    """XISF files as rows (path, content): a grey Float32 image for each value of ``by``, shuffled and compressed (zlib, lz4, zstd), in subblocks."""
     import zlib
 
     def make(image: np.ndarray) -> bytes:
         raw = np.frombuffer(image.astype("<f4").tobytes(), np.uint8).reshape(-1, 4).T.tobytes()
         parts = [raw[k * len(raw) // subblocks : (k + 1) * len(raw) // subblocks] for k in range(subblocks)]
-        packed = [zlib.compress(p) for p in parts]
-        data, at = b"".join(packed), 4096
+        packed = [zlib.compress(p) if codec == "zlib" else pa.Codec({"lz4": "lz4_raw"}.get(codec, codec)).compress(p, asbytes=True) for p in parts]
         listed = ":".join(f"{len(a)},{len(b)}" for a, b in zip(packed, parts, strict=True))
-        xml = f'<?xml version="1.0" encoding="UTF-8"?><xisf version="1.0" xmlns="http://www.pixinsight.com/xisf"><Image id="main" geometry="{image.shape[1]}:{image.shape[0]}:1" sampleFormat="Float32" colorSpace="Gray" location="attachment:{at}:{len(data)}" compression="zlib+sh:{len(raw)}:4" subblocks="{listed}"/></xisf>'.encode()
-        return (b"XISF0100" + len(xml).to_bytes(4, "little") + bytes(4) + xml).ljust(at, b"\0") + data
+        return _xisf(image, b"".join(packed), f'compression="{codec}+sh:{len(raw)}:4" subblocks="{listed}"')
 
     return _packed(rows, by, y, values, make)
 
 
+def xisf_embedded(rows: DataFrame, by: str, encoding: str = "base64", y: str = "y", values: str = "values") -> DataFrame:
+    """XISF files as rows (path, content) whose samples stand in the header, as base64 or hex text in lines."""
+    import base64
+    import textwrap
+
+    def make(image: np.ndarray) -> bytes:
+        raw = image.astype("<f4").tobytes()
+        return _xisf(image, b"", text="\n".join(textwrap.wrap(raw.hex() if encoding == "hex" else base64.b64encode(raw).decode(), 76)), encoding=encoding)
+
+    return _packed(rows, by, y, values, make)
+
+
+def _xisf(image: np.ndarray, data: bytes, more: str = "", text: str = "", encoding: str = "") -> bytes:
+    """A file of one grey image: its data after the header, or as encoded text within it."""
+    at = 4096
+    place = f'location="attachment:{at}:{len(data)}" {more}/>' if data else f'location="embedded"><Data encoding="{encoding}">{text}</Data></Image>'
+    xml = f'<?xml version="1.0" encoding="UTF-8"?><xisf version="1.0" xmlns="http://www.pixinsight.com/xisf"><Image id="main" geometry="{image.shape[1]}:{image.shape[0]}:1" sampleFormat="Float32" colorSpace="Gray" {place}</xisf>'.encode()
+    return (b"XISF0100" + len(xml).to_bytes(4, "little") + bytes(4) + xml).ljust(at, b"\0") + data
+
+
 def tiled_images(rows: DataFrame, by: str, tile: tuple[int, int] = (32, 16), y: str = "y", values: str = "values") -> DataFrame:
     """FITS files as rows (path, content): a 32-bit float image for each value of ``by``, in gzipped tiles (width, height)."""
-    import zlib
 
-    from starframe.sources import fits
+    def make(image: np.ndarray) -> bytes:
+        return _tiled(image, tile, [t.astype(">f4").tobytes() for t in _tiles_of(image, tile)], {"ZCMPTYPE": "GZIP_1"})
+
+    return _packed(rows, by, y, values, make)
+
+
+def quantised_images(rows: DataFrame, by: str, scale: float, tile: tuple[int, int] = (32, 16), y: str = "y", values: str = "values") -> DataFrame:
+    """The same with values as whole numbers of ``scale``, dithered (SUBTRACTIVE_DITHER_1), their bytes in planes (GZIP_2)."""
+    from starframe.sources.tiles import dither_index, dither_table
 
     def make(image: np.ndarray) -> bytes:
-        heap, places = [], []
-        for top in range(0, image.shape[0], tile[1]):
-            for left in range(0, image.shape[1], tile[0]):
-                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-                blob = packer.compress(image[top : top + tile[1], left : left + tile[0]].astype(">f4").tobytes()) + packer.flush()
-                places.append((len(blob), sum(map(len, heap))))
-                heap.append(blob)
-        keys = {"ZIMAGE": True, "ZCMPTYPE": "GZIP_1", "ZBITPIX": -32, "ZNAXIS": 2, "ZNAXIS1": image.shape[1], "ZNAXIS2": image.shape[0], "ZTILE1": tile[0], "ZTILE2": tile[1]}
-        return fits.table_bytes([("COMPRESSED_DATA", "1PB", np.array(places, np.int32))], [fits.card(k, v) for k, v in keys.items()], "COMPRESSED", b"".join(heap))
+        packed = []
+        for k, part in enumerate(_tiles_of(image, tile)):
+            v = part.astype(np.float64).ravel()
+            whole = np.floor(v / scale + dither_table()[dither_index(k % 10_000, v.size)]).astype(">i4")
+            packed.append(np.frombuffer(whole.tobytes(), np.uint8).reshape(-1, 4).T.tobytes())
+        return _tiled(image, tile, packed, {"ZCMPTYPE": "GZIP_2", "ZQUANTIZ": "SUBTRACTIVE_DITHER_1", "ZDITHER0": 1}, scale)
 
     return _packed(rows, by, y, values, make)
 
 
+def _tiles_of(image: np.ndarray, tile: tuple[int, int]) -> list[np.ndarray]:
+    return [image[top : top + tile[1], left : left + tile[0]] for top in range(0, image.shape[0], tile[1]) for left in range(0, image.shape[1], tile[0])]
+
+
+def _tiled(image: np.ndarray, tile: tuple[int, int], data: list[bytes], more: dict[str, object], scale: float | None = None) -> bytes:
+    """A file of one image in tiles whose data are gzipped into the heap; with ``scale`` they are whole numbers of it."""
+    import gzip
+
+    from starframe.sources import fits
+
+    heap = [gzip.compress(x, mtime=0) for x in data]
+    ends = np.cumsum([0, *map(len, heap)])
+    columns = [("COMPRESSED_DATA", "1PB", np.stack([np.diff(ends), ends[:-1]], axis=1).astype(np.int32))]
+    if scale is not None:
+        columns += [("ZSCALE", "1D", np.full(len(heap), scale)), ("ZZERO", "1D", np.zeros(len(heap)))]
+    keys = {"ZIMAGE": True, "ZBITPIX": -32, "ZNAXIS": 2, "ZNAXIS1": image.shape[1], "ZNAXIS2": image.shape[0], "ZTILE1": tile[0], "ZTILE2": tile[1], **more}
+    return fits.table_bytes(columns, [fits.card(k, v) for k, v in keys.items()], "COMPRESSED", b"".join(heap))
+
+
+def gzipped(files: DataFrame, members: int = 2) -> DataFrame:
+    """Files (path, content) gzipped, in so many members one behind the other; other columns are dropped."""
+    import gzip
+
+    def pack(tables):
+        for table in tables:
+            for k, content in enumerate(table.column("content")):
+                raw = content.as_py()
+                parts = [raw[i * len(raw) // members : (i + 1) * len(raw) // members] for i in range(members)]
+                yield pa.RecordBatch.from_arrays([table.column("path").slice(k, 1), pa.array([b"".join(gzip.compress(p, mtime=0) for p in parts)], pa.binary())], names=["path", "content"])
+
+    return files.select("path", "content").mapInArrow(pack, "path string, content binary")
+
+
 def write_files(files: DataFrame, folder: str, suffix: str = ".fits") -> DataFrame:
     """Writes each row (path, content) to a file of a folder that driver and executors share; returns their paths (path, format).
 
