@@ -31,8 +31,13 @@ def attach(df: DataFrame, per_group: DataFrame, names: list[str]) -> DataFrame:
     """Adds the columns of a table with one row per group.
 
     That table is computed and counted first: below BROADCAST_GROUPS rows it goes to the rows of ``df``, which then stay where they are.
+    Without grouping columns it has one row, whose values become constants (none: no row of ``df`` has a group).
     """
     more = [c for c in per_group.columns if c not in names]
+    if not names:
+        row = per_group.first()
+        made = {c: F.lit(row[c] if row else None).cast(per_group.schema[c].dataType) for c in more}
+        return (df if row else df.limit(0)).withColumns(made)
     per_group = cut(per_group.select(*names, *more))
     if per_group.count() < BROADCAST_GROUPS:
         per_group = F.broadcast(per_group)

@@ -88,9 +88,9 @@ def percentile(df: DataFrame, value: str, p: float, by: list[str] = ()) -> DataF
 def _mad(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Per group: n, vmin, vmax, med, mad."""
     med = order_stats(df, value, {"med": middle}, by)
-    off = G.attach(df.where(is_finite(F.col(value))), med.select(*by, "med"), by) if by else df.where(is_finite(F.col(value))).crossJoin(F.broadcast(med.select("med")))
+    off = G.attach(df.where(is_finite(F.col(value))), med.select(*by, "med"), by)
     mad = order_stats(off.withColumn("_off", F.abs(F.col(value).cast("double") - F.col("med"))), "_off", {"mad": middle}, by).select(*by, "mad")
-    return cut(G.attach(med, mad, by) if by else med.crossJoin(F.broadcast(mad)))
+    return cut(G.attach(med, mad, by))
 
 
 def _map(lo: Column, hi: Column) -> tuple[Column, Column]:
@@ -117,11 +117,15 @@ def auto_stretch(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     by = list(by)
     first = _mad(df, value, by)
     quiet = first.where(F.col("mad") == 0).select(*by, F.col("med").alias("_med"))
-    rest = (G.attach(df, quiet, by) if by else df.crossJoin(F.broadcast(quiet))).where(is_finite(F.col(value)) & (F.col(value) != F.col("_med")))
+    rest = G.attach(df, quiet, by).where(is_finite(F.col(value)) & (F.col(value) != F.col("_med")))
     # Most often no group is so: then the second look has nothing to read.
     again = first.limit(0) if quiet.isEmpty() else _mad(rest.drop("_med"), value, by).where("n >= 16")
     again = again.select(*by, F.col("med").alias("med2"), F.col("mad").alias("mad2"))
-    joined = first.alias("l").join(again.alias("r"), G.same("l", "r", by) if by else F.lit(True), "left").select("l.*", "r.med2", "r.mad2")
+    if by:
+        joined = first.alias("l").join(again.alias("r"), G.same("l", "r", by), "left").select("l.*", "r.med2", "r.mad2")
+    else:
+        row = again.first()
+        joined = first.withColumns({c: F.lit(row[c] if row else None).cast("double") for c in ("med2", "mad2")})
     joined = joined.withColumn("med", F.coalesce("med2", "med")).withColumn("mad", F.coalesce("mad2", "mad")).drop("med2", "mad2")
     sigma = 1.4826 * F.col("mad")
     some = F.col("mad") > 0
