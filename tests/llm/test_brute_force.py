@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from starframe.llm import queries as Q
 
@@ -328,6 +329,30 @@ def test_op7_ends_on_very_long_lines(spark):
     assert got[1] == 0 and got[2] == 1 and got[3] == 0
 
 
+@pytest.mark.parametrize("tile", [500, 2])
+def test_op7_links_long_lines_by_their_distance(spark, monkeypatch, tile):
+    """Lines of one long word have no bound from pieces: their distance decides, however long they are, in tiles too."""
+    from starframe.llm import line_dedup as L
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 26, 21_000)
+    rows = [(1, base)]
+    for n, edits in ((2, 300), (3, 600)):
+        x = base.copy()
+        x[rng.choice(len(x), edits, replace=False)] = 26 + n  # letters that stand in no other line
+        rows.append((n, x))
+    rows.append((4, rng.integers(0, 26, 21_000)))
+    rows = [(n, "".join(chr(97 + c) if c < 26 else chr(945 + c) for c in x)) for n, x in rows]
+    monkeypatch.setattr(L, "TILE", tile)
+    got = {r.doc_id: r.n_removed_lines for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
+    # Lines across components: the same pairs, compared from the tiles.
+    lines = L._lines(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("len", F.length("plain")).select("k1", "k2", "plain", "len")
+    block = lines.select("k1", "len", F.lit(1).alias("bucket"))
+    none = spark.createDataFrame([], "node struct<k1: bigint, k2: bigint>, root struct<k1: bigint, k2: bigint>")
+    assert L._across(block, none, 0.9, lines).count() == 3
+
+
 @pytest.mark.parametrize("tile", [100, 7])
 def test_op7_crowds_change_no_group(spark, monkeypatch, tile):
     from starframe.llm import line_dedup as L
