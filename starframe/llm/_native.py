@@ -5,9 +5,13 @@ Each returns an expression that should be given a column of its own (``withColum
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from starframe.functions.shared import fixed
+
+__all__ = ["SPACES", "fixed", "folded_words", "hashes", "shingles", "words"]
+
 #: Characters between words: the space and 0x09 to 0x0D.
 SPACES = " \\t\\n\\x0b\\f\\r"
 
@@ -32,13 +36,3 @@ def shingles(hashed: str, size: int = 5) -> Column:
     parts = lambda i: [F.col(hashed)[i + k] for k in range(size)]
     many = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*parts(i)))
     return F.when(n >= size, many).when(n > 0, F.array(F.xxhash64(hashed))).otherwise(F.array().cast("array<bigint>"))
-
-
-def fixed(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once for each row.
-
-    The optimizer may merge a projection into those above it, and then computes an expression again for each use, even for each
-    turn of a lambda function; it does not merge across a generator, so the columns go through one of a single row.
-    """
-    made = df.select("*", F.inline(F.array(F.struct(*(c.alias(f"_made_{n}") for n, c in columns.items())))))
-    return made.drop(*columns).withColumnsRenamed({f"_made_{n}": n for n in columns})

@@ -6,30 +6,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starframe.functions.scalar import printable, to_double, to_int, unquote
+from starframe.functions.shared import fixed
 
 _STRING = "^ *'(?:[^']|'')*'?"
 
 
 def split_cards(headers: DataFrame, column: str = "header", keys: list[str] = ("path", "hdu")) -> DataFrame:
-    """One row per 80-character card of a header text, up to END: keys, seq, card."""
-    rows = headers.select(*keys, F.posexplode(F.regexp_extract_all(F.col(column), F.lit("(?s)(.{80})"), 1)).alias("seq", "card"))
-    end = rows.where(F.rtrim("card") == "END").groupBy(*keys).agg(F.min("seq").alias("_end"))
-    return rows.join(end, list(keys), "left").where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end"))).drop("_end")
+    """One row per 80-character card of a header text, up to END: keys, seq, card.
+
+    Headers are dealt by their keys once, so that few large files keep no core idle and what groups cards by header moves none.
+    """
+    own = headers.select(*keys, F.col(column).alias("_header")).repartition(*keys)
+    own = fixed(own, _cards=F.regexp_extract_all("_header", F.lit("(?s)(.{80})"), 1)).drop("_header")
+    end = F.array_position(F.transform("_cards", lambda c: F.rtrim(c)), "END")
+    own = own.withColumn("_cards", F.when(end > 0, F.slice("_cards", F.lit(1), end.cast("int"))).otherwise(F.col("_cards")))
+    return own.select(*keys, F.posexplode("_cards").alias("seq", "card"))
 
 
 def parse_cards(cards: DataFrame, card: str = "card") -> DataFrame:
     """Adds kind (v: keyword with a value, c: comment, e: end), key, value, is_string, comment to 80-character cards."""
-    text = F.rpad(F.col(card), 80, " ")
+    columns = [c for c in cards.columns if c not in ("kind", "key", "value", "is_string", "comment")]
+    text, name, kind, field, string = (F.col(f"_{c}") for c in ("text", "name", "kind", "field", "string"))
+    # What several results follow from is computed once.
+    own = cards.select(*columns, F.rpad(F.col(card), 80, " ").alias("_text"))
     hierarch = text.startswith("HIERARCH ") & (F.instr(text, "=") > 0)
-    plain = (F.substring(text, 9, 2) == "= ") & ~F.rtrim(F.substring(text, 1, 8)).isin("COMMENT", "HISTORY", "", "CONTINUE")
-    more = F.rtrim(F.substring(text, 1, 8)) == "CONTINUE"
-    kind = F.when(F.rtrim(text) == "END", "e").when(plain | hierarch, "v").otherwise("c")
-    key = F.when(hierarch, F.trim(F.regexp_extract(text, "^HIERARCH +([^=]*)=", 1))).otherwise(F.rtrim(F.substring(text, 1, 8)))
-    field = F.when(hierarch, F.regexp_extract(text, "^[^=]*=(.*)$", 1)).when(plain, F.substring(text, 11, 70)).when(more, F.substring(text, 9, 72))
-    string = F.coalesce(field.rlike("^ *'"), F.lit(False)) & ((kind == "v") | more)
+    own = fixed(own, _name=F.rtrim(F.substring(text, 1, 8)), _hierarch=hierarch)
+    plain = (F.substring(text, 9, 2) == "= ") & ~name.isin("COMMENT", "HISTORY", "", "CONTINUE")
+    own = fixed(own, _kind=F.when(F.rtrim(text) == "END", "e").when(plain | F.col("_hierarch"), "v").otherwise("c"), _plain=plain)
+    more = name == "CONTINUE"
+    own = fixed(own, _field=F.when(F.col("_hierarch"), F.regexp_extract(text, "^[^=]*=(.*)$", 1)).when(F.col("_plain"), F.substring(text, 11, 70)).when(more, F.substring(text, 9, 72)))
+    own = fixed(own, _string=F.coalesce(F.ltrim(field).startswith("'"), F.lit(False)) & ((kind == "v") | more))
+    key = F.when(F.col("_hierarch"), F.trim(F.regexp_extract(text, "^HIERARCH +([^=]*)=", 1))).otherwise(name)
     value = F.when(string, unquote(field)).when(kind == "v", F.trim(F.regexp_extract(field, "^([^/]*)", 1))).otherwise(F.rtrim(F.substring(text, 9, 72)))
     comment = F.when(string, F.regexp_extract(field, _STRING + " *(?:/ ?(.*))?$", 1)).when(kind == "v", F.regexp_extract(field, "^[^/]*/ ?(.*)$", 1)).otherwise("")
-    return cards.withColumns({"kind": kind, "key": printable(F.when(kind == "e", "END").otherwise(key)), "value": F.when(kind == "e", "").otherwise(printable(value)), "is_string": string, "comment": printable(F.rtrim(comment))})
+    made = {"kind": kind, "key": printable(F.when(kind == "e", "END").otherwise(key)), "value": F.when(kind == "e", "").otherwise(printable(value)), "is_string": string, "comment": printable(F.rtrim(comment))}
+    return fixed(own, **made).select(*columns, *made)
 
 
 def join_continued(cards: DataFrame, keys: list[str] = ("path", "hdu")) -> DataFrame:

@@ -152,3 +152,12 @@ def test_axis_choice(spark):
     rows = [("a", "Time", "D", 1), ("a", "sap_flux", "E", 1), ("b", "loglam", "E", 1), ("b", "flux", "E", 1), ("c", "RA", "D", 1), ("c", "DEC", "3D", 3), ("d", "FLUX", "E", 1)]
     df = spark.createDataFrame([(p, 1, n, name, "", form[-1], rep) for n, (p, name, form, rep) in enumerate(rows)], "path string, hdu int, n int, name string, unit string, type string, repeat int")
     assert {(r.path, r.x, r.y, r.kind, r.x_label) for r in tables.pick_axes(df).collect()} == {("a", "Time", "sap_flux", "light", "Time"), ("b", "loglam", "flux", "spectrum", "wavelength")}
+
+
+def test_cards_end_with_their_header_whatever_its_keys(spark):
+    """Each header ends at its own END, keys null or not, and cards are not shuffled or joined to find it."""
+    text = "".join(c.ljust(80) for c in ("A       = 1", "END", "B       = 2"))
+    rows = headers.split_cards(spark.createDataFrame([("p", 0, text), (None, 0, text), ("q", 0, text[:80]), ("r", 0, None)], "path string, hdu int, header string"))
+    assert sorted((r.path or "", r.seq, r.card.strip()) for r in rows.collect()) == [("", 0, "A       = 1"), ("", 1, "END"), ("p", 0, "A       = 1"), ("p", 1, "END"), ("q", 0, "A       = 1")]
+    plan = headers.parse_cards(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
