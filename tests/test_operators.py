@@ -161,3 +161,11 @@ def test_cards_end_with_their_header_whatever_its_keys(spark):
     assert sorted((r.path or "", r.seq, r.card.strip()) for r in rows.collect()) == [("", 0, "A       = 1"), ("", 1, "END"), ("p", 0, "A       = 1"), ("p", 1, "END"), ("q", 0, "A       = 1")]
     plan = headers.parse_cards(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_continued_strings_are_joined_where_their_cards_lie(spark):
+    """Headers are dealt once: neither windows nor grouping move a card again."""
+    rows = headers.join_continued(headers.parse_cards(headers.split_cards(spark.createDataFrame([("p", 0, "A       = 'x&'".ljust(80) + "CONTINUE  'y'".ljust(80))], "path string, hdu int, header string"))))
+    assert [(r.seq, r.key, r.value) for r in rows.collect()] == [(0, "A", "xy")]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.find("Initial Plan") if "Initial Plan" in plan else None].count("Exchange") == 1, plan
