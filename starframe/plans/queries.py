@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starframe.functions import scalar as S
+from starframe.functions.shared import cut
 from starframe.operators import headers, images, points, sampling, stats, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -509,8 +510,8 @@ def asdf_lz4_planes(spark, sf_dir):
     from starframe.sources import asdf, files, stored
 
     rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
-    made = files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1000))
-    arrays = asdf.arrays(made)
+    made = cut(files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1000)))
+    arrays = cut(asdf.arrays(made))
     held = stored.wanted(asdf.chunks(arrays), asdf.frames(made)).groupBy("path", "plane").agg(F.count("*").alias("n_frames"))
     sums = asdf.pixels(made, arrays).groupBy("path", "plane").agg(F.round(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)), 6).alias("total"))
     return held.join(sums, ["path", "plane"])

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,13 +104,21 @@ def fits_tables(df: DataFrame, forms: dict[str, str], by: str, more: dict[str, o
     return df.select(by, *(c for c in forms if c != by)).groupBy(by).applyInArrow(pack, "path string, content binary")
 
 
+def _matrix(values: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of 32-bit floats, NaN for null, without a Python object for each value."""
+    lengths = pc.unique(pc.list_value_length(values)).to_pylist()
+    if len(lengths) != 1 or lengths[0] is None:
+        raise ValueError("the rows of an image need values, as many in each")
+    return pc.list_flatten(values).to_numpy().astype(np.float32, copy=False).reshape(len(values), lengths[0])
+
+
 def fits_images(rows: DataFrame, by: str, y: str = "y", values: str = "values") -> DataFrame:
     """FITS files as rows (path, content): a 32-bit float image for each value of ``by``, its rows in the order of ``y``."""
     from starframe.sources import fits
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by(y)
-        content = fits.image_bytes(np.array(table[values].to_pylist(), np.float32))
+        content = fits.image_bytes(_matrix(table[values]))
         return pa.table([pa.array([str(table[by][0].as_py())]), pa.array([content], pa.binary())], names=["path", "content"])
 
     return rows.select(by, y, values).groupBy(by).applyInArrow(pack, "path string, content binary")
@@ -118,7 +127,7 @@ def fits_images(rows: DataFrame, by: str, y: str = "y", values: str = "values")
 def _packed(rows: DataFrame, by: str, y: str, values: str, make) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by(y)
-        content = make(np.array(table[values].to_pylist(), np.float32))
+        content = make(_matrix(table[values]))
         return pa.table([pa.array([str(table[by][0].as_py())]), pa.array([content], pa.binary())], names=["path", "content"])
 
     return rows.select(by, y, values).groupBy(by).applyInArrow(pack, "path string, content binary")
@@ -130,7 +139,7 @@ def asdf_cubes(rows: DataFrame, by: str, shape: tuple[int, ...], frame: int = 4
 
     def make(cube: np.ndarray) -> bytes:
         cube = cube.reshape(-1, *shape)
-        raw = cube.astype(f"<{DTYPES[kind]}").tobytes()
+        raw = memoryview(np.ascontiguousarray(cube, f"<{DTYPES[kind]}").reshape(-1)).cast("B")
         blocks = []
         for k in range(0, len(raw), frame):
             part = raw[k : k + frame]

@@ -23,6 +23,8 @@ from starframe.operators.ranges import overlap_join
 
 #: Bytes of a chunk of rows, and of a frame of data that is stored as it is; bytes that a frame may decode to.
 PIECE, MOST_RAW = 4 << 20, 1 << 30
+#: Rows of a batch that are Python objects at once.
+AT_ONCE = 16
 ROWS = "path string, hdu int, plane bigint, y bigint, values array<double>, truncated boolean, error string"
 
 
@@ -82,6 +84,12 @@ def wanted(chunks: DataFrame, frames: DataFrame) -> DataFrame:
     return overlap_join(ranges, frames.withColumn("end", F.col("pos") + F.least("raw", F.lit(MOST_RAW + 1))), ["path", "block"], ("want_from", "want_to"), ("pos", "end"), PIECE)
 
 
+def _each(table):
+    """Rows as dictionaries; a batch may hold thousands of rows of megabytes, so only a few of its rows are copied at once."""
+    for k in range(0, table.num_rows, AT_ONCE):
+        yield from table.slice(k, AT_ONCE).to_pylist()
+
+
 def _pieces(tables):
     from starframe.sources import fits
 
@@ -89,7 +97,7 @@ def _pieces(tables):
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.string()]
     held: dict[str, fits.Bytes] = {}
     for table in tables:
-        for r in table.to_pylist():
+        for r in _each(table):
             data, error = b"", r["error"]
             try:
                 stored = r.get("bytes")
@@ -113,7 +121,7 @@ def _pieces(tables):
 def _rows(tables):
     names = [x.split()[0] for x in ROWS.split(", ")]
     for table in tables:
-        for r in table.to_pylist():
+        for r in _each(table):
             size, item = r["hi"] - r["lo"], r["item"]
             each = size // r["parts"]
             try:

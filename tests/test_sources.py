@@ -271,3 +271,31 @@ def test_impossible_headers_are_told(spark, cards):
     raw = fits.header([fits.card("SIMPLE", True), *(fits.card(k, v) for k, v in kw.items())])
     got = files.scan_hdus(contents(spark, f=raw + raw)).collect()
     assert len(got) == 1 and got[0].error
+
+
+def test_images_are_packed_and_read_without_an_object_for_each_value():
+    """Rows of an image become one array; of a batch of frames only a few are Python objects at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from starframe import sinks
+    from starframe.sources import stored
+
+    values = np.arange(64 * 5000, dtype=np.float32)
+    column = pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, 64), pa.int32()), pa.array(values))])
+    tracemalloc.start()
+    got = sinks._matrix(column)
+    assert tracemalloc.get_traced_memory()[1] < 3 * values.nbytes and np.array_equal(got, values.reshape(-1, 64))
+    batch = pa.RecordBatch.from_pydict({"k": list(range(200)), "bytes": [bytes(100_000)] * 200})
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    assert [r["k"] for r in stored._each(batch)] == list(range(200))
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    nulls = sinks._matrix(pa.chunked_array([pa.array([[1.0, None], [3.0, 4.0]])]))
+    assert np.isnan(nulls[0, 1]) and nulls[1, 1] == 4
+    for bad in ([[1.0], [1.0, 2.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            sinks._matrix(pa.chunked_array([pa.array(bad)]))
