@@ -815,8 +815,8 @@ def asdf_half_floats(spark, sf_dir):
     from starframe.sources import asdf, files
 
     rows = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.transform("embedding", lambda v: F.floor(v.cast("double") * 100).cast("float")).alias("values"))
-    made = files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1 << 16, kind="float16"))
-    return asdf.pixels(made).groupBy("path", "plane").agg(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"))
+    made = cut(files.from_content(sinks.asdf_cubes(rows, "label", (8, 8), frame=1 << 16, kind="float16")))
+    return asdf.pixels(made, cut(asdf.arrays(made))).groupBy("path", "plane").agg(F.sum(F.aggregate("values", F.lit(0.0), lambda a, v: a + v)).alias("total"))
 
 
 #: Windows of a table, in SQL: number, mixed number; arithmetic of 64 bits is done in 128.
