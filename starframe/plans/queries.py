@@ -773,7 +773,7 @@ def units_of_all_formats(spark, sf_dir):
     cubes = read(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("y"), F.col("embedding").alias("values"))
     named = lambda df, kind: df.withColumn("path", F.concat(F.lit(f"{kind} "), "path"))
     made = named(sinks.fits_images(rows, "name"), "fits").unionByName(named(sinks.xisf_images(rows, "name"), "xisf")).unionByName(named(sinks.asdf_cubes(cubes, "label", (8, 8)), "asdf"))
-    units = files.hdus_of(files.from_content(made)).where("error is null")
+    units = files.hdus_of(cut(files.from_content(made))).where("error is null")
     return units.select("path", "format", "hdu", F.col("naxes")[0].cast("bigint").alias("width"), F.aggregate(F.slice("naxes", 2, 9), F.lit(1).cast("bigint"), lambda a, n: a * n).alias("pixels"))
 
 
