@@ -803,7 +803,7 @@ def xisf_codecs(spark, sf_dir):
     made = {c: sinks.xisf_images(rows, "name", codec=c) for c in ("lz4", "zstd")} | {e: sinks.xisf_embedded(rows, "name", e) for e in ("base64", "hex")}
     out = None
     for kind, made_files in made.items():
-        own = _row_sums(xisf.pixels(xisf.images(files.from_content(made_files)))).withColumn("stored", F.lit(kind))
+        own = _row_sums(xisf.pixels(cut(xisf.images(cut(files.from_content(made_files)))))).withColumn("stored", F.lit(kind))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -299,3 +299,11 @@ def test_images_are_packed_and_read_without_an_object_for_each_value():
     for bad in ([[1.0], [1.0, 2.0]], [[1.0], None]):
         with pytest.raises(ValueError):
             sinks._matrix(pa.chunked_array([pa.array(bad)]))
+
+
+def test_codecs_pack_and_parse_files_once(spark, sf):
+    """What the query of codecs reads pixels from is stored: its plan neither packs files nor parses their headers again."""
+    from starframe.plans.queries import QUERIES
+
+    plan = QUERIES["xisf_codecs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "from_xml" not in plan.lower() and "xmltostructs" not in plan.lower()
