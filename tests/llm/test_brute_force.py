@@ -353,6 +353,25 @@ def test_op7_links_long_lines_by_their_distance(spark, monkeypatch, tile):
     assert L._across(block, none, 0.9, lines).count() == 3
 
 
+def test_op7_common_features_make_few_pairs(spark):
+    """Lines of few different words share common runs by chance; near copies among them are found all the same."""
+    from starframe.llm import line_dedup as L
+
+    rng = np.random.default_rng(10)
+    ends = ["ation", "ously", "ingly", "ement", "ables", "ities", "ensis", "edness"]
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 3)) + e for _ in range(60) for e in ends]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(3000)]
+    for k in range(100):
+        x = list(texts[k])
+        for i in rng.choice([i for i, c in enumerate(x) if c != " "], 8, replace=False):
+            x[i] = "z"
+        texts.append("".join(x))
+    lines = L._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("len", F.length("plain")).select("k1", "k2", "plain", "len").cache()
+    pairs = L.buckets(lines).groupBy("bucket").count().selectExpr("sum(count * (count - 1) / 2)").first()[0]
+    assert pairs < 4 * len(texts), pairs
+    assert L.groups(lines).groupBy("root").count().where("count = 2").count() >= 90
+
+
 @pytest.mark.parametrize("tile", [100, 7])
 def test_op7_crowds_change_no_group(spark, monkeypatch, tile):
     from starframe.llm import line_dedup as L
