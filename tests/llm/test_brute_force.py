@@ -372,6 +372,47 @@ def test_op7_common_features_make_few_pairs(spark):
     assert L.groups(lines).groupBy("root").count().where("count = 2").count() >= 90
 
 
+def test_op7_blocks_of_a_line_do_not_hang_on_other_lines(spark):
+    """What lines have for blocks is theirs alone, however many lines of common runs stand beside them."""
+    from starframe.llm import line_dedup as L
+
+    rng = np.random.default_rng(11)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 3)) + e for _ in range(8) for e in ("ation", "ously", "ingly", "ement")]
+    texts = [" ".join(rng.choice(words, n)) for _ in range(400) for n in (6, 15, 40)]
+    lines = L._lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumn("len", F.length("plain")).select("doc_id", "k1", "plain", "len").cache()
+    some = lines.where("doc_id < 30").drop("doc_id")
+    own = {(r.k1, r.bucket) for r in L.buckets(some).collect()}
+    ids = {k for k, _ in own}
+    assert len(ids) == 30 and own == {(r.k1, r.bucket) for r in L.buckets(lines.drop("doc_id")).collect() if r.k1 in ids}
+
+
+def test_op7_passages_in_other_lines_end_by_bounds(spark):
+    """A passage that many lines hold makes a large block: its pairs end before texts are looked at, and near copies among them do not."""
+    from starframe.llm import line_dedup as L
+
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    passage, rows = " ".join(word() for _ in range(8)), []
+    for k in range(120):
+        w = [word() for _ in range(rng.integers(20, 40))]
+        at = int(rng.integers(0, len(w)))
+        x = " ".join(w[:at] + [passage] + w[at:])
+        y = list(x)
+        for i in rng.choice([i for i, c in enumerate(x) if c != " "], len(x) // 20, replace=False):
+            y[i] = "z"
+        rows += [(2 * k, x), (2 * k + 1, "".join(y))]
+    lines = L._lines(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("len", F.length("plain")).select("k1", "k2", "plain", "len").cache()
+    block = lines.select("k1", "len", L._run_block(F.lit(passage[:16])).alias("bucket"))
+    met, verified = [], L._verified
+    L._verified = lambda pairs, *more: met.append(pairs.count()) or verified(pairs, *more)
+    try:
+        none = spark.createDataFrame([], "node struct<k1: bigint, k2: bigint>, root struct<k1: bigint, k2: bigint>")
+        assert L._across(block, none, 0.9, lines).count() == 120
+    finally:
+        L._verified = verified
+    assert 120 <= met[0] < 400, met
+
+
 @pytest.mark.parametrize("tile", [100, 7])
 def test_op7_crowds_change_no_group(spark, monkeypatch, tile):
     from starframe.llm import line_dedup as L
